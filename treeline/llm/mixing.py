@@ -34,7 +34,7 @@ SHARE = 1.5
 TOLERANCE = 1e-4
 MAX_STEPS = 40
 #: Documents of one source and size are ranked in shards of about this many.
-SHARD = 2000
+SHARD = 256
 
 
 def n_words(text: Column) -> Column:
