@@ -8,12 +8,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, language_id, main_text, media, mixing, pieces, url_filters, warc
+    from . import ann, language_id, main_text, media, mixing, ngram_join, pieces, url_filters, warc
 
     return {
         "op1_language_id": language_id.op1,
         "op3_warc": warc.op3,
         "op4_main_text": main_text.op4,
+        "op5_ngram_join": ngram_join.op5,
         "op6_ann": ann.op6,
         "op7_mixing": mixing.op7,
         "op8_media": media.op8,
