@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import mixing
+from treeline.llm import language_id, mixing, ngram_join, pieces, pii
 from treeline.llm.common import materialize, table
 
 STAGES = [
-    ("mixing", mixing.stage),
+    ("language ID", language_id.stage),
+    ("n-gram Jaccard join", ngram_join.stage),
+    ("PII", pii.stage),
+    ("mixing sources to target weights", mixing.stage),
+    ("SentencePiece encoding and decoding", pieces.stage),
 ]
 
 #: The stages train a model and solve for rates by iteration, which SQL can't express; they are

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, language_id, main_text, media, mixing, ngram_join, pieces, url_filters, warc
+    from . import ann, language_id, main_text, media, mixing, ngram_join, pieces, pii, url_filters, warc
 
     return {
         "op1_language_id": language_id.op1,
+        "op2_pii": pii.op2,
         "op3_warc": warc.op3,
         "op4_main_text": main_text.op4,
         "op5_ngram_join": ngram_join.op5,
