@@ -10,7 +10,8 @@ fixed generator, ``RANDOM_BITS`` for each doubling of the number of languages.
 
 Features are the counts of byte bigrams and trigrams of the whole lower-cased text, hashed to
 ``DIM`` columns, as square roots of their shares. Training uses a bounded sample: up to
-``TRAIN_ROWS`` labelled documents, shared equally among languages and picked by a hash of the id.
+``TRAIN_ROWS`` labelled documents (as many as hashes give, never twice that), shared equally among
+languages and picked by a hash of the id.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,21 +119,16 @@ class Model:
         sample are broken by the text, so that reruns agree. Without such rows nothing is learned
         and every prediction is ``und``; with one language, it is always predicted."""
         d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
-        langs = sorted(r.lang for r in d.select("lang").distinct().collect())
+        counts = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # a row a language
+        langs = sorted(counts)
         if not langs:
             return cls([], np.ones((0, 1)), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
-        # The sample is chosen on hashes; only its own texts are turned into features.
+        # Hashes are even, so a language's share of them below a bound is the share of its rows.
         key = F.xxhash64(F.col("id"), F.lit(SEED))
-        shards = 64
         per = max(1, rows // len(langs))
-        picked = d.select("lang", key.alias("k"), F.pmod(key, F.lit(shards)).alias("shard"))
-        first = F.row_number().over(W.partitionBy("lang", "shard").orderBy("k"))
-        last = F.row_number().over(W.partitionBy("lang").orderBy("k"))
-        picked = picked.withColumn("r", first).filter(F.col("r") <= per).withColumn("r", last).filter(F.col("r") <= per)
-        bounds = {r.lang: r.k for r in picked.groupBy("lang").agg(F.max("k").alias("k")).collect()}
         cut = F.lit(None)
-        for lang, k in bounds.items():
-            cut = F.when(F.col("lang") == lang, F.lit(k)).otherwise(cut)
+        for lang, n in counts.items():
+            cut = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(2**64 * per / n) - 2**63))).otherwise(cut)
         schema = "lang string, k long, h long, x binary"
 
         def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +136,9 @@ class Model:
                 yield pd.DataFrame({"lang": pdf["lang"], "k": pdf["k"], "h": pdf["h"], "x": [r.astype(np.float16).tobytes() for r in features(pdf["text"])]})
 
         sample = d.select("text", "lang", key.alias("k"), F.xxhash64("text").alias("h")).filter(F.col("k") <= cut).mapInPandas(rows_of, schema)
-        got = sample.orderBy("lang", "k", "h").limit(2 * rows).collect()  # repeated ids share a hash; at most twice the bound comes here
+        got = sample.orderBy("k", "h", "lang").limit(2 * rows).collect()  # the hard bound
+        if not got:  # only if each of thousands of languages has a sample of one
+            raise ValueError(f"{rows} training rows are too few for {len(langs)} languages")
         y = np.array([langs.index(r.lang) for r in got])
         x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
         code = codewords(len(langs))
