@@ -420,8 +420,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that of least id; documents without words all stay."""
     c = materialize(jaccard_components(docs), "join-result").filter("n > 0")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
-    first = c.groupBy("component_id").agg(F.min(order).alias("first"))
-    rest = c.join(first, F.struct(c["component_id"]).eqNullSafe(F.struct(first["component_id"]))).filter(~order.eqNullSafe(F.col("first")))
+    first = c.groupBy(F.col("component_id").alias("component")).agg(F.min(order).alias("first"))
+    rest = c.join(first, F.col("component_id").eqNullSafe(F.col("component"))).filter(~order.eqNullSafe(F.col("first")))
     rest = materialize(rest.select(F.col("rid").alias("_join_rid"), F.col("id").alias("_join_id")).distinct(), "join-rest")
     gone = F.broadcast(rest) if rest.count() <= BROADCAST_ROWS else rest
     keyed = docs.withColumn("_join_key", row_key("doc_id", "text"))
