@@ -42,8 +42,9 @@ WORDS = 5
 PERCENT = 80
 #: Share of the hash space that is counted first, in 256ths. Must be above 100 - PERCENT percent.
 PART = 96
-#: Shingles that one counting task holds at a time.
+#: Shingles that one counting task holds at a time, and the least number of hash ranges.
 BUCKET = 2_000_000
+RANGES = 32
 #: Bytes of text turned into shingles at once.
 CHUNK = 8 << 20
 #: Classes in one prefix tree, and classes that traverse it in one task.
@@ -345,7 +346,7 @@ def class_links(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
     total = classes.agg(F.sum("n")).first()[0] or 0
 
     # Which classes have enough shared shingles in a part of the hash space, if the rest is shared?
-    few = max(1, -(-total * PART // 256 // BUCKET))
+    few = max(RANGES, -(-total * PART // 256 // BUCKET))
     tally = _deal(text.select("text"), few, PART, words).groupBy("bucket").applyInPandas(_tally, "sig long, n long, lone long")
     lone = tally.groupBy("sig").agg(F.sum("lone").alias("lone"))
     # None dealt in that part: nothing is known, so it stays.
@@ -356,7 +357,7 @@ def class_links(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
     ids = alive.select(F.col("rid").alias("_rid"), F.col("id").alias("_id"))
     ids = F.broadcast(ids) if r.c <= BROADCAST_ROWS else ids
     texts = text.join(ids, (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    shared = _deal(texts, max(1, -(-r.n // BUCKET)), 256, words).groupBy("bucket").applyInPandas(_shared, "sig long, n long, tokens array<long>, dfs array<long>")
+    shared = _deal(texts, max(RANGES, -(-r.n // BUCKET)), 256, words).groupBy("bucket").applyInPandas(_shared, "sig long, n long, tokens array<long>, dfs array<long>")
     shared = (
         shared.groupBy("sig")
         .agg(F.first("n").alias("n"), F.sum(F.size("tokens")).alias("m"), F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"))
