@@ -382,7 +382,8 @@ def class_links(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
 
     # What is left over, against all of its group, through prefix trees.
     left = judged.groupBy("label").agg(F.count("*").alias("members"), F.count_if(F.col("settled").isNull()).alias("open")).filter("open > 0")
-    left = left.select("label", F.ceil(F.col("open") / BLOCK).alias("blocks"), F.ceil(F.col("members") / PROBES).alias("parts"))
+    # Written down, so that the next join has an exchange of its own on either side, which can be split.
+    left = materialize(left.select("label", F.ceil(F.col("open") / BLOCK).alias("blocks"), F.ceil(F.col("members") / PROBES).alias("parts")), "join-left")
     todo = materialize(member.drop("central", "label").join(judged.join(left, "label"), "sig"), "join-todo")
     rows = todo.count()
     own = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
