@@ -46,7 +46,7 @@ PART = 96
 BUCKET = 2_000_000
 RANGES = 32
 #: Bytes of text turned into shingles at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Classes in one prefix tree, and classes that traverse it in one task.
 BLOCK = 256
 PROBES = 2048
@@ -156,7 +156,7 @@ def _deal(text: DataFrame, buckets: int, part: int, words: int) -> DataFrame:
                 sets, sigs = [], []
                 for s in shingle_sets(texts[lo:hi], words):
                     if len(s) and (g := signature(s)) not in seen:
-                        if len(seen) < 1_000_000:  # repeats that slip through are dropped later
+                        if len(seen) < 200_000:  # repeats that slip through are dropped later
                             seen.add(g)
                         sets.append(s)
                         sigs.append(g)
