@@ -46,7 +46,7 @@ PART = 96
 BUCKET = 2_000_000
 RANGES = 32
 #: Bytes of text turned into shingles at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Classes in one prefix tree, and classes that traverse it in one task.
 BLOCK = 256
 PROBES = 2048
@@ -221,22 +221,6 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["sig", "n", "tokens", "dfs"])
 
 
-def _order(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Shingles in global order, frequent first; the prefix, rarest first; how central it is."""
-        for pdf in batches:
-            rows = []
-            for sig, n, tokens, dfs in zip(pdf["sig"], pdf["n"], pdf["tokens"], pdf["dfs"], strict=True):
-                t, d = np.concatenate(tokens), np.concatenate(dfs)
-                o = np.lexsort((t, d))[::-1]
-                t, d = t[o], d[o]
-                prefix = n - -(-percent * n // 100) + 1 - (n - len(t))
-                rows.append((sig, n, t, d, t[::-1][:prefix], float(np.minimum(d, 1000).sum()) / n))
-            yield pd.DataFrame(rows, columns=["sig", "n", "tokens", "dfs", "prefix", "central"])
-
-    return run
-
-
 # -- prefix trees ----------------------------------------------------------------------------
 
 
@@ -362,9 +346,14 @@ def class_links(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
         shared.groupBy("sig")
         .agg(F.first("n").alias("n"), F.sum(F.size("tokens")).alias("m"), F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"))
         .filter(F.col("m") * 100 >= percent * F.col("n"))
-        .select("sig", "n", "tokens", "dfs")
     )
-    ordered = shared.mapInPandas(_order(percent), "sig long, n long, tokens array<long>, dfs array<long>, prefix array<long>, central double")
+    # Global order: by number of sets, then hash; frequent first. Shingles without a partner come after all.
+    pairs = F.sort_array(F.arrays_zip(F.flatten("dfs").alias("d"), F.flatten("tokens").alias("t")), asc=False)
+    ordered = shared.select("sig", "n", "m", pairs.alias("p")).select("sig", "n", "m", F.transform("p", lambda x: x["t"]).alias("tokens"), F.transform("p", lambda x: x["d"]).alias("dfs"))
+    need = F.ceil(F.col("n") * percent / 100)
+    length = (F.col("n") - need + 1 - (F.col("n") - F.col("m"))).cast("int")
+    central = F.aggregate("dfs", F.lit(0).cast("long"), lambda s, d: s + F.least(d, F.lit(1000).cast("long"))) / F.col("n")
+    ordered = ordered.select("sig", "n", "tokens", "dfs", F.slice(F.reverse("tokens"), F.lit(1), length).alias("prefix"), central.alias("central"))
     ordered = materialize(ordered, "join-sets")
 
     # Classes that share a shingle of their prefixes.

@@ -13,6 +13,8 @@ text's ids are decoded again (``round_trip``). For other vocabularies whole text
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import re
@@ -32,8 +34,10 @@ from .common import table
 MARK = "▁"
 #: Threads of one task's encoder. A task has one core on most clusters; raise it with spark.task.cpus.
 THREADS = 2
-#: Words kept, with their ids, from one batch to the next.
-CACHE_WORDS = 400_000
+#: Words kept, with their ids, within a task; words encoded at once; characters of text at once.
+CACHE_WORDS = 150_000
+LEARN = 4096
+CHARS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -179,13 +183,21 @@ class Encoder:
             self.words.clear()
             self.odd.clear()
             new = set(chain.from_iterable(split))
-        if new:
-            self.learn(list(new))
+        new = list(new)
+        for at in range(0, len(new), LEARN):
+            self.learn(new[at : at + LEARN])
         out, get = [], self.words.__getitem__
         for ws in split:
             out.append((np.frombuffer(b"".join(map(get, ws)), np.uint32), self.odd.isdisjoint(ws)))
         return out
 
+    def forget(self) -> None:
+        """Give back the memory of the words: workers outlive their tasks."""
+        self.words.clear()
+        self.odd.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
     def decode(self, ids) -> str:
         """The normalised text of ids, with spaces for markers."""
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
@@ -219,7 +231,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             at = 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(texts) and (end == at or size + len(texts[end]) < CHARS):
                     size += len(texts[end])
                     end += 1
                 rows = []
@@ -232,6 +244,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     rows.append((i, ids.astype("<u4").astype(np.int32) if keep_ids else None, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == want, parity))
                 yield pd.DataFrame(rows, columns=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
                 at = end
+        enc.forget()
 
     schema = "id string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
