@@ -87,7 +87,7 @@ _predicate("ql_closed", q.closed(from_="1999-01-01"), _stamp(f"s.stamp_type = 'c
 _predicate("ql_invalid_day", q.scheduled(from_="1997-02-30"), _stamp("s.stamp_type = 'scheduled' AND s.day >= 0"))
 _predicate("ql_planning", q.planning(before="1995-02-28"), _stamp(f"s.stamp_type IN ('scheduled', 'deadline', 'closed') AND s.day <= {_mjd('1995-02-28')}"))
 _predicate("ql_clocked", q.clocked(from_="2024-01-10"), f"EXISTS (SELECT 1 FROM entry_log_entries l WHERE l.entry_id = e.id AND l.log_type = 'clock' AND l.time_day >= {_mjd('2024-01-10')})")
-_predicate("ql_path", q.path("NATION_1/1", "nation_7/"), "EXISTS (SELECT 1 FROM files f WHERE f.id = e.file_id AND (f.path ILIKE '%nation\_1/1%' ESCAPE '\' OR f.path ILIKE '%nation\_7/%' ESCAPE '\'))")
+_predicate("ql_path", q.path("NATION_1/1", "nation_7/"), "EXISTS (SELECT 1 FROM files f WHERE f.id = e.file_id AND (contains(f.path, 'nation_1/1') OR contains(f.path, 'nation_7/')))")
 _predicate("ql_link", q.link("part:77"), "EXISTS (SELECT 1 FROM entry_links k WHERE k.entry_id = e.id AND k.target ILIKE '%part:77%')")
 _predicate("ql_parent", q.parent(q.or_(q.todo("WAIT"), q.priority("A"))), "EXISTS (SELECT 1 FROM entries p WHERE p.id = e.parent_id AND (p.keyword_value = 'WAIT' OR p.priority = 'A'))")
 _predicate("ql_ancestors", q.ancestors(q.property_("Nation", "NATION_3")), "EXISTS (SELECT 1 FROM ancestors a WHERE a.entry_id = e.id AND EXISTS (SELECT 1 FROM entry_properties p WHERE p.entry_id = a.ancestor_id AND lower(p.name) = 'nation' AND p.value = 'NATION_3'))")
@@ -350,3 +350,294 @@ def _(s, spark, d):
 def _(s, spark, d):
     e = s.entries.filter("depth = 2").join(s.entry_tags, F.col("id") == F.col("entry_id"))
     return e.select("id", fn.align_right(F.concat(F.lit("** "), "title"), F.concat(F.lit(":"), "tag", F.lit(":")), 60).alias("line")).distinct()
+
+# -- rules, vectors, loading, sinks --------------------------------------------------------------
+
+from .operators import lint, similarity, sync, tags as tag_ops  # noqa: E402
+from .sinks import graph, site, text  # noqa: E402
+from .sources import outline_text  # noqa: E402
+from .storage import shared_path  # noqa: E402
+from .streaming import clocked  # noqa: E402
+
+_LINT_SQL = {
+    "DuplicateIdentifier": "SELECT NULL AS file_id, id AS entry_id, 'ERROR' AS severity, 'DuplicateIdentifier' AS code, count(*)::VARCHAR AS arg FROM entries GROUP BY id HAVING count(*) > 1",
+    "TodoMismatch": "SELECT file_id, NULL, 'WARN', 'TodoMismatch', 'untagged' FROM entries GROUP BY file_id HAVING bool_or(keyword_type = 'open')",
+    "TodoMissingCreated": "SELECT NULL, id, 'WARN', 'TodoMissingCreated', keyword_value FROM entries WHERE keyword_value IS NOT NULL",
+    "CategoryTooLong": "SELECT NULL, entry_id, 'WARN', 'CategoryTooLong', category FROM entry_categories WHERE length(category) > 10",
+    "DuplicateTag": "SELECT NULL, entry_id, 'ERROR', 'DuplicateTag', tag FROM entry_tags GROUP BY entry_id, tag HAVING count(*) > 1",
+    "StampOnPlainEntry": "SELECT NULL, id, 'WARN', 'StampOnPlainEntry', NULL FROM entries e WHERE keyword_value IS NULL AND EXISTS (SELECT 1 FROM entry_stamps s WHERE s.entry_id = e.id AND s.stamp_type <> 'active')",
+    "FileIdMissing": "SELECT id, NULL, 'INFO', 'FileIdMissing', NULL FROM files",
+}
+
+
+@query("lint_union", " UNION ALL ".join(_LINT_SQL.values()))
+def _(s, spark, d):
+    return lint.lint(s, codes=tuple(_LINT_SQL))
+
+
+@query("lint_all")
+def _(s, spark, d):
+    return lint.lint(s).groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "lint_state_time_order",
+    "SELECT NULL AS file_id, entry_id, 'WARN' AS severity, 'StateChangeTimeOrder' AS code, position::VARCHAR AS arg FROM (SELECT *, lag(time_day * 1440 + time_start) OVER (PARTITION BY entry_id ORDER BY position DESC) AS before FROM entry_log_entries WHERE log_type = 'state') WHERE time_day * 1440 + time_start < before",
+)
+def _(s, spark, d):
+    return lint.lint(s, codes=("StateChangeTimeOrder",))
+
+
+@query("lint_dangling", "SELECT NULL AS file_id, entry_id, 'ERROR' AS severity, 'DanglingIdLink' AS code, target AS arg FROM entry_links k WHERE link_type = 'id' AND NOT EXISTS (SELECT 1 FROM entries e WHERE lower(e.id) = lower(k.target))")
+def _(s, spark, d):
+    return lint.lint(s, codes=("DanglingIdLink",))
+
+
+_QUERY_VECTOR = [((i * 37) % 11 - 5) / 10 for i in range(64)]
+_DISTANCE = "1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+
+
+@query(
+    "topk_similar",
+    f"SELECT entry_id, chunk_text, round(distance, 6) AS distance FROM (SELECT entry_id, chunk_text, distance, row_number() OVER (PARTITION BY entry_id ORDER BY distance, chunk_position) AS r FROM (SELECT *, {_DISTANCE.format(a='embedding::DOUBLE[]', b=str(_QUERY_VECTOR) + '::DOUBLE[]')} AS distance FROM entry_embeddings)) WHERE r = 1 ORDER BY distance, entry_id LIMIT 5",
+)
+def _(s, spark, d):
+    return similarity.search(s, _QUERY_VECTOR, 5).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "best_chunk",
+    f"SELECT entry_id, min_by(chunk_position, distance) AS chunk_position FROM (SELECT *, {_DISTANCE.format(a='embedding::DOUBLE[]', b=str(_QUERY_VECTOR) + '::DOUBLE[]')} AS distance FROM entry_embeddings) GROUP BY entry_id",
+)
+def _(s, spark, d):
+    e = s.entry_embeddings.withColumn("distance", fn.cosine_distance(F.col("embedding"), F.array(*[F.lit(x) for x in _QUERY_VECTOR])))
+    return e.groupBy("entry_id").agg(F.min_by("chunk_position", "distance").alias("chunk_position"))
+
+
+def _vectors(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("v"))
+
+
+@query(
+    "review_pairs",
+    f"SELECT x.vec_id AS a, y.vec_id AS b, round({_DISTANCE.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')}, 6) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label <> y.label WHERE {_DISTANCE.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')} < 0.62 ORDER BY {_DISTANCE.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')}, a, b LIMIT 1000",
+    head="",
+)
+def _(s, spark, d):
+    return similarity.similar_pairs(_vectors(spark, d), 0.62, 1000).withColumn("distance", F.round("distance", 6))
+
+
+@query("review_clusters")
+def _(s, spark, d):
+    return similarity.clusters(similarity.similar_pairs(_vectors(spark, d), 0.62, 1000)).select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query("embed_candidates", "SELECT id AS entry_id, md5(title) AS hash FROM (SELECT DISTINCT id, title, depth FROM entries) WHERE depth = 3 OR (depth = 2 AND right(id, 1) IN ('1', '2'))")
+def _(s, spark, d):
+    t = s.entries.select(F.col("id").alias("entry_id"), F.md5("title").alias("hash"), "depth").distinct()
+    done = t.filter("depth < 3").select("entry_id", F.when((F.col("depth") == 2) & F.right("entry_id", F.lit(1)).isin("1", "2"), F.md5(F.lit("old"))).otherwise(F.col("hash")).alias("embedded_hash"))
+    return similarity.candidates(t.drop("depth"), done)
+
+
+@query("entry_chunks")
+def _(s, spark, d):
+    return similarity.entry_chunks(s, 2000)
+
+
+def _versions(spark, d):
+    """The orders as files: the store has the older half, with times and hashes of its own."""
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("k", F.col("o_orderkey") % 6)
+    path = F.concat(F.lit("orders/"), "o_orderkey", F.lit(".org"))
+    files = o.filter("k <> 5").select(path.alias("path"), F.col("o_orderdate").alias("mod_time"), F.md5("o_orderstatus").alias("hash"))
+    old = F.when(F.col("k") == 2, F.col("o_orderdate") + F.expr("interval 1 day")).when(F.col("k") == 3, F.col("o_orderdate")).otherwise(F.col("o_orderdate") - F.expr("interval 1 day"))
+    stored = o.filter("k <> 1").select(path.alias("path"), old.alias("mod_time"), F.when(F.col("k") == 4, F.md5("o_orderstatus")).otherwise(F.lit("x")).alias("hash"))
+    return files, stored
+
+
+@query("sync_classify", "SELECT 'orders/' || o_orderkey || '.org' AS path, CASE o_orderkey % 6 WHEN 0 THEN 'update' WHEN 1 THEN 'insert' WHEN 2 THEN 'conflict' WHEN 3 THEN 'skip' WHEN 4 THEN 'skip' ELSE 'delete' END AS action FROM orders", head="")
+def _(s, spark, d):
+    return sync.classify_files(*_versions(spark, d))
+
+
+@query(
+    "sync_report",
+    "SELECT count(*) FILTER (o_orderkey % 6 <> 5) AS processed, count(*) FILTER (o_orderkey % 6 IN (0, 1)) AS updated, count(*) FILTER (o_orderkey % 6 IN (3, 4)) AS skipped, count(*) FILTER (o_orderkey % 6 = 5) AS deleted, count(*) FILTER (o_orderkey % 6 = 2) AS conflicts FROM orders",
+    head="",
+)
+def _(s, spark, d):
+    return sync.report(sync.classify_files(*_versions(spark, d)))
+
+
+@query(
+    "incremental_diff",
+    "SELECT id, CASE WHEN o_orderkey % 4 = 1 THEN 'insert' WHEN o_orderkey % 4 = 2 THEN 'delete' ELSE 'update' END AS action FROM (SELECT 'o-' || o_orderkey AS id, o_orderkey FROM orders) WHERE o_orderkey % 4 > 0",
+    head="",
+)
+def _(s, spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("o-"), "o_orderkey").alias("id"), (F.col("o_orderkey") % 4).alias("k"), F.md5("o_orderpriority").alias("hash"))
+    old = o.filter("k <> 1").select("id", F.when(F.col("k") == 3, "x").otherwise(F.col("hash")).alias("hash"))
+    return sync.diff_entries(o.filter("k <> 2"), old)
+
+
+@query("upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS version, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS seq FROM orders", head="")
+def _(s, spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return sync.upsert(o.select("id", F.lit("old").alias("version"), F.lit(1).alias("seq")), o.filter("id % 3 = 0").select("id", F.lit("new").alias("version"), F.lit(2).alias("seq")))
+
+
+@query("stale_ids", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0", head="")
+def _(s, spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    return sync.stale(o, o.filter("id % 5 > 0"))
+
+
+def _tagged(s):
+    return s.entry_tags.groupBy(F.col("entry_id").alias("item")).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+
+
+@query("tag_expr", "SELECT entry_id AS item FROM (SELECT entry_id, list(DISTINCT tag) AS tags FROM entry_tags GROUP BY entry_id) WHERE (list_contains(tags, 'r') OR list_contains(tags, 'urgent')) AND NOT list_contains(tags, 'a')")
+def _(s, spark, d):
+    v = tag_ops.var
+    return tag_ops.matching(_tagged(s), tag_ops.all_of(tag_ops.any_of(v("r"), v("urgent")), tag_ops.no(v("a")))).select("item")
+
+
+@query(
+    "tag_combinations",
+    "SELECT DISTINCT x.entry_id AS item, x.tag || '/' || y.tag AS path FROM entry_tags x JOIN entry_tags y ON x.entry_id = y.entry_id AND x.tag <> y.tag UNION ALL SELECT DISTINCT entry_id, tag FROM entry_tags",
+)
+def _(s, spark, d):
+    return tag_ops.combinations(_tagged(s), 2).select("item", F.array_join("path", "/").alias("path"))
+
+
+@query("tag_links", "SELECT DISTINCT entry_id AS item, 'tree/' || tag || '/' || entry_id AS link FROM entry_tags")
+def _(s, spark, d):
+    return tag_ops.tag_tree_links(_tagged(s), "tree", 1)
+
+
+@query(
+    "dot_edges",
+    """SELECT e.parent_id AS source, e.id AS target, 'parent_child' AS relation, 'black' AS colour FROM (SELECT DISTINCT id, parent_id, depth FROM entries) e WHERE e.depth = 2
+    """,
+)
+def _(s, spark, d):
+    return graph.edges(s, types=("parent_child",), max_depth=2)
+
+
+@query("relations", "SELECT DISTINCT parent_id AS source, id AS target, 'parent_child' AS relation FROM entries WHERE parent_id IS NOT NULL UNION ALL SELECT DISTINCT k.entry_id, e.id, 'link' FROM entry_links k JOIN entries e ON lower(k.target) = lower(e.id) WHERE k.link_type = 'id'")
+def _(s, spark, d):
+    return graph.relations(s)
+
+
+@query("dot_lines")
+def _(s, spark, d):
+    return graph.dot_lines(s, max_depth=2, keywords=("TODO",), types=("parent_child",))
+
+
+@query(
+    "summary_lines",
+    """SELECT e.id, concat_ws(' ', repeat('*', e.depth), e.title, 'KEYWORD=' || e.keyword_value, 'LOG_ENTRIES=' || l.n, 'BODY_LEN=' || b.n, 'TAGS=' || t.x) AS line FROM (SELECT DISTINCT id, depth, title, keyword_value FROM entries) e
+    LEFT JOIN (SELECT entry_id, count(*) AS n FROM entry_log_entries GROUP BY entry_id) l ON l.entry_id = e.id
+    LEFT JOIN (SELECT entry_id, sum(length(content)) AS n FROM entry_body_blocks GROUP BY entry_id) b ON b.entry_id = e.id
+    LEFT JOIN (SELECT entry_id, string_agg(DISTINCT tag, ':' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id""",
+)
+def _(s, spark, d):
+    return text.summary(s)
+
+
+@query("json_lines", """SELECT '{"id":"' || id || '","depth":' || depth || coalesce(',"keyword_value":"' || keyword_value || '"', '') || '}' AS line FROM entries""")
+def _(s, spark, d):
+    return text.json_lines(s.entries.select("id", "depth", "keyword_value"))
+
+
+def _upper_levels(s):
+    """Customers and orders, without bodies and logs that repeat."""
+    from dataclasses import replace
+
+    e = s.entries.filter("depth <= 2")
+    ids = e.select(F.col("id").alias("entry_id"))
+    keep = lambda df: df.join(ids, "entry_id", "left_semi")
+    return replace(s, entries=e, entry_tags=keep(s.entry_tags), entry_properties=keep(s.entry_properties), entry_stamps=keep(s.entry_stamps), entry_body_blocks=s.entry_body_blocks.filter("content not rlike '^[*:#]'"))
+
+
+@query("print_text")
+def _(s, spark, d):
+    return text.file_texts(_upper_levels(s))
+
+
+@query(
+    "round_trip",
+    """SELECT e.id, e.depth, e.parent_id, e.keyword_value, e.priority, e.title, t.x AS tags, p.x AS props, z.x AS stamps FROM entries e
+    LEFT JOIN (SELECT entry_id, string_agg(tag, ',' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id
+    LEFT JOIN (SELECT entry_id, string_agg(name || '=' || value, ',' ORDER BY name) AS x FROM entry_properties GROUP BY entry_id) p ON p.entry_id = e.id
+    LEFT JOIN (SELECT entry_id, string_agg(stamp_type || '=' || day, ',' ORDER BY stamp_type) AS x FROM entry_stamps GROUP BY entry_id) z ON z.entry_id = e.id WHERE depth <= 2""",
+)
+def _(s, spark, d):
+    """Written as text and read again."""
+    got = outline_text.parse(text.file_texts(_upper_levels(s))).store
+    joined = lambda df, v, n: df.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(v)), ",").alias(n))
+    e = got.entries.select("id", "depth", "parent_id", "keyword_value", "priority", "title")
+    e = e.join(joined(got.entry_tags, F.col("tag"), "tags"), "id", "left")
+    e = e.join(joined(got.entry_properties.filter("name <> 'ID'"), F.concat_ws("=", "name", "value"), "props"), "id", "left")
+    return e.join(joined(got.entry_stamps, F.concat_ws("=", "stamp_type", "day"), "stamps"), "id", "left")
+
+
+@query("parse_blocks")
+def _(s, spark, d):
+    """Bodies, links and errors that the parser finds in the pages' text as it is."""
+    p = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("docs/"), "doc_id", F.lit(".org")).alias("path"), F.concat(F.lit("* TODO [#B] Doc "), "doc_id", F.lit("  :"), "lang", F.lit(":\n"), "text").alias("content"))
+    got = outline_text.parse(p).store
+    return got.entries.join(got.entry_body_blocks, F.col("id") == F.col("entry_id")).groupBy("title", "keyword_value", "priority").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))
+
+
+def _posts(spark, d):
+    """Conversations as posts, dated by id, tagged by the roles that take part."""
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("conv_id") % 1500).cast("int"))
+    tags = F.sort_array(F.concat(F.collect_set("role"), F.array(F.lit("site")), F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("publish"))).otherwise(F.array().cast("array<string>"))))
+    return c.groupBy("conv_id").agg(tags.alias("tags")).select(F.col("conv_id").alias("id"), "tags", day.alias("date"))
+
+
+_POSTS_SQL = "WITH posts AS (SELECT conv_id AS id, list_concat(list(DISTINCT role), ['site'], CASE WHEN conv_id % 2 = 0 THEN ['publish'] ELSE [] END) AS tags, DATE '2020-01-01' + (conv_id % 1500)::INT AS date FROM conversations GROUP BY conv_id), pub AS (SELECT * FROM posts WHERE list_contains(tags, 'publish') AND date < DATE '2024-01-01')\n"
+
+
+def _published(spark, d):
+    return site.publishable(_posts(spark, d), "site", F.lit("2024-01-01").cast("date"))
+
+
+@query("feed_top10", "SELECT id, strftime(date, '%Y-%m-%d') AS day FROM pub ORDER BY date DESC, id LIMIT 10", head=_POSTS_SQL)
+def _(s, spark, d):
+    return site.feed(_published(spark, d)).select("id", F.date_format("date", "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "pagination",
+    "SELECT page, id, place, page = 1 AS is_first, page = 2 AS is_second, page = max(page) OVER () AS is_last, CASE WHEN page > 1 THEN page - 1 END AS previous, CASE WHEN page < max(page) OVER () THEN page + 1 END AS next FROM (SELECT id, row_number() OVER (ORDER BY date DESC, id) - 1 AS place, ((row_number() OVER (ORDER BY date DESC, id) - 1) // 6 + 1)::INT AS page FROM pub) WHERE place < 60",
+    head=_POSTS_SQL,
+)
+def _(s, spark, d):
+    return site.pages(_published(spark, d))
+
+
+@query("tag_pages", "SELECT tag, count(*) AS n, arg_max(id, (date, id)) AS newest FROM (SELECT id, date, unnest(tags) AS tag FROM pub) GROUP BY tag", head=_POSTS_SQL)
+def _(s, spark, d):
+    return site.tag_pages(_published(spark, d))
+
+
+@query("archive", "SELECT year(date)::INT AS year, month(date)::INT AS month, count(*) AS n FROM pub GROUP BY ALL", head=_POSTS_SQL)
+def _(s, spark, d):
+    return site.archive(_published(spark, d))
+
+
+@query(
+    "stream_windows",
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS kind, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL)
+    SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, kind, n, total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+    head="",
+)
+def _(s, spark, d):
+    """The whole table as a stream; windows that the watermark closed."""
+    path = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a file or a folder
+    out = clocked.run_available(spark, clocked.windowed_counts(events), shared_path(spark, "stream"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "kind", "n", "total")
