@@ -92,12 +92,17 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
         targets.join(mean, "skey").select("skey", (F.col("target") / F.col("mean")).alias("goal"), F.lit(0.0).alias("l"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi"), F.lit(0.0).alias("miss"), (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("full")),
         "mix-state",
     )
+
+    def exact(x: Column) -> Column:
+        # a sum that doesn't depend on the order of rows, so that reruns agree
+        return F.sum(x.cast("decimal(30,9)")).cast("double")
+
     for _ in range(MAX_STEPS):
         w = F.exp(F.least(F.col("l") * F.col("x"), F.lit(700.0)))
         sums = (
             base.join(state.filter("not full"), "skey")
             .groupBy("skey")
-            .agg(F.sum(F.col("n") * F.col("x") * F.least(w, F.lit(float(cap)))).alias("have"), F.sum(F.when(w < cap, F.col("n") * F.col("x") * F.col("x") * w).otherwise(0.0)).alias("slope"))
+            .agg(exact(F.col("n") * F.col("x") * F.least(w, F.lit(float(cap)))).alias("have"), exact(F.when(w < cap, F.col("n") * F.col("x") * F.col("x") * w).otherwise(0.0)).alias("slope"))
         )
         miss = F.coalesce(F.col("have") - F.col("goal"), F.lit(0.0))
         lo, hi = F.when(miss < 0, F.col("l")).otherwise(F.col("lo")), F.when(miss > 0, F.col("l")).otherwise(F.col("hi"))
@@ -111,7 +116,7 @@ def solve_rates(hist: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFr
         if (state.agg(F.max("miss")).first()[0] or 0) <= TOLERANCE:
             break
     rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.exp(F.least(F.col("l") * F.col("size") / F.col("mean"), F.lit(700.0))), F.lit(float(cap))))
-    return hist.join(state.select("skey", "l", "full"), "skey", "left").join(mean, "skey", "left").select("skey", "size", "n", F.coalesce(F.when(F.col("size") > 0, rate), F.lit(1.0)).alias("rate"))
+    return hist.join(state.select("skey", "l", "full"), "skey", "left").join(mean, "skey", "left").select("skey", "size", "n", F.coalesce(F.when(F.col("size") > 0, F.round(rate, 10)), F.lit(1.0)).alias("rate"))
 
 
 def _walk(cap: int):
