@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import slug
+from ..functions.scalars import short_sha512, slug
 from ..model import Config, Store
 
 LEVELS = ("DEBUG", "ALL", "INFO", "WARN", "ERROR")
@@ -291,5 +291,60 @@ def _(s, c):
     return s.entry_body_blocks.filter(odd).select("entry_id", F.col("drawer_name").alias("arg"))
 
 
+@rule("FileCreatedMissing", "INFO")
+def _(s, c):
+    """No CREATED property, and no date in the name to take its place."""
+    dated = s.files.filter(~F.substring_index("path", "/", -1).rlike("^[0-9]{8}")).select(F.col("id").alias("file_id"))
+    return _lacking(dated, _file_property(s, "created"), "file_id")
+
+
+@rule("CreationTimeMismatch", "WARN")
+def _(s, c):
+    """The date in the file's name isn't that of CREATED."""
+    named = F.regexp_extract(F.substring_index("path", "/", -1), "^([0-9]{4})([0-9]{2})([0-9]{2})", 0)
+    f = s.files.select(F.col("id").alias("file_id"), named.alias("named")).filter("named <> ''").join(_file_property(s, "created"), "file_id")
+    written = F.translate(F.regexp_extract("v", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "-", "")
+    return f.filter((written != "") & (written != F.col("named"))).select("file_id", written.alias("arg"))
+
+
+@rule("ReviewOnFile", "WARN")
+def _(s, c):
+    return s.file_properties.filter(F.upper("name").isin("LAST_REVIEW", "NEXT_REVIEW", "REVIEWS", "EFFORT")).select("file_id", F.col("name").alias("arg"))
+
+
+def _missing(owners: DataFrame, s: Store) -> DataFrame:
+    """Those whose ``v`` (a path, before any ``::``) is no file of the collection."""
+    known = s.files.select(F.col("path").alias("arg")).distinct()
+    return owners.withColumn("arg", F.trim(F.substring_index("v", "::", 1))).filter("arg <> ''").join(known, "arg", "left_anti")
+
+
+@rule("ArchiveMissing", "WARN")
+def _(s, c):
+    return _missing(_file_property(s, "archive").withColumn("entry_id", F.lit(None)).unionByName(_property(s, "archive").withColumn("file_id", F.lit(None))), s)
+
+
+@rule("AudioMissing", "ERROR")
+def _(s, c):
+    return _missing(_property(s, "audio"), s)
+
+
+@rule("HashMismatch", "WARN")
+def _(s, c):
+    """HASH_sha512 isn't the start of the SHA-512 of the entry's title and body."""
+    rows = F.sort_array(F.collect_list(F.struct("position", "content")))
+    body = s.entry_body_blocks.groupBy("entry_id").agg(F.array_join(F.transform(rows, lambda b: b["content"]), "\n").alias("body"))
+    e = _entries(s, "title").distinct().join(_property(s, "hash_sha512"), "entry_id").join(body, "entry_id", "left")
+    return e.filter(short_sha512(F.concat_ws("\n", "title", "body")) != F.col("v")).select("entry_id", F.col("v").alias("arg"))
+
+
+@rule("InconsistentWhitespace", "WARN")
+def _(s, c):
+    """Within a file, some bodies begin after a blank line and some don't."""
+    ignored = _file_property(s, "whitespace").filter("lower(v) = 'ignore'")
+    first = s.entry_body_blocks.filter("position = 0").select("entry_id", (F.col("block_type") == "whitespace").alias("spaced"))
+    seen = first.join(s.entries.select(F.col("id").alias("entry_id"), "file_id").distinct(), "entry_id").groupBy("file_id").agg(F.count_distinct("spaced").alias("arg"))
+    return _lacking(seen.filter("arg > 1"), ignored, "file_id").select("file_id")
+
+
 def severity_at_least(level: str) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("severity")) >= LEVELS.index(level) + 1
