@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import release, table
 
 #: Columns that n-grams are hashed to: the upper 12 bits of a 32-bit product.
 DIM = 4096
 #: Bound of the training sample, over all languages.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 #: Most bytes of a document that one count table handles; longer texts are counted in pieces.
 PIECE = 1 << 22
 STEPS = 150
@@ -134,6 +134,7 @@ class Model:
         def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 yield pd.DataFrame({"lang": pdf["lang"], "k": pdf["k"], "h": pdf["h"], "x": [r.astype(np.float16).tobytes() for r in features(pdf["text"])]})
+            release()
 
         sample = d.select("text", "lang", key.alias("k"), F.xxhash64("text").alias("h")).filter(F.col("k") <= cut).mapInPandas(rows_of, schema)
         got = sample.orderBy("k", "h", "lang").limit(2 * rows).collect()  # the hard bound
@@ -166,6 +167,7 @@ class Model:
                     lead = top - np.maximum(p.max(1), 0)
                     new = [pa.array(np.where(ok, langs[best], UNKNOWN), pa.string()), pa.array(np.where(ok, top, 0.0)), pa.array(ok & (lead < MARGIN))]
                     yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + new, names=keep + added)
+            release()
 
         added = ["lang_pred", "score", "ambiguous"]
         keep = [c for c in docs.columns if c not in added]

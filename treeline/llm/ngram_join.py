@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, materialize, release, table
 
 WORDS = 5
 #: Similarity in percent.
@@ -137,6 +137,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                 sets = shingle_sets(texts[lo:hi], words)
                 sig = pd.array([signature(s) if len(s) else None for s in sets], dtype="Int64")
                 yield pd.DataFrame({"rid": pdf["rid"].to_numpy()[lo:hi], "id": pdf["id"].to_numpy()[lo:hi], "n": [len(s) for s in sets], "sig": sig})
+            release()
 
     d = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return d.mapInPandas(run, "rid long, id string, n long, sig long").withColumn("id", F.col("id").cast("long"))
@@ -178,6 +179,7 @@ def _deal(text: DataFrame, buckets: int, part: int, words: int) -> DataFrame:
                         who, count = np.unique(o, return_counts=True)
                         rows.append((k, sig[who].tobytes(), n[who].tobytes(), count.astype(np.uint32).tobytes(), h[edges[k] : edges[k + 1]].tobytes()))
                 yield pd.DataFrame(rows, columns=["bucket", "sigs", "ns", "counts", "hashes"])
+            release()
 
     return text.mapInPandas(run, "bucket long, sigs binary, ns binary, counts binary, hashes binary")
 
@@ -207,12 +209,15 @@ def _unpack(pdf: pd.DataFrame):
 
 
 def _tally(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For every set how many of its shingles no other has."""
+    release()
     sig, n, count, owner, _, df = _unpack(pdf)
     return pd.DataFrame({"sig": sig, "n": n, "lone": np.bincount(owner[df == 1], minlength=len(sig))})
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """For every set its shingles that others have too, with the number of sets that have them."""
+    release()
     sig, n, count, owner, h, df = _unpack(pdf)
     keep = df > 1
     owner, h, df = owner[keep], h[keep].astype(np.int64), df[keep]

@@ -13,8 +13,6 @@ text's ids are decoded again (``round_trip``). For other vocabularies whole text
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import os
 import re
@@ -29,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 MARK = "▁"
 #: Threads of one task's encoder. A task has one core on most clusters; raise it with spark.task.cpus.
@@ -195,8 +193,7 @@ class Encoder:
         """Give back the memory of the words: workers outlive their tasks."""
         self.words.clear()
         self.odd.clear()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     def decode(self, ids) -> str:
         """The normalised text of ids, with spaces for markers."""
@@ -244,6 +241,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     rows.append((i, ids.astype("<u4").astype(np.int32) if keep_ids else None, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == want, parity))
                 yield pd.DataFrame(rows, columns=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
                 at = end
+            release()
         enc.forget()
 
     schema = "id string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
