@@ -110,3 +110,26 @@ def test_empty_table(spark, tmp_path):
 def test_main_path_is_native(spark, corpus):
     plan = pii.sanitise(corpus)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def _terms(got, texts):
+    return {r.id: [texts[r.id][s.start : s.end] for s in r.spans if s.kind == 4] for r in got.collect()}
+
+
+def test_names_beside_entities_that_stand_once_or_twice(spark):
+    names = [a + b + c for a in ("bar", "mel", "tor", "vin") for b in ("a", "e", "o") for c in ("dok", "lim", "sun")]
+    texts = {i: f"the common words of all, {n} reads mail at box{i}@corp.example or today the end" for i, n in enumerate(names)}
+    texts |= {100 + i: texts[i] for i in range(10)}  # these stand twice
+    texts |= {200 + i: f"clean the common words of all reads mail at or today the end {'oddxx' if i == 5 else ''}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert _terms(pii.sanitise(docs), texts) == {i: [names[i % 100]] for i in texts if i < 200}
+    out = {r.doc_id: r.text for r in pii.stage(spark, docs, "").collect()}
+    assert all(out[i] == texts[i] for i in texts if i >= 200)
+    assert not any(names[i % 100] in out[i] for i in texts if i < 200)
+
+
+def test_rare_words_by_chance_stay(spark):
+    """Near mentions there are as many rare words as elsewhere; only the name part tells."""
+    texts = {i: f"common words with rare{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} here" + (f" and jan.pohl@corp{i}.example, pohl" if i == 7 else f" mail 10.0.0.{i}" if i < 40 else "") for i in range(100)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: t for i, t in _terms(pii.sanitise(docs), texts).items() if t} == {7: ["pohl"]}

@@ -1,16 +1,25 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Four kinds are found by pattern and check: ``email``, ``ip``, ``card`` (Luhn) and ``phone``. Every
-distinct value found is a protected entity. A word near its mentions may reveal it although it is
-no personal data in itself: the name beside an address, say. How strongly is estimated from the
-corpus: with N documents, of which c(e) hold entity e, c(t) the term t and c(t, e) the term within
-``WINDOW`` code points of a mention of e, the disclosure of e by t is
+distinct value found is a protected entity. A word in the same document may reveal it although it
+is no personal data in itself: the name beside an address, say. How strongly is estimated from the
+corpus: with N documents, of which c(e) hold entity e, c(t) the term t and c(t, e) both, the
+disclosure of e by t is
 
     PMI(t; e) / IC(e) = log(c(t, e) N / (c(t) c(e))) / log(N / c(e)),
 
-1 if the term never occurs without the entity, 0 if it tells nothing. Terms near a mention with
-at least ``SUPPORT`` such documents are removed from ``REMOVE`` on, and generalised (to ``[term]``)
-from ``GENERALISE`` on.
+1 if the term never occurs without the entity, 0 if it tells nothing. All four count whole
+documents, repeated rows as often as they stand.
+
+From ``SUPPORT`` common documents on, the counts speak for themselves. Below, where most personal
+data is, a rare word shares a document with an entity by chance as well, so c(t, e) is multiplied by
+the probability that the word belongs to the entity. It is 1 for a name part of the entity; for words
+within ``WINDOW`` code points of a mention it is pooled over all entities of a kind: the share of
+words as rare that stand near mentions in excess of their rate elsewhere, by the lower confidence
+bound of the one and the upper of the other. Under ``BELIEF`` a word counts as chance.
+
+Terms are removed from ``REMOVE`` on and generalised (to ``[term]``) from ``GENERALISE`` on, wherever
+they stand in the documents that hold the entity.
 
 All of it is DataFrame operations. Matches come with their places: what ``split`` leaves between
 the matches of ``regexp_extract_all`` gives their offsets.
@@ -18,6 +27,8 @@ the matches of ``regexp_extract_all`` gives their offsets.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +46,14 @@ PATTERNS = {
 #: A text without this string has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"\p{L}{2,}+"
+#: Set in ``near`` of a word that a base span covers in part.
+INSIDE = 1 << len(PATTERNS)
 WINDOW = 100
 SUPPORT = 3
+BELIEF = 0.5
+#: Of confidence bounds, in standard deviations (95 %, one-sided).
+Z = 1.645
 REMOVE, GENERALISE = 0.9, 0.75
-#: Candidate terms are broadcast up to this many; beyond, the corpus is counted by term first.
-BROADCAST_TERMS = 200_000
 #: Prefix sums go by blocks of this many.
 STEP = 64
 
@@ -106,41 +120,63 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def _terms_near(text: Column, spans: Column) -> Column:
-    """``array<struct<entity, terms>>``: for each base span the words within ``WINDOW`` code points
-    on both sides, whole and outside all base spans."""
-
-    def near(s: Column) -> Column:
-        def side(lo: Column, hi: Column) -> Column:
-            # one code point more on each side tells whether a word is cut
-            a, b = F.greatest(lo - 1, F.lit(0)), F.least(hi + 1, F.length(text))
-            words = matches(F.substring(text, a + 1, b - a), TERM)
-            whole = F.filter(words, lambda w: ((w["start"] > 0) | (a == 0)) & ((w["end"] < b - a) | (b == F.length(text))))
-            moved = F.transform(whole, lambda w: F.struct((w["start"] + a).alias("start"), (w["end"] + a).alias("end"), F.lower(w["value"]).alias("term")))
-            return F.filter(moved, lambda w: ~F.exists(spans, lambda t: (w["start"] < t["end"]) & (w["end"] > t["start"])))
-
-        terms = F.concat(side(F.greatest(s["start"] - WINDOW, F.lit(0)), s["start"]), side(s["end"], F.least(s["end"] + WINDOW, F.length(text))))
-        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), terms.alias("terms"))
-
-    return F.transform(spans, near)
-
-
-def disclosures(near: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """``entity, term, disclosure`` of all pairs with enough support. ``near`` has ``row, entity,
-    term``; ``docs`` is the corpus."""
-    n = docs.count()
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c_te")).filter(F.col("c_te") >= SUPPORT)
-    pairs = materialize(pairs, "pii-pairs")
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0)))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        counted = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("c_t"))
-    else:
-        counted = words.groupBy("term").agg(F.count("*").alias("c_t")).join(terms, "term")
-    pmi = F.log(F.col("c_te") * F.lit(float(n)) / (F.col("c_t") * F.col("c_e")))
+def _words(text: Column, spans: Column) -> Column:
+    """``array<struct<start, end, term, near>>``: the words outside all base spans; bit k of ``near``
+    tells whether a span of kind k is within ``WINDOW`` code points."""
+
+    def place(w: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(len(PATTERNS))]), s["kind"] + 1)
+            over = (w["start"] < s["end"]) & (w["end"] > s["start"])
+            near = (w["start"] >= s["start"] - WINDOW) & (w["end"] <= s["end"] + WINDOW)
+            return acc.bitwiseOR(F.when(over, F.lit(INSIDE)).when(near, bit).otherwise(F.lit(0)))
+
+        return F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"), F.aggregate(spans, F.lit(0), step).alias("near"))
+
+    return F.filter(F.transform(matches(text, TERM), place), lambda w: w["near"] < INSIDE)
+
+
+def bound(hits: float, of: float, sign: int) -> float:
+    """Wilson's confidence bound of a rate, the lower one for sign -1; 0 or 1 if nothing is known."""
+    if of <= 0:
+        return float(sign > 0)
+    p, z = hits / of, Z * Z / of
+    return min(1.0, max(0.0, (p + z / 2 + sign * math.sqrt(z * (p * (1 - p) + z / 4))) / (1 + z)))
+
+
+def _rarity(c: Column) -> Column:
+    return F.floor(F.log2(c)).cast("int")
+
+
+def _excess(terms: DataFrame, counts: DataFrame) -> dict[tuple[int, int], float]:
+    """By kind and rarity, the share of the words near mentions that are more than chance."""
+    whole = dict(counts.groupBy(_rarity(F.col("c_t")).alias("b")).agg(F.sum("c_t").alias("n")).collect())
+    of = [F.sum(F.when(F.col("near").bitwiseAND(1 << k) > 0, F.col("m")).otherwise(0)) for k in range(len(PATTERNS))]
+    near = {r[0]: r[1:] for r in terms.groupBy(_rarity(F.col("c_t")).alias("b")).agg(*of).collect()}
+    out = {}
+    for k in range(len(PATTERNS)):
+        total = sum(n[k] for n in near.values())
+        rest = sum(whole.values()) - total
+        for b, n in near.items():
+            low, high = bound(n[k], total, -1), bound(whole[b] - n[k], rest, 1)
+            out[k, b] = max(0.0, 1 - high / low) if low > 0 else 0.0
+    return out
+
+
+def disclosures(pairs: DataFrame, n: int, excess: dict[tuple[int, int], float]) -> DataFrame:
+    """``entity, term, disclosure`` of all pairs. ``pairs`` has ``entity, kind, term, near, m, c_e, c_t``
+    for each distinct document with both."""
+    p = pairs.groupBy("entity", "kind", "term", "c_e", "c_t").agg(F.sum("m").alias("c_te"), F.bit_or("near").alias("near"))
+    known = [(k, b, x) for (k, b), x in excess.items() if x >= BELIEF]
+    pooled = F.lit(0.0)
+    for k, b, x in known:
+        here = (F.col("kind") == k) & (_rarity(F.col("c_t")) == b) & (F.col("near").bitwiseAND(1 << k) > 0)
+        pooled = F.when(here, F.lit(x)).otherwise(pooled)
+    named = F.array_contains(F.split(F.substring_index(F.substring_index("entity", ":", -1), "@", 1), r"\P{L}+"), F.col("term")) & (F.col("kind") == KINDS.index("email"))
+    tied = F.when((F.col("c_te") >= SUPPORT) | named, 1.0).otherwise(pooled)
+    pmi = F.log(tied * F.col("c_te") * F.lit(float(n)) / (F.col("c_t") * F.col("c_e")))
     ic = F.log(F.lit(float(n)) / F.col("c_e"))
-    return pairs.join(entities, "entity").join(counted, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
+    return p.select("entity", "term", F.when((ic > 0) & (tied > 0), pmi / ic).otherwise(0.0).alias("disclosure"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,11 +189,25 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
     found = d.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
-    found = found.select("row", "id", "base", _terms_near(F.col("text"), F.col("base")).alias("near"))
-    found = materialize(found, "pii-base").dropDuplicates(["row", "id"])
-    near = found.select("row", "id", F.explode("near").alias("m")).select("row", "id", "m.entity", F.explode("m.terms").alias("t")).select("row", "id", "entity", "t.term", "t.start", "t.end")
-    told = disclosures(near, docs, text_col).filter(F.col("disclosure") >= GENERALISE)
-    terms = near.join(told, ["entity", "term"]).groupBy("row", "id", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    found = found.select("row", "id", "base", _words(F.col("text"), F.col("base")).alias("words"))
+    found = materialize(found.groupBy("row", "id").agg(F.count("*").alias("m"), F.first("base").alias("base"), F.first("words").alias("words")), "pii-base")
+
+    n = docs.count()
+    each = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower))
+    counts = materialize(d.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")), "pii-counts")
+    words = found.select("row", "id", "m", F.explode("words").alias("w")).groupBy("row", "id", "m", "w.term").agg(F.bit_or("w.near").alias("near"), F.collect_list(F.struct("w.start", "w.end")).alias("places"))
+    terms = materialize(words.join(counts, "term"), "pii-terms")
+
+    held = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"))))
+    entities = found.select("row", "id", "m", F.explode(held).alias("e")).select("row", "id", "m", "e.kind", "e.entity")
+    entities = entities.drop("m").join(entities.groupBy("entity").agg(F.sum("m").alias("c_e")), "entity")
+    # c(t, e) <= c(e), so a term in more documents than this can't reach GENERALISE
+    most = F.col("c_e") * F.pow(F.lit(float(max(n, 1))) / F.col("c_e"), F.lit(1 - GENERALISE)) * 1.000001
+    same = (F.col("t.row") == F.col("e.row")) & F.col("t.id").eqNullSafe(F.col("e.id")) & (F.col("t.c_t") <= most)
+    pairs = materialize(terms.alias("t").join(entities.alias("e"), same).select("t.row", "t.id", "t.m", "t.term", "t.near", "t.places", "t.c_t", "e.entity", "e.kind", "e.c_e"), "pii-pairs")
+
+    told = disclosures(pairs, n, _excess(terms, counts)).filter(F.col("disclosure") >= GENERALISE)
+    terms = pairs.join(told, ["entity", "term"]).select("row", "id", F.explode("places").alias("p"), "disclosure").groupBy("row", "id", "p.start", "p.end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("value"))
     terms = terms.groupBy("row", "id").agg(F.collect_list(span).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
