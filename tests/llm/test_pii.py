@@ -133,3 +133,20 @@ def test_rare_words_by_chance_stay(spark):
     texts = {i: f"common words with rare{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} here" + (f" and jan.pohl@corp{i}.example, pohl" if i == 7 else f" mail 10.0.0.{i}" if i < 40 else "") for i in range(100)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {i: t for i, t in _terms(pii.sanitise(docs), texts).items() if t} == {7: ["pohl"]}
+
+
+def test_terms_count_and_go_in_whole_documents(spark):
+    fill = "common words of all " * 12
+    texts = {i: f"zarquon {fill} mail boss@corp.example {fill} zarquon" for i in range(4)}
+    texts |= {i: f"{fill} mail boss@corp.example" for i in (10, 11)}
+    texts |= {i: f"{fill} mail {i}" for i in range(20, 80)}
+    docs = spark.createDataFrame(list(texts.items()) + [(3, texts[3])] * 5, "doc_id long, text string")
+    got = _terms(pii.sanitise(docs), texts)
+    assert got == {i: ["zarquon"] * 2 if i < 4 else [] for i in texts if i < 20}
+    assert not any("zarquon" in r.text for r in pii.stage(spark, docs, "").collect())
+
+
+def test_repeated_rows_keep_the_disclosure(spark):
+    texts = {0: "zarquon mail boss@corp.example", 1: "zarquon mail a lot", **{i: f"mail and words {i}" for i in range(10, 30)}}
+    docs = spark.createDataFrame([(0, texts[0])] * 9 + [(i, t) for i, t in texts.items() if i], "doc_id long, text string")
+    assert _terms(pii.sanitise(docs), texts) == {0: ["zarquon"]}
