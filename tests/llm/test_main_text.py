@@ -74,3 +74,11 @@ def test_articles_of_the_table(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(H.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)[^>]*>", article)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_long_advert_does_not_part_the_article():
+    for ad in ('<div class="ad">%s</div>', "<form><div class='ad'>%s</div></form>", "<aside>%s</aside>"):
+        page = "<article><h1>Headline</h1><p>short lead</p>" + ad % ("buy now " * 200) + "<p>" + "long text " * 50 + "</p></article>"
+        w = weights()
+        w.words["aside"] = -3.0
+        assert mt.main_text(page, w) == "Headline\nshort lead\n" + " ".join(["long text"] * 50)

@@ -3,7 +3,7 @@
 A page is a sequence of words and tags. Words score by the block they stand in (the innermost
 block element with its first class, and whether within a link), tags by their name and always
 below zero. The contiguous run of greatest total score, found by one linear scan, is the content
-region; within it, elements that are never content are left out.
+region; within it, elements that are never content are left out. Those score nothing.
 
 The weights are log-odds learned from labelled pages: those with exactly one ``article`` (or
 ``main``) element, whose inside is content and whose outside isn't. A bounded sample of pages is
@@ -95,9 +95,10 @@ def parse(page: str) -> list[Item]:
         name = name.lower()
         if slash:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            was_out = k is not None and stack[k][2]
             if k is not None:
                 close(k)
-            items.append(Item(None, "/" + name, name, out=out, inside=inside))
+            items.append(Item(None, "/" + name, name, out=out or was_out, inside=inside))
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -133,6 +134,8 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def score(self, item: Item) -> float:
+        if item.out:  # left out anyway: it neither joins nor parts
+            return 0.0
         if item.text is None:
             return self.tags.get(item.key, TAG_SCORE)
         return item.n * self.words.get(item.key, WORD_SCORE)
