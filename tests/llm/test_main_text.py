@@ -82,3 +82,19 @@ def test_long_advert_does_not_part_the_article():
         w = weights()
         w.words["aside"] = -3.0
         assert mt.main_text(page, w) == "Headline\nshort lead\n" + " ".join(["long text"] * 50)
+
+
+def test_wrappers_of_the_article_stay():
+    body = "<h1>Head</h1><p>the text of the page</p>"
+    for tag in ('div class="has-sidebar"', 'div id="page" class="no-comments"', 'section id="related-work"', 'div class="search-result"', 'div class="sidebar"', "form"):
+        name = tag.split()[0]
+        for inner in (body, f"<article>{body}</article>"):
+            page = f"<{tag}>{inner}<div class='site-footer_1'><p>boiler</p></div></{name}><div class='comments'><article class='comment'><p>reader</p></article></div>"
+            assert mt.main_text(page, weights()) == "Head\nthe text of the page", page
+    assert mt.main_text(f"{body}<div class='ad-box'><p>buy</p></div><div class='sidebar'><p>side</p></div>", weights()) == "Head\nthe text of the page"
+
+
+def test_foreign_and_nested_elements_end_where_they_do():
+    for cut in ("<svg viewBox='0 0'/>", "<math/>", "<svg><g/><svg><text>x</text></svg><text>no</text></svg>", "<object>a<object>b</object>no</object>", "<svg><svg/><text>no</text></svg>", "<object data='x'>"):
+        assert mt.main_text(f"<p>one {cut} two</p><p>three</p>", weights()) == "one two\nthree", cut
+    assert mt.main_text("<p>one<svg>" * 3000, weights()).count("one") == 3000

@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +42,18 @@ BLOCKS = frozenset(
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video title".split())
 #: Never content, wherever they stand.
 OUT = frozenset("nav footer aside form button select menu dialog head".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Class names, ids and roles of boilerplate, as whole words of the attribute.
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|cookie|cookies|consent|notice|notices|popup|modal|"
-    r"sidebar|comment|comments|disqus|respond|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|footer|masthead|"
-    r"related|recommended|share|sharing|social|newsletter|subscribe|signup|login|search|widget|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+#: Of these, those that hold other elements of their name.
+NESTED = frozenset("svg math object canvas audio video template".split())
+#: Class names, ids and roles of boilerplate. A name counts if all its parts, between hyphens and
+#: underscores, are of these or say only which or where.
+OUT_NAMES = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices popup modal "
+    "sidebar comment comments disqus respond menu nav navbar navigation breadcrumb breadcrumbs pagination footer masthead "
+    "related recommended share sharing social newsletter subscribe signup login search widget complementary contentinfo".split()
 )
+WHERE = frozenset("site page main global left right top bottom primary secondary list section box block area container wrapper".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"\S+")
@@ -67,24 +72,84 @@ class Item:
     starts_article: bool = False
 
 
+def _out_name(value: str) -> bool:
+    """Whether a class, id or role has a token that names boilerplate."""
+    for token in value.lower().split():
+        parts = [x for x in re.split(r"[_-]", token) if x and not x.isdigit()]
+        if any(x in OUT_NAMES for x in parts) and all(x in OUT_NAMES or x in WHERE for x in parts):
+            return True
+    return False
+
+
+def _end_of(name: str, page: str, at: int) -> int | None:
+    """Where the element ends whose start tag ends at ``at``; None if it is never closed."""
+    if name not in NESTED:
+        end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        return end.end() if end else None
+    depth, last = 1, None
+    for m in re.compile(rf"<!--.*?-->|<(/?){name}(?![\w:-])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I | re.S).finditer(page, at):
+        if m[1]:
+            depth, last = depth - 1, m.end()
+        elif m[1] is not None and not (name in FOREIGN and m[2].endswith("/")):
+            depth += 1
+        if depth == 0:
+            break
+    return last
+
+
+@dataclass(slots=True)
+class _Wrapper:
+    """An element that its name or names put out, and its items."""
+
+    start: int
+    end: int
+    by_words: bool  # it may be a wrapper of the page if it has most of its words
+
+
+def _mark(items: list[Item], wrappers: list[_Wrapper], articles: list[_Wrapper]) -> None:
+    """Set ``out`` within the wrappers, but for those that hold the article or, on pages without one,
+    most of the words."""
+    sums = list(accumulate((x.n for x in items), initial=0))
+    words = lambda w: sums[w.end] - sums[w.start]
+    article = max(articles, key=words, default=None)
+    opened = [0] * (len(items) + 1)
+    for w in wrappers:
+        most = 2 * words(w) > sums[-1]
+        if article and w.start < article.start and article.end <= w.end:
+            if w.by_words or most:
+                continue
+        elif not article and w.by_words and most:
+            continue
+        opened[w.start] += 1
+        opened[w.end] -= 1
+    for x, n in zip(items, accumulate(opened)):
+        x.out = x.out or n > 0
+
+
 def parse(page: str) -> list[Item]:
     """Tags and text runs of a page in order. Unclosed elements end with their parent, stray end
     tags are kept as tags and close nothing."""
     items: list[Item] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, block key, out, link, inside
-    at, key, out, link, inside = 0, "body", False, False, False
+    stack: list[tuple[str, str, bool, bool, list[_Wrapper]]] = []  # name, block key, link, inside, wrapper or article
+    wrappers: list[_Wrapper] = []
+    articles: list[_Wrapper] = []
+    unclosed: set[str] = set()
+    at, key, link, inside = 0, "body", False, False
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
             t = html.unescape(raw)
-            items.append(Item(t, key=key + "/a" * link, n=len(WORDS.findall(t)), out=out, inside=inside))
+            items.append(Item(t, key=key + "/a" * link, n=len(WORDS.findall(t)), inside=inside))
         elif raw:
-            items.append(Item(" ", key=key, out=out, inside=inside))
+            items.append(Item(" ", key=key, inside=inside))
 
     def close(k: int) -> None:
-        nonlocal key, out, link, inside
+        nonlocal key, link, inside
+        for s in stack[k:]:
+            for w in s[4]:
+                w.end = len(items)
         del stack[k:]
-        _, key, out, link, inside = stack[-1] if stack else ("", "body", False, False, False)
+        _, key, link, inside, _ = stack[-1] if stack else ("", "body", False, False, [])
 
     while m := TAG.search(page, at):
         text(page[at : m.start()])
@@ -95,15 +160,21 @@ def parse(page: str) -> list[Item]:
         name = name.lower()
         if slash:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            was_out = k is not None and stack[k][2]
+            items.append(tag := Item(None, "/" + name, name, inside=inside))
             if k is not None:
                 close(k)
-            items.append(Item(None, "/" + name, name, out=out or was_out, inside=inside))
+                tag.inside = inside
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             items.append(Item(None, name, name, out=True, inside=inside))
-            at = end.end() if end else len(page)
+            if name in FOREIGN and attrs.endswith("/"):
+                continue
+            end = None if name in unclosed else _end_of(name, page, at)
+            if end is None:
+                unclosed.add(name)
+                at = at if name in NESTED else len(page)
+            else:
+                at = end
             continue
         if name in ("p", "li") or name in BLOCKS and name not in VOID:  # an open paragraph ends here
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
@@ -115,16 +186,25 @@ def parse(page: str) -> list[Item]:
         article = name in ("article", "main")
         was_inside = inside
         if name in VOID:
-            items.append(Item(None, name, name, out=out, inside=inside))
+            items.append(Item(None, name, name, inside=inside))
             continue
-        bad = name in OUT or name == "header" and not inside or name not in ("html", "body", "article", "main") and any(OUT_NAMES.search(v) for v in named.values())
-        out, link, inside = out or bad, link or name == "a", inside or article
+        named_out = any(_out_name(v) for v in named.values())
+        held = []
+        if name in OUT or name == "header" and not inside or named_out and name not in ("html", "body", "article", "main"):
+            held.append(_Wrapper(len(items), -1, name == "form" or name not in OUT and name != "header"))
+            wrappers.append(held[-1])
+        if article and not inside and not named_out:
+            held.append(_Wrapper(len(items), -1, False))
+            articles.append(held[-1])
+        link, inside = link or name == "a", inside or article
         if name in BLOCKS:
             first = (named.get("class") or named.get("id") or "").split()
             key = name + ("." + first[0].lower() if first else "")
-        stack.append((name, key, out, link, inside))
-        items.append(Item(None, name, name, out=out, inside=was_inside, starts_article=article and not was_inside))
+        stack.append((name, key, link, inside, held))
+        items.append(Item(None, name, name, inside=was_inside, starts_article=article and not was_inside))
     text(page[at:])
+    close(0)
+    _mark(items, wrappers, articles)
     return items
 
 
