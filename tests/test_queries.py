@@ -20,3 +20,14 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dot_lines_draw_all_entries_and_relations(spark):
+    from treeline.sinks import graph
+    from treeline.sources import testbed
+
+    got = [r.line for r in outline.QUERIES["dot_lines"](spark, DATA).collect()]
+    edges = [(r.source, r.target) for r in graph.relations(testbed.store(spark, DATA)).collect()]
+    assert edges and sorted(x.split(" [")[0] for x in got if " -> " in x) == sorted(f'"{a}" -> "{b}"' for a, b in edges)
+    drawn = "\n".join(x for x in got if x.startswith("subgraph"))
+    assert all(f'"{i}" [label=' in drawn for i in {i for e in edges for i in e})

@@ -531,7 +531,7 @@ def _(s, spark, d):
 
 @query("dot_lines")
 def _(s, spark, d):
-    return graph.dot_lines(s, max_depth=2, keywords=("TODO",), types=("parent_child",))
+    return graph.dot_lines(s)
 
 
 @query(
