@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, materialize_narrow, narrow_parts, shared_path
+
+__all__ = ["SPACE", "WORD", "components", "materialize", "materialize_narrow", "narrow_parts", "release", "shared_path", "table"]
+
 #: White space of a word boundary, as a regular-expression class: space and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -19,34 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (a local test session) a temporary one is made and kept in
-    the session's settings, so that later calls use the same.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("treeline.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="treeline-")
-        spark.conf.set("treeline.scratch.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks it ran, and what was written is
-    read by every later step instead of being computed once more.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and those that
     wait would keep what their largest batch took."""
@@ -66,37 +40,35 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
     Alternates "large star" and "small star" steps (Kiveris et al. 2014): each hangs the
     neighbours of a node on the least of them. The number of edges never grows, a step is one
     aggregation and one join, a hub's neighbours are only ever reduced to a minimum, and the
-    number of rounds is logarithmic in practice.
+    number of rounds is logarithmic in practice. The rounds run on as many partitions as the edges
+    need. No fixed point after ``rounds`` is an error.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
-            both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        m = least(both).withColumn("m", F.least("m", "u"))
+            both = both.unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))).coalesce(parts)
+        m = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         joined = both.join(m, "u")
         if large:
             out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
-            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
-                m.select(F.col("u").alias("a"), F.col("m").alias("b"))
-            )
+            out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b"))).coalesce(parts)
         return out.filter("a > b").distinct()
 
-    e = materialize(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
-    )
+    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    rows = e.count()
+    parts = narrow_parts(2 * rows)
+    e = e.coalesce(parts)
     seen = None
-    for _ in range(rounds):
-        e = materialize(star(star(e, True), False), name)
+    for _ in range(rounds if rows else 0):
+        e = materialize_narrow(star(star(e, True), False), name, 2 * rows)
         n = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == tuple(n):
             break
         seen = tuple(n)
     else:
-        raise RuntimeError(f"components: no fixed point after {rounds} rounds")
+        if rows:
+            raise RuntimeError(f"components: no fixed point after {rounds} rounds")
     labels = e.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

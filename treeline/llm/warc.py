@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, table
+from .common import materialize, shared_path, table
 from .fsio import open_file, write_file
 
 MAGIC = 0x184D2A5D
@@ -200,7 +200,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    archives = write_archives(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
