@@ -101,6 +101,7 @@ def test_near_copies_against_brute_force(spark, seed, monkeypatch):
     docs = list(enumerate(texts))
     rng.shuffle(docs)
     # small blocks, so that groups are split over several tries and tasks
+    monkeypatch.setattr(nj, "PIVOTS", 2)
     monkeypatch.setattr(nj, "BLOCK", 3)
     monkeypatch.setattr(nj, "PROBES", 10)
     assert run(spark, docs) == brute(docs)
@@ -115,14 +116,17 @@ def test_trie_finds_what_comparison_does():
             s ^= {rng.randrange(60)}
         if s:
             sets.append(np.array(sorted(s)))
-    trie = nj.Trie(80)
+    trie, labelled = nj.Trie(80), nj.Trie(80)
     for k, s in enumerate(sets):
         trie.insert(s, len(s), k)
+        labelled.insert(s, len(s), k, k % 3)
     mark = np.zeros(100, bool)
     for s in sets:
         mark[s] = True
         want = {k for k, t in enumerate(sets) if len(np.intersect1d(s, t)) * 100 >= 80 * len(np.union1d(s, t))}
-        assert set(trie.search(s, len(s), mark)) == want
+        assert {k for k, _ in trie.search(s, len(s), mark)} == want
+        joined = {k % 3 for k in range(2)}
+        assert {k for k, _ in labelled.search(s, len(s), mark, joined)} == {k for k in want if k % 3 not in joined}
         mark[s] = False
 
 

@@ -2,26 +2,30 @@
 
 A document's set holds its distinct 5-word shingles. Two documents link when the Jaccard similarity
 of their sets is at least 0.8. The result is, for every document, the size of its set and the
-component of the link graph that it is in; no link is missed and no pair is formed that needn't be.
+component of the link graph that it is in; no link between different components is missed.
 
 1. Each text becomes a set of 64-bit shingle hashes, with a 64-bit signature. Equal sets are one
    class from here on, however many documents it has.
 2. A document with a partner shares at least 80 % of its shingles with other classes. First a part
    of the hash space (``PART``) is counted: who has too few shared shingles there, even if all the
-   others are shared, is out. Only the rest is counted in full. Counting runs on packed arrays, dealt
-   by hash range, so that a frequent shingle is one more entry of a range for each class.
-3. Shingles in a global order, rarest first: two linked documents share one of their first
-   ``n - ceil(0.8 n) + 1``. Classes that share such a shingle are hung on the least of them;
-   the components of that graph hold all links.
-4. In each of these candidate groups the most central class is compared with all others (one
-   comparison each). In a group of near copies that settles nearly all.
-5. Classes left over go into prefix trees over the global order (frequent first, so that common
-   parts are shared), in blocks of ``BLOCK``. Every class of the group traverses them: overlap is counted
+   others are shared, is out. Only the rest is counted in full. Counting is by hash range. What
+   several sets of a chunk of texts hold is sent once a chunk, so a shingle that a third of all
+   documents have is one entry a chunk and not one a document.
+3. Shingles in a global order, rarest first: two linked classes share one of their first
+   ``n - ceil(0.8 n) + 1``, their prefix. All links come from prefix trees (tries) over that order
+   (frequent first, so that common parts are shared): a class traverses a trie, overlap is counted
    once for a shared path, and a subtree is left as soon as its lengths and the shingles that remain
-   can't reach the threshold, or joined already.
+   can't reach the threshold.
+4. First tries of pivots: each prefix shingle names the most central class that has it, and each
+   class traverses the tries that hold the pivots of its own shingles. A group of near copies of any
+   size is joined by one traversal for each class and pivot.
+5. Then, for each prefix shingle that classes of different components still share, the trie of
+   those classes; subtrees that are of the traversing class's own component are left. Shingles with the
+   same classes are done once. A frequent one is split by length (``BANDS``) and into blocks.
 6. The links found give the components.
 
-Hashes: two different shingles (or sets) collide with probability 2^-64 a pair.
+Hashes: two different sets collide with probability 2^-64 a pair, two shingles of the sets that a trie
+compares with 2^-56.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release, table
+from .common import components, materialize, materialize_narrow, release, table
 
 WORDS = 5
 #: Similarity in percent.
@@ -47,9 +51,12 @@ BUCKET = 2_000_000
 RANGES = 32
 #: Bytes of text turned into shingles at once.
 CHUNK = 1 << 20
-#: Classes in one prefix tree, and classes that traverse it in one task.
+#: Pivots in one trie; classes in one of a shingle; classes that traverse one in one task.
+PIVOTS = 64
 BLOCK = 256
 PROBES = 2048
+#: Lengths of a band differ by this factor at most; only a shingle of over ``PROBES`` classes is split so.
+BANDS = 1.25
 #: Ids are broadcast up to this many; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -143,87 +150,167 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
     return d.mapInPandas(run, "rid long, id string, n long, sig long").withColumn("id", F.col("id").cast("long"))
 
 
+def _sets(texts: list, words: int, seen: set[int]) -> tuple[list[np.ndarray], list[int]]:
+    """The sets of texts that aren't ``seen`` yet, and their signatures."""
+    sets, sigs = [], []
+    for s in shingle_sets(texts, words):
+        if len(s) and (g := signature(s)) not in seen:
+            if len(seen) < 200_000:  # repeats that slip through only make shingles look shared
+                seen.add(g)
+            sets.append(s)
+            sigs.append(g)
+    return sets, sigs
+
+
+def _ranges(h: np.ndarray, buckets: int, part: int) -> np.ndarray:
+    """The hash range of each of the sorted ``h``, of which the lowest ``part`` 256ths are dealt."""
+    return np.minimum((h // _U(min((part << 56) // buckets + 1, 2**64 - 1))).astype(np.int64), buckets - 1)
+
+
 def _deal(text: DataFrame, buckets: int, part: int, words: int) -> DataFrame:
-    """The shingles of all distinct sets among ``text``, packed by hash range: ``bucket`` and, for
-    the sets of one chunk, signatures, sizes, numbers of shingles in the range and the shingles.
-    Only the lowest ``part`` 256ths of the hash space are dealt."""
+    """The shingles of all distinct sets among ``text`` in the lowest ``part`` 256ths of the hash
+    space, packed by hash range: ``bucket`` and, for the sets of one chunk, signatures, sizes, numbers
+    of shingles and the shingles that only one set of the chunk has; ``many``: those of several."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        width = _U(min((part << 56) // buckets + 1, 2**64 - 1))
         for pdf in batches:
             texts = pdf["text"].tolist()
             for lo, hi in _chunks(texts):
-                sets, sigs = [], []
-                for s in shingle_sets(texts[lo:hi], words):
-                    if len(s) and (g := signature(s)) not in seen:
-                        if len(seen) < 200_000:  # repeats that slip through are dropped later
-                            seen.add(g)
-                        sets.append(s)
-                        sigs.append(g)
+                sets, sigs = _sets(texts[lo:hi], words, seen)
                 if not sets:
                     continue
                 sig, n = np.array(sigs, np.int64), np.array([len(s) for s in sets], np.uint32)
                 if part < 256:
                     sets = [s[: np.searchsorted(s, _U(part << 56))] for s in sets]
-                owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
                 h = np.concatenate(sets)
-                b = np.minimum((h // width).astype(np.int64), buckets - 1)
-                order = np.argsort(b, kind="stable")
-                h, owner, b = h[order], owner[order], b[order]
-                edges = np.searchsorted(b, np.arange(buckets + 1))
+                owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+                order = np.argsort(h, kind="stable")
+                h, owner = h[order], owner[order]
+                new = np.append(True, h[1:] != h[:-1])
+                single = new & np.append(new[1:], True)
+                many = h[new & ~single]
+                h, owner = h[single], owner[single]
+                edges = np.searchsorted(_ranges(h, buckets, part), np.arange(buckets + 1))
+                apart = np.searchsorted(_ranges(many, buckets, part), np.arange(buckets + 1))
                 rows = []
                 for k in range(buckets):
-                    if edges[k] < edges[k + 1]:
-                        o = owner[edges[k] : edges[k + 1]]
-                        who, count = np.unique(o, return_counts=True)
-                        rows.append((k, sig[who].tobytes(), n[who].tobytes(), count.astype(np.uint32).tobytes(), h[edges[k] : edges[k + 1]].tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "sigs", "ns", "counts", "hashes"])
+                    a, b = edges[k], edges[k + 1]
+                    if a < b or apart[k] < apart[k + 1]:
+                        o = np.argsort(owner[a:b], kind="stable")
+                        who, count = np.unique(owner[a:b], return_counts=True)
+                        rows.append((k, sig[who].tobytes(), n[who].tobytes(), count.astype(np.uint32).tobytes(), h[a:b][o].tobytes(), many[apart[k] : apart[k + 1]].tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "sigs", "ns", "counts", "hashes", "many"])
             release()
 
-    return text.mapInPandas(run, "bucket long, sigs binary, ns binary, counts binary, hashes binary")
+    return text.mapInPandas(run, "bucket long, sigs binary, ns binary, counts binary, hashes binary, many binary")
+
 
+def _joined(column: pd.Series, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype)
 
-def _unpack(pdf: pd.DataFrame):
-    """sig and n of every (set, chunk), its owner index per shingle, the shingles, and how many sets
-    have each; a set that came twice counts once."""
-    sig = np.frombuffer(b"".join(pdf["sigs"]), np.int64)
-    n = np.frombuffer(b"".join(pdf["ns"]), np.uint32).astype(np.int64)
-    count = np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.int64)
-    h = np.frombuffer(b"".join(pdf["hashes"]), _U)
+
+def _tally(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For every set how many of its shingles no other has. A set that came twice counts once."""
+    release()
+    sig, n = _joined(pdf["sigs"], np.int64), _joined(pdf["ns"], np.uint32).astype(np.int64)
+    count, h = _joined(pdf["counts"], np.uint32).astype(np.int64), _joined(pdf["hashes"], _U)
+    owner = np.repeat(np.arange(len(sig)), count)
     _, first = np.unique(sig, return_index=True)
     if len(first) < len(sig):
         keep = np.zeros(len(sig), bool)
         keep[first] = True
-        h = h[np.repeat(keep, count)]
-        sig, n, count = sig[keep], n[keep], count[keep]
-    owner = np.repeat(np.arange(len(sig)), count)
+        h, owner = h[keep[owner]], owner[keep[owner]]
     order = np.argsort(h, kind="stable")
-    ordered = h[order]
-    new = np.empty(len(h), bool)
-    new[:1], new[1:] = True, ordered[1:] != ordered[:-1]
-    at = np.flatnonzero(new)
-    df = np.empty(len(h), np.int64)
-    df[order] = np.repeat(np.diff(np.append(at, len(h))), np.diff(np.append(at, len(h))))
-    return sig, n, count, owner, h, df
+    h, owner = h[order], owner[order]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    alone = new & np.append(new[1:], True)[: len(h)]
+    alone[alone] = ~np.isin(h[alone], np.unique(_joined(pdf["many"], _U)))
+    lone = np.bincount(owner[alone], minlength=len(sig))[first]
+    return pd.DataFrame({"sig": sig[first], "n": n[first], "lone": lone})[lone > 0]
 
 
-def _tally(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every set how many of its shingles no other has."""
-    release()
-    sig, n, count, owner, _, df = _unpack(pdf)
-    return pd.DataFrame({"sig": sig, "n": n, "lone": np.bincount(owner[df == 1], minlength=len(sig))})
+def _pack(text: DataFrame, words: int) -> DataFrame:
+    """The sets of ``text``, packed by chunk, which is named by a hash of what it holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for lo, hi in _chunks(texts):
+                sets, sigs = _sets(texts[lo:hi], words, seen)
+                if sets:
+                    n = np.array([len(s) for s in sets], np.uint32)
+                    name = signature(np.array(sigs, np.int64).view(_U))
+                    yield pd.DataFrame([(name, np.array(sigs, np.int64).tobytes(), n.tobytes(), np.concatenate(sets).tobytes())], columns=["chunk", "sigs", "ns", "hashes"])
+            release()
+
+    return text.mapInPandas(run, "chunk long, sigs binary, ns binary, hashes binary")
+
+
+def _asked(packed: DataFrame, buckets: int) -> DataFrame:
+    """The distinct shingles of every chunk by hash range, with the number of its sets that have them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, raw in zip(pdf["chunk"], pdf["hashes"], strict=True):
+                h, count = np.unique(np.frombuffer(raw, _U), return_counts=True)
+                edges = np.searchsorted(_ranges(h, buckets, 256), np.arange(buckets + 1))
+                rows = [(k, name, h[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "hashes", "counts"])
+            release()
+
+    return packed.mapInPandas(run, "bucket long, chunk long, hashes binary, counts binary")
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every set its shingles that others have too, with the number of sets that have them."""
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For every chunk those of its shingles in the range that several sets have, with their number."""
     release()
-    sig, n, count, owner, h, df = _unpack(pdf)
-    keep = df > 1
-    owner, h, df = owner[keep], h[keep].astype(np.int64), df[keep]
-    cuts = np.searchsorted(owner, np.arange(len(sig) + 1))
-    rows = [(sig[k], n[k], h[a:b], df[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-    return pd.DataFrame(rows, columns=["sig", "n", "tokens", "dfs"])
+    pdf = pdf.drop_duplicates("chunk")
+    h, count = _joined(pdf["hashes"], _U), _joined(pdf["counts"], np.uint32).astype(np.int64)
+    _, inverse = np.unique(h, return_inverse=True)
+    df = np.bincount(inverse, count).astype(np.int64)[inverse]
+    rows, at = [], 0
+    for name, raw in zip(pdf["chunk"], pdf["hashes"], strict=True):
+        d = df[at : at + len(raw) // 8]
+        at += len(d)
+        if (keep := d > 1).any():
+            rows.append((name, np.frombuffer(raw, _U)[keep].tobytes(), d[keep].tobytes()))
+    return pd.DataFrame(rows, columns=["chunk", "hashes", "dfs"])
+
+
+def _ordered(percent: int):
+    """(chunk's sets, answers) -> ``sig, n, tokens, prefix, short, central`` of the sets of which enough is
+    shared. A token is a shared shingle: its frequency in the upper bits, its hash in the lower, so that
+    tokens in their own order are in the global order, rarest first. ``prefix`` are those that a linked
+    class shares one of, at least; of the first ``short`` of them if it has no fewer shingles."""
+
+    def run(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(packed) and len(answers):
+            sig, n = np.frombuffer(packed["sigs"][0], np.int64), np.frombuffer(packed["ns"][0], np.uint32).astype(np.int64)
+            h = np.frombuffer(packed["hashes"][0], _U)
+            known, df = _joined(answers["hashes"], _U), _joined(answers["dfs"], np.int64)
+            order = np.argsort(known)
+            known, df = known[order], df[order]
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            shared = known[at] == h
+            level = np.minimum(np.floor(4 * np.log2(df)), 127).astype(_U)
+            token = ((level[at] << _U(56)) | (h >> _U(8))).astype(np.int64)
+            weight = np.minimum(df[at], 1000)
+            ends = np.cumsum(n)
+            for k, (lo, hi) in enumerate(zip(ends - n, ends, strict=True)):
+                mine = shared[lo:hi]
+                size, m = int(n[k]), int(np.count_nonzero(mine))
+                if m * 100 >= percent * size:
+                    t = np.sort(token[lo:hi][mine])
+                    length = m + 1 + (-percent * size) // 100  # n - ceil(0.8 n) + 1, less those of no other
+                    short = m + 1 + (-2 * percent * size) // (100 + percent)
+                    rows.append((sig[k], size, t, t[:length], max(0, short), weight[lo:hi][mine].sum() / size))
+        release()
+        return pd.DataFrame(rows, columns=["sig", "n", "tokens", "prefix", "short", "central"])
+
+    return run
 
 
 # -- prefix trees ----------------------------------------------------------------------------
@@ -231,52 +318,57 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 class Node:
     """A path of tokens; below it, sets of ``lo`` to ``hi`` shingles with at most ``rest`` tokens
-    more."""
+    more, all of component ``label`` unless that is None."""
 
-    __slots__ = ("edge", "children", "lo", "hi", "rest", "sets")
+    __slots__ = ("edge", "children", "lo", "hi", "rest", "label", "sets")
 
-    def __init__(self, edge: np.ndarray) -> None:
-        self.edge, self.children, self.lo, self.hi, self.rest, self.sets = edge, {}, 1 << 62, 0, 0, []
+    def __init__(self, edge: np.ndarray, label) -> None:
+        self.edge, self.children, self.lo, self.hi, self.rest, self.label, self.sets = edge, {}, 1 << 62, 0, 0, label, []
 
-    def widen(self, n: int, rest: int) -> None:
+    def widen(self, n: int, rest: int, label) -> None:
         self.lo, self.hi, self.rest = min(self.lo, n), max(self.hi, n), max(self.rest, rest)
+        if self.label != label:
+            self.label = None
 
 
 class Trie:
     def __init__(self, percent: int) -> None:
-        self.root, self.percent = Node(np.empty(0, np.int64)), percent
+        self.root, self.percent = None, percent
 
-    def insert(self, tokens: np.ndarray, n: int, name) -> None:
+    def insert(self, tokens: np.ndarray, n: int, name, label=None) -> None:
+        if self.root is None:
+            self.root = Node(tokens[:0], label)
         node, at = self.root, 0
-        node.widen(n, len(tokens))
+        node.widen(n, len(tokens), label)
         while at < len(tokens):
             child = node.children.get(int(tokens[at]))
             if child is None:
-                child = node.children[int(tokens[at])] = Node(tokens[at:])
+                child = node.children[int(tokens[at])] = Node(tokens[at:], label)
                 k = len(child.edge)
             else:
                 m = min(len(child.edge), len(tokens) - at)
                 differ = np.flatnonzero(child.edge[:m] != tokens[at : at + m])
                 k = int(differ[0]) if len(differ) else m
                 if k < len(child.edge):  # the path forks here
-                    upper = Node(child.edge[:k])
+                    upper = Node(child.edge[:k], child.label)
                     upper.lo, upper.hi, upper.rest = child.lo, child.hi, child.rest + len(child.edge) - k
                     child.edge = child.edge[k:]
                     upper.children[int(child.edge[0])] = child
                     node.children[int(tokens[at])] = child = upper
             at += k
-            child.widen(n, len(tokens) - at)
+            child.widen(n, len(tokens) - at, label)
             node = child
-        node.sets.append((n, name))
+        node.sets.append((n, name, label))
 
-    def search(self, tokens: np.ndarray, n: int, mark: np.ndarray) -> Iterator:
-        """Names of the sets similar to a set of ``n`` shingles with these ``tokens``. ``mark`` is
-        true for the tokens' numbers; numbers follow the global order."""
+    def search(self, tokens: np.ndarray, n: int, mark: np.ndarray, joined: frozenset | set = frozenset()) -> Iterator:
+        """(name, label) of the sets similar to a set of ``n`` shingles with these ``tokens``. ``mark`` is
+        true for the tokens' numbers; numbers follow the global order. What is of a component in
+        ``joined``, which may grow meanwhile, is left out."""
         p = self.percent
-        stack = [(self.root, 0)]
+        stack = [(self.root, 0)] if self.root else []
         while stack:
             node, overlap = stack.pop()
-            if node.hi * 100 < p * n or node.lo * p > 100 * n:
+            if node.hi * 100 < p * n or node.lo * p > 100 * n or node.label is not None and node.label in joined:
                 continue
             left = len(tokens)
             if len(node.edge):
@@ -284,53 +376,100 @@ class Trie:
                 left -= int(np.searchsorted(tokens, node.edge[-1], "right"))
             if (overlap + min(node.rest, left)) * (100 + p) < p * (n + max(node.lo, -(-p * n // 100))):
                 continue
-            for m, name in node.sets:
-                if overlap * 100 >= p * (n + m - overlap):
-                    yield name
+            for m, name, label in node.sets:
+                if overlap * 100 >= p * (n + m - overlap) and (label is None or label not in joined):
+                    yield name, label
             stack += [(c, overlap) for c in node.children.values()]
 
 
-def _trie_links(percent: int):
+def _trie_links(keys: list[str], percent: int):
+    """Links between the classes of each group: those with ``index`` are put into a trie, those with
+    ``probe`` traverse it. A class of a component is linked to every other component once at most."""
+
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         out: list[tuple[int, int]] = []
-        for _, group in pdf.groupby(["label", "block", "part"]):
-            up: dict[int, int] = {}
-
-            def find(x: int, up=up) -> int:
-                while (y := up.setdefault(x, x)) != x:
-                    up[x] = x = up[y]
-                return x
-
-            index = group[group["role"] == "index"]
-            # numbers in global order: frequent first, then by hash
-            all_t, all_d = np.concatenate(group["tokens"].tolist()), np.concatenate(group["dfs"].tolist())
-            vocab, first = np.unique(all_t, return_index=True)
-            rank = np.empty(len(vocab), np.int64)
-            rank[np.lexsort((vocab, all_d[first]))[::-1]] = np.arange(len(vocab))
+        for _, group in pdf.groupby(keys):
+            vocab = np.unique(np.concatenate(group["tokens"].tolist()))
+            numbers = [len(vocab) - 1 - np.searchsorted(vocab, t[::-1]) for t in group["tokens"]]  # frequent first
+            labels = [None if x is None or x != x else int(x) for x in group["label"]]
+            rows = list(zip(group["sig"].tolist(), group["n"].tolist(), numbers, labels, group["index"].tolist(), group["probe"].tolist(), strict=True))
             trie, mark = Trie(percent), np.zeros(len(vocab), bool)
-            for sig, n, t in zip(index["sig"], index["n"], index["tokens"], strict=True):
-                trie.insert(rank[np.searchsorted(vocab, t)], n, sig)
-            probe = group[group["role"] == "probe"]
-            for sig, n, t, settled in zip(probe["sig"], probe["n"], probe["tokens"], probe["settled"], strict=True):
-                if settled == settled and settled is not None:
-                    up[find(sig)] = find(int(settled))
-            for sig, n, t in zip(probe["sig"], probe["n"], probe["tokens"], strict=True):
-                ids = rank[np.searchsorted(vocab, t)]
-                mark[ids] = True
-                for name in trie.search(ids, n, mark):
-                    if (a := find(sig)) != (b := find(name)):
-                        up[a] = b
-                        out.append((sig, name))
-                mark[ids] = False
+            for sig, n, ids, label, index, _ in rows:
+                if index:
+                    trie.insert(ids, n, sig, label)
+            for sig, n, ids, label, _, probe in rows:
+                if probe:
+                    mark[ids] = True
+                    joined = set() if label is None else {label}
+                    for name, other in trie.search(ids, n, mark, joined):
+                        if name != sig:
+                            out.append((sig, name))
+                            if other is not None:
+                                joined.add(other)
+                    mark[ids] = False
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return links
 
 
-def class_links(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``a, b``: links that join all classes of one component. ``text`` has ``rid, id, text``,
+def _search(sets: DataFrame, places: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``a, b``: links within the groups of ``places`` (``sig``, keys, ``label``, ``index``, ``probe``)."""
+    rows = places.count()
+    both = sets.select("sig", "n", "tokens").join(places, "sig").withColumn("task", F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-rows // 500)))))
+    return both.groupBy("task").applyInPandas(_trie_links(keys, percent), "a long, b long")
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _pivot_places(tokens: DataFrame) -> DataFrame:
+    """Tries of pivots and who traverses them. ``tokens`` has ``token, sig, central``."""
+    pivot = tokens.groupBy("token").agg(F.max(F.struct("central", "sig"))["sig"].alias("pivot"), F.min("sig").alias("lo"), F.max("sig").alias("hi"))
+    # Written down, so that the next join has an exchange of its own on either side, which can be split.
+    pivot = materialize(pivot.filter("lo <> hi").select("token", "pivot"), "join-pivots")
+    blocks = max(1, -(-pivot.select("pivot").distinct().count() // PIVOTS))
+    block = F.pmod(F.xxhash64("pivot"), F.lit(blocks)).alias("block")
+    probes = materialize_narrow(tokens.join(pivot, "token").filter("sig <> pivot").select("sig", block).distinct(), "join-probes")
+    parts = probes.groupBy("block").agg(F.ceil(F.count("*") / PROBES).alias("parts"))
+    held = pivot.select(F.col("pivot").alias("sig"), block).distinct().join(parts, "block")
+    index = held.select("sig", "block", _every(F.col("parts")).alias("part"), F.lit(True).alias("index"), F.lit(False).alias("probe"))
+    probe = probes.join(parts, "block").select("sig", "block", F.pmod(F.xxhash64("sig"), "parts").alias("part"), F.lit(False).alias("index"), F.lit(True).alias("probe"))
+    return materialize_narrow(index.unionByName(probe).withColumn("label", F.lit(None).cast("long")), "join-places")
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(BANDS)))
+
+
+def _token_places(tokens: DataFrame, percent: int) -> DataFrame:
+    """Tries of the shingles that different components share. ``tokens`` has ``token, sig, n, short, label``;
+    of two linked classes that of fewer shingles has the token among its short prefix."""
+    own = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("all"), F.count_if("short").alias("few"), F.bit_xor(F.xxhash64("sig", "short")).alias("who"))
+    mixed = own.filter("lo <> hi and few > 0").groupBy("who", "all", "few").agg(F.min("token").alias("token"))
+    mixed = materialize(mixed.select("token", "all"), "join-mixed")
+    member = tokens.join(mixed, "token").withColumn("large", F.col("all") > PROBES).drop("all")
+    low = F.ceil(F.col("n") * percent / 100)
+    index = member.filter("short").withColumn("band", F.when(F.col("large"), _band(F.col("n"))).otherwise(0))
+    probe = member.withColumn("band", F.explode(F.when(F.col("large"), F.sequence(_band(low), _band(F.col("n")))).otherwise(F.array(F.lit(0).cast("long")))))
+    cols = ["token", "band", "sig", "label"]
+    index = index.select(*cols, F.lit(1).alias("i"), F.lit(0).alias("p"))
+    placed = materialize(index.unionByName(probe.select(*cols, F.lit(0).alias("i"), F.lit(1).alias("p"))).groupBy(*cols).agg(F.max("i").alias("i"), F.max("p").alias("p")), "join-members")
+    sizes = placed.groupBy("token", "band").agg(F.ceil(F.sum("i") / BLOCK).alias("blocks"), F.ceil(F.sum("p") / PROBES).alias("parts")).filter("blocks > 0 and parts > 0")
+    m = placed.join(materialize(sizes, "join-sizes"), ["token", "band"])
+    mine = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
+    out = [*cols, "block", "part", "index", "probe"]
+    one = m.filter("blocks * parts = 1").withColumns({"block": F.lit(0).cast("long"), "part": F.lit(0).cast("long"), "index": F.col("i") == 1, "probe": F.col("p") == 1}).select(out)
+    more = m.filter("blocks * parts > 1")
+    index = more.filter("i = 1").withColumn("part", _every(F.col("parts"))).withColumns({"block": mine("blocks"), "index": F.lit(True), "probe": F.lit(False)}).select(out)
+    probe = more.filter("p = 1").withColumn("block", _every(F.col("blocks"))).withColumns({"part": mine("parts"), "index": F.lit(False), "probe": F.lit(True)}).select(out)
+    return materialize(one.unionByName(index).unionByName(probe), "join-places")
+
+
+def class_labels(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """``node, label``: classes with a link and their component. ``text`` has ``rid, id, text``,
     ``sets`` is ``document_sets`` of the same rows."""
-    spark = text.sparkSession
     classes = materialize(sets.filter("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min(F.struct("rid", "id")).alias("row")), "join-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
 
@@ -338,56 +477,29 @@ def class_links(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words:
     few = max(RANGES, -(-total * PART // 256 // BUCKET))
     tally = _deal(text.select("text"), few, PART, words).groupBy("bucket").applyInPandas(_tally, "sig long, n long, lone long")
     lone = tally.groupBy("sig").agg(F.sum("lone").alias("lone"))
-    # None dealt in that part: nothing is known, so it stays.
+    # None counted in that part: nothing is known, so it stays.
     alive = classes.join(lone, "sig", "left").filter(F.coalesce("lone", F.lit(0)) * 100 <= (100 - percent) * F.col("n"))
-    alive = materialize(alive.select("sig", "n", "row.rid", "row.id"), "join-alive")
+    alive = materialize(alive.select("n", "row.rid", "row.id"), "join-alive")
     r = alive.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
 
     ids = alive.select(F.col("rid").alias("_rid"), F.col("id").alias("_id"))
     ids = F.broadcast(ids) if r.c <= BROADCAST_ROWS else ids
     texts = text.join(ids, (F.col("rid") == F.col("_rid")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    shared = _deal(texts, max(RANGES, -(-r.n // BUCKET)), 256, words).groupBy("bucket").applyInPandas(_shared, "sig long, n long, tokens array<long>, dfs array<long>")
-    shared = (
-        shared.groupBy("sig")
-        .agg(F.first("n").alias("n"), F.sum(F.size("tokens")).alias("m"), F.collect_list("tokens").alias("tokens"), F.collect_list("dfs").alias("dfs"))
-        .filter(F.col("m") * 100 >= percent * F.col("n"))
-    )
-    # Global order: by number of sets, then hash; frequent first. Shingles without a partner come after all.
-    pairs = F.sort_array(F.arrays_zip(F.flatten("dfs").alias("d"), F.flatten("tokens").alias("t")), asc=False)
-    ordered = shared.select("sig", "n", "m", pairs.alias("p")).select("sig", "n", "m", F.transform("p", lambda x: x["t"]).alias("tokens"), F.transform("p", lambda x: x["d"]).alias("dfs"))
-    need = F.ceil(F.col("n") * percent / 100)
-    length = (F.col("n") - need + 1 - (F.col("n") - F.col("m"))).cast("int")
-    central = F.aggregate("dfs", F.lit(0).cast("long"), lambda s, d: s + F.least(d, F.lit(1000).cast("long"))) / F.col("n")
-    ordered = ordered.select("sig", "n", "tokens", "dfs", F.slice(F.reverse("tokens"), F.lit(1), length).alias("prefix"), central.alias("central"))
-    ordered = materialize(ordered, "join-sets")
-
-    # Classes that share a shingle of their prefixes.
-    prefix = ordered.select("sig", F.explode("prefix").alias("token"))
-    least = prefix.groupBy("token").agg(F.min("sig").alias("b"), F.count("*").alias("c")).filter("c > 1").select("token", "b")
-    groups = components(prefix.join(least, "token").select(F.col("sig").alias("a"), "b"), "join-groups")
-    member = materialize(ordered.drop("prefix").join(groups.select(F.col("node").alias("sig"), "label"), "sig"), "join-members")
-
-    # One comparison with the most central class of the group.
-    central = member.groupBy("label").agg(F.max(F.struct("central", "sig")).alias("c")).select(F.col("c.sig").alias("sig"))
-    pivot = member.join(central, "sig", "left_semi").select("label", F.col("sig").alias("p_sig"), F.col("n").alias("p_n"), F.col("tokens").alias("p_tokens"))
-    overlap = F.size(F.array_intersect("tokens", "p_tokens"))
-    similar = overlap * 100 >= percent * (F.col("n") + F.col("p_n") - overlap)
-    judged = materialize(member.join(pivot, "label").select("label", "sig", F.when(similar, F.col("p_sig")).alias("settled")), "join-judged")
-
-    # What is left over, against all of its group, through prefix trees.
-    left = judged.groupBy("label").agg(F.count("*").alias("members"), F.count_if(F.col("settled").isNull()).alias("open")).filter("open > 0")
-    # Written down, so that the next join has an exchange of its own on either side, which can be split.
-    left = materialize(left.select("label", F.ceil(F.col("open") / BLOCK).alias("blocks"), F.ceil(F.col("members") / PROBES).alias("parts")), "join-left")
-    todo = materialize(member.drop("central", "label").join(judged.join(left, "label"), "sig"), "join-todo")
-    rows = todo.count()
-    own = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["label", "sig", "n", "tokens", "dfs", "settled"]
-    index = todo.filter("settled is null").select(*cols, own("blocks").alias("block"), every("parts").alias("part"), F.lit("index").alias("role"))
-    probe = todo.select(*cols, own("parts").alias("part"), every("blocks").alias("block"), F.lit("probe").alias("role"))
-    both = index.unionByName(probe).withColumn("task", F.pmod(F.xxhash64("label", "block", "part"), F.lit(max(1, -(-rows // 500)))))
-    found = both.groupBy("task").applyInPandas(_trie_links(percent), "a long, b long")
-    return judged.filter("settled is not null and settled <> sig").select(F.col("sig").alias("a"), F.col("settled").alias("b")).unionByName(found)
+    packed = materialize(_pack(texts, words), "join-packed")
+    answers = _asked(packed, max(RANGES, -(-r.n // BUCKET))).groupBy("bucket").applyInPandas(_answer, "chunk long, hashes binary, dfs binary")
+    ordered = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_ordered(percent), "sig long, n long, tokens array<long>, prefix array<long>, short int, central double")
+    ordered = materialize(ordered.dropDuplicates(["sig"]), "join-sets")
+
+    prefix = ordered.select("sig", "central", F.explode("prefix").alias("token"))
+    found = materialize(_search(ordered, _pivot_places(prefix), ["block", "part"], percent), "join-links")
+    labels = materialize_narrow(components(found, "join-labels"), "join-labels")
+    labelled = ordered.select("sig", "n", "prefix", "short").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    exploded = labelled.select("sig", "n", "short", F.coalesce("label", "sig").alias("label"), F.posexplode("prefix").alias("at", "token"))
+    places = _token_places(exploded.withColumn("short", F.col("at") < F.col("short")).drop("at"), percent)
+    more = materialize(_search(ordered, places, ["token", "band", "block", "part"], percent), "join-links")
+    if more.isEmpty():
+        return labels
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "join-labels")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,7 +510,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     others. Null ids never are a component's id, unless it has no other. Texts are read whole."""
     text = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = materialize(document_sets(docs, id_col, text_col, words), "join-documents")
-    labels = materialize(components(class_links(text, sets, percent, words), "join-links"), "join-labels")
+    labels = materialize(class_labels(text, sets, percent, words), "join-labels")
     least = sets.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("c"))
     grouped = least.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left")
     top = grouped.filter("label is not null").groupBy(F.col("label").alias("l")).agg(F.min("least").alias("top"))
