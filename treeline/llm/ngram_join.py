@@ -20,8 +20,8 @@ component of the link graph that it is in; no link between different components
    class traverses the tries that hold the pivots of its own shingles. A group of near copies of any
    size is joined by one traversal for each class and pivot.
 5. Then, for each prefix shingle that classes of different components still share, the trie of
-   those classes; subtrees that are of the traversing class's own component are left. Shingles with the
-   same classes are done once. A frequent one is split by length (``BANDS``) and into blocks.
+   those classes; subtrees that are of the traversing class's own component are left. Shingles whose
+   least class is the same share a trie. A large one is split by length (``BANDS``) and into blocks.
 6. The links found give the components.
 
 Hashes: two different sets collide with probability 2^-64 a pair, two shingles of the sets that a trie
@@ -51,11 +51,11 @@ BUCKET = 2_000_000
 RANGES = 32
 #: Bytes of text turned into shingles at once.
 CHUNK = 1 << 20
-#: Pivots in one trie; classes in one of a shingle; classes that traverse one in one task.
+#: Pivots in one trie; classes in one of a group; classes that traverse one in one task.
 PIVOTS = 64
 BLOCK = 256
 PROBES = 2048
-#: Lengths of a band differ by this factor at most; only a shingle of over ``PROBES`` classes is split so.
+#: Lengths of a band differ by this factor at most; only a group of over ``PROBES`` classes is split so.
 BANDS = 1.25
 #: Ids are broadcast up to this many; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -443,28 +443,32 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(BANDS)))
 
 
-def _token_places(tokens: DataFrame, percent: int) -> DataFrame:
+def _home_places(tokens: DataFrame, percent: int) -> DataFrame:
     """Tries of the shingles that different components share. ``tokens`` has ``token, sig, n, short, label``;
-    of two linked classes that of fewer shingles has the token among its short prefix."""
-    own = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("all"), F.count_if("short").alias("few"), F.bit_xor(F.xxhash64("sig", "short")).alias("who"))
-    mixed = own.filter("lo <> hi and few > 0").groupBy("who", "all", "few").agg(F.min("token").alias("token"))
-    mixed = materialize(mixed.select("token", "all"), "join-mixed")
-    member = tokens.join(mixed, "token").withColumn("large", F.col("all") > PROBES).drop("all")
+    of two linked classes that of fewer shingles has the token among its short prefix. The classes of all
+    shingles with the same home, their least class, are one group: near copies have few homes."""
+    own = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("sig").alias("home"), F.count_if("short").alias("few"))
+    # Written down, so that the next join has an exchange of its own on either side, which can be split.
+    mixed = materialize(own.filter("lo <> hi and few > 0").select("token", "home"), "join-mixed")
+    member = tokens.join(mixed, "token").groupBy("home", "sig").agg(F.max("short").alias("short"), F.first("n").alias("n"), F.first("label").alias("label"))
+    member = materialize_narrow(member, "join-members")
+    large = member.groupBy("home").agg((F.count("*") > PROBES).alias("large"))
+    m = member.join(materialize_narrow(large, "join-large"), "home")
     low = F.ceil(F.col("n") * percent / 100)
-    index = member.filter("short").withColumn("band", F.when(F.col("large"), _band(F.col("n"))).otherwise(0))
-    probe = member.withColumn("band", F.explode(F.when(F.col("large"), F.sequence(_band(low), _band(F.col("n")))).otherwise(F.array(F.lit(0).cast("long")))))
-    cols = ["token", "band", "sig", "label"]
-    index = index.select(*cols, F.lit(1).alias("i"), F.lit(0).alias("p"))
-    placed = materialize(index.unionByName(probe.select(*cols, F.lit(0).alias("i"), F.lit(1).alias("p"))).groupBy(*cols).agg(F.max("i").alias("i"), F.max("p").alias("p")), "join-members")
-    sizes = placed.groupBy("token", "band").agg(F.ceil(F.sum("i") / BLOCK).alias("blocks"), F.ceil(F.sum("p") / PROBES).alias("parts")).filter("blocks > 0 and parts > 0")
-    m = placed.join(materialize(sizes, "join-sizes"), ["token", "band"])
+    # A class traverses its own band and those of classes of fewer shingles that are similar enough.
+    bands = F.explode(F.when(F.col("large"), F.sequence(_band(low), _band(F.col("n")))).otherwise(F.array(F.lit(0).cast("long"))))
+    m = m.withColumn("own", F.when(F.col("large"), _band(F.col("n"))).otherwise(0)).withColumn("band", bands)
+    m = materialize_narrow(m.select("home", "band", "sig", "label", (F.col("short") & (F.col("own") == F.col("band"))).alias("index")), "join-bands")
+    sizes = m.groupBy("home", "band").agg(F.ceil(F.count_if("index") / BLOCK).alias("blocks"), F.ceil(F.count("*") / PROBES).alias("parts")).filter("blocks > 0")
+    m = m.join(materialize_narrow(sizes, "join-sizes"), ["home", "band"])
     mine = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
-    out = [*cols, "block", "part", "index", "probe"]
-    one = m.filter("blocks * parts = 1").withColumns({"block": F.lit(0).cast("long"), "part": F.lit(0).cast("long"), "index": F.col("i") == 1, "probe": F.col("p") == 1}).select(out)
+    out = ["home", "band", "sig", "label", "block", "part", "index", "probe"]
+    zero = F.lit(0).cast("long")
+    one = m.filter("blocks * parts = 1").withColumns({"block": zero, "part": zero, "probe": F.lit(True)}).select(out)
     more = m.filter("blocks * parts > 1")
-    index = more.filter("i = 1").withColumn("part", _every(F.col("parts"))).withColumns({"block": mine("blocks"), "index": F.lit(True), "probe": F.lit(False)}).select(out)
-    probe = more.filter("p = 1").withColumn("block", _every(F.col("blocks"))).withColumns({"part": mine("parts"), "index": F.lit(False), "probe": F.lit(True)}).select(out)
-    return materialize(one.unionByName(index).unionByName(probe), "join-places")
+    index = more.filter("index").withColumn("part", _every(F.col("parts"))).withColumns({"block": mine("blocks"), "probe": F.lit(False)}).select(out)
+    probe = more.withColumn("block", _every(F.col("blocks"))).withColumns({"part": mine("parts"), "index": F.lit(False), "probe": F.lit(True)}).select(out)
+    return materialize_narrow(one.unionByName(index).unionByName(probe), "join-places")
 
 
 def class_labels(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -495,8 +499,8 @@ def class_labels(text: DataFrame, sets: DataFrame, percent: int = PERCENT, words
     labels = materialize_narrow(components(found, "join-labels"), "join-labels")
     labelled = ordered.select("sig", "n", "prefix", "short").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
     exploded = labelled.select("sig", "n", "short", F.coalesce("label", "sig").alias("label"), F.posexplode("prefix").alias("at", "token"))
-    places = _token_places(exploded.withColumn("short", F.col("at") < F.col("short")).drop("at"), percent)
-    more = materialize(_search(ordered, places, ["token", "band", "block", "part"], percent), "join-links")
+    places = _home_places(exploded.withColumn("short", F.col("at") < F.col("short")).drop("at"), percent)
+    more = materialize(_search(ordered, places, ["home", "band", "block", "part"], percent), "join-links")
     if more.isEmpty():
         return labels
     return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "join-labels")
