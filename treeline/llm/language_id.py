@@ -142,8 +142,12 @@ class Model:
             raise ValueError(f"{rows} training rows are too few for {len(langs)} languages")
         y = np.array([langs.index(r.lang) for r in got])
         x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
+        del got
         code = codewords(len(langs))
-        return cls(langs, code, *fit(x, y, code))
+        w, b = fit(x, y, code)
+        del x
+        release()
+        return cls(langs, code, w, b)
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The columns of ``docs`` and ``lang_pred, score, ambiguous``, from the text alone.
@@ -187,6 +191,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language could be told: those predicted ``und`` go. Ambiguous ones stay,
-    as clean texts that mix languages are."""
+    as clean texts that mix languages are. Rows without an id may be learned from as any others, repeated rows
+    stay or go together, and an empty table gives an empty one."""
     model = Model.train(docs.filter(~held_out(F.col("doc_id"))))
     return model.predict(docs).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
