@@ -77,3 +77,29 @@ def test_query_against_its_definition(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert media.op8(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_media(spark):
+    png = FILES["image/png"]
+    rows = [(1, 0, None, None), (2, 0, "a/b", b""), (3, 3, "a/b", b"not a wave"), (4, 1, "a/b", media.to_wav(b"abcdef")[:-2]), (5, 1, "a/b", b"RIFF\0\0\0\0WAVE"), (6, 1, "a/b", media.to_wav(b"x" + png + png)), (6, 1, "a/b", media.to_wav(b"x" + png + png))]
+    df = spark.createDataFrame(rows, "id long, n_bytes long, declared string, media binary").selectExpr("*", "'x' AS payload_bytes", "1 AS feature")
+    got = sorted(((r.doc_id, r.payload_bytes, r.feature) for r in media.media_features(df).collect()))
+    n = len(png)
+    both = (6, 2 * n + 1, f"a/b>audio/wav;image/png@45+{n};image/png@{45 + n}+{n}")
+    assert got == [(1, 0, "application/octet-stream>application/octet-stream"), (2, 0, "a/b>a/b"), (3, 10, "a/b>a/b"), (4, 4, "a/b>a/b"), (5, 12, "a/b>a/b"), both, both]
+    carved = media.carve(df).collect()
+    assert sorted((r.id, r.mime, r.start, bytes(r.data)) for r in carved) == sorted([(6, "image/png", 45, png), (6, "image/png", 45 + n, png)] * 2)
+
+
+def test_many_entries_are_found_in_linear_time():
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for k in range(20_000):
+            z.writestr(f"{k}.txt", "PK")
+    data = b.getvalue()
+    assert media.sniff(data) == [media.Found("application/zip", 0, len(data))]
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("inner.zip", zipped())
+    assert [x.start for x in media.sniff(outer.getvalue())][0] == 0 and len(media.sniff(outer.getvalue())) == 2
+    assert media.sniff(b"PK\x03\x04" * 200_000) == []

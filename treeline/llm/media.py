@@ -3,7 +3,7 @@
 ``sniff`` finds every magic number in a byte string with one Aho-Corasick pass, and a validator
 for each format then checks structure and lengths, because magic bytes also occur by chance. What
 starts at offset 0 corrects the declared type; whatever else passes is an embedded file, carved by
-its exact offset and length.
+its exact offset and length; ``carve`` returns its bytes.
 
 The query packs texts as 8-bit mono PCM in RIFF/WAVE: a header of 44 bytes, the payload bytes as
 samples, and a padding byte if their number is odd.
@@ -16,7 +16,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +28,7 @@ from .common import materialize, table
 BLOCK = 576
 RATE = 8000
 TAIL = 32
+UNDECLARED = "application/octet-stream"
 
 
 # -- formats ---------------------------------------------------------------------------------
@@ -168,14 +169,22 @@ def gzip_(b: bytes, i: int) -> int:
     return 0
 
 
-def zip_(b: bytes, i: int) -> int:
-    """The end-of-directory record closes a directory that lies where it says."""
-    at = i
+@lru_cache(maxsize=1)
+def _zips(b: bytes) -> dict[int, int]:
+    """Start -> length of all archives: each end-of-directory record says where its archive starts,
+    so the bytes are searched once for all of them."""
+    out, at = {}, -1
     while (at := b.find(b"PK\x05\x06", at + 1)) >= 0 and at + 22 <= len(b):
         size, offset, note = struct.unpack_from("<IIH", b, at + 12)
-        if i + offset + size == at and at + 22 + note <= len(b) and b[i + offset : i + offset + 4] == b"PK\x01\x02":
-            return at + 22 + note - i
-    return 0
+        i = at - size - offset
+        if i >= 0 and at + 22 + note <= len(b) and b[i + offset : i + offset + 4] == b"PK\x01\x02":
+            out.setdefault(i, at + 22 + note - i)
+    return out
+
+
+def zip_(b: bytes, i: int) -> int:
+    """The end-of-directory record closes a directory that lies where it says."""
+    return _zips(b).get(i, 0)
 
 
 def ogg(b: bytes, i: int) -> int:
@@ -282,13 +291,17 @@ def to_wav(payload: bytes) -> bytes:
     return head + payload + b"\0" * pad
 
 
-def from_wav(data: bytes) -> bytes:
-    """The samples of the data chunk."""
+def from_wav(data: bytes) -> bytes | None:
+    """The samples of the data chunk, as far as they are there; None for what isn't a WAVE file or has no data."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return None
     at = 12
-    while data[at : at + 4] != b"data":
+    while at + 8 <= len(data):
         n = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"data":
+            return data[at + 8 : at + 8 + n]
         at += 8 + n + n % 2
-    return data[at + 8 : at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")]
+    return None
 
 
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,21 +312,44 @@ def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for pdf in batches:
             raw = [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
             media = [to_wav(b + b"\xff" * (-len(b) % BLOCK or (0 if b else BLOCK))) for b in raw]
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(b) for b in raw], "declared": "application/octet-stream", "media": media})
+            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(b) for b in raw], "declared": UNDECLARED, "media": media})
 
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     return d.mapInPandas(pack, "id string, n_bytes long, declared string, media binary").withColumn("id", F.col("id").cast("long"))
 
 
+def _bytes(media) -> bytes:
+    return bytes(media) if isinstance(media, (bytes, bytearray, memoryview)) else b""
+
+
+def carve(stored: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
+    """``id, mime, start, length, data`` of every file within stored media but the one that they are
+    themselves: one row each, by its validated length. Null or empty media hold none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, media in zip(pdf["id"], map(_bytes, pdf["media"]), strict=True):
+                for x in sniff(media):
+                    if x.start:
+                        yield pd.DataFrame({"id": [i], "mime": [x.mime], "start": [x.start], "length": [x.length], "data": [media[x.start : x.start + x.length]]})
+
+    got = stored.select(F.col(id_col).cast("string").alias("id"), F.col(media_col).alias("media")).mapInPandas(run, "id string, mime string, start long, length long, data binary")
+    return got.withColumn("id", F.col("id").cast(stored.schema[id_col].dataType))
+
+
 def media_features(stored: DataFrame) -> DataFrame:
-    """Features of stored media: see ``op8``. Null media counts as empty bytes."""
+    """Features of stored media: see ``op8``. Null media counts as empty bytes, a null declared type as
+    ``application/octet-stream``; of media that aren't WAVE the payload is all their bytes. Rows keep
+    their number; equal media of equal declared type get equal values."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, n, declared, media in zip(*(pdf[c] for c in ("id", "n_bytes", "declared", "media")), strict=True):
+                media = _bytes(media)
                 payload = from_wav(media)
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature(media, declared)))
+                payload = media if payload is None else payload
+                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature(media, declared if isinstance(declared, str) else UNDECLARED)))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
