@@ -5,7 +5,7 @@ import pytest
 import zstandard
 
 from treeline.llm import warc
-from treeline.llm.common import scratch_path
+from treeline.llm.common import shared_path
 
 LONG = "<html>" + "word " * 60 + "</html>"
 
@@ -18,7 +18,7 @@ def pages(spark):
 
 
 def test_round_trip(spark, pages):
-    got = warc.read_archives(warc.write_archives(pages, scratch_path(spark, "t"))).collect()
+    got = warc.read_archives(warc.write_archives(pages, shared_path(spark, "t"))).collect()
     assert len(got) == pages.count()
     by = {}
     for r in got:
@@ -34,6 +34,23 @@ def test_round_trip(spark, pages):
     assert "\n" not in by[4][0].url
 
 
+def test_revisits_name_the_record_of_their_response(spark, pages):
+    paths = [r.path for r in warc.write_archives(pages.repartition(3, "url"), shared_path(spark, "t")).collect()]
+    heads = [h for p in paths for h, _ in warc.read_archive(warc.open_file(p))]
+    responses = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3
+    for h in revisits:
+        to = responses[h["WARC-Refers-To"]]
+        assert to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and to["X-Page-ID"] == h["X-Refers-To-Page-ID"]
+
+
+def test_clashing_columns(spark, pages):
+    odd = pages.selectExpr("*", "1 AS id", "'b' AS body", "2 AS n", "3 AS place", "'c' AS d", "4 AS first_id", "5 AS again")
+    got = warc.read_archives(warc.write_archives(odd, shared_path(spark, "t")))
+    assert got.count() == pages.count() and got.filter("record_type = 'revisit'").count() == 3
+
+
 def test_layout():
     records = [warc.record(i, "u", b"payload %d " % i * 30, "00" * 32, 0, "response", None) for i in range(300)]
     data = b"".join(warc.archive(iter(records)))
@@ -64,14 +81,14 @@ def test_damage_is_noticed():
 def test_many_archives(spark, monkeypatch):
     p = spark.range(50).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html").coalesce(1)
     monkeypatch.setattr(warc, "RECORDS", 7)
-    archives = warc.write_archives(p, scratch_path(spark, "t"))
+    archives = warc.write_archives(p, shared_path(spark, "t"))
     assert archives.selectExpr("sum(n_records)").first()[0] == 50
     assert warc.read_archives(archives).select("page_id").distinct().count() == 50
 
 
 def test_empty_table(spark):
     p = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read_archives(warc.write_archives(p, scratch_path(spark, "t"))).count() == 0
+    assert warc.read_archives(warc.write_archives(p, shared_path(spark, "t"))).count() == 0
 
 
 def test_query_against_sql(spark):

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, table
+from .common import materialize, materialize_narrow, shared_path, table
 from .fsio import open_file, write_file
 
 MAGIC = 0x184D2A5D
@@ -33,6 +33,8 @@ RECORDS = 20_000
 SAMPLE_BYTES = 4 << 20
 DICT_BYTES = 64 << 10
 LEVEL = 3
+#: Digests of repeated payloads are broadcast up to this many (about 100 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -42,6 +44,12 @@ def _clean(value) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
+def record_id(page_id, kind: str, digest: str) -> str:
+    """A record's name follows from its page, kind and payload digest, so that a revisit can name its
+    response's. Rows repeated in full have one response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{kind}/{digest}')}>"
+
+
 def record(page_id, url, payload: bytes, digest: str, n_bytes: int, kind: str, refers_to) -> bytes:
     """One WARC/1.1 record. A revisit has no payload; its full payload's size and digest stay in
     the headers."""
@@ -50,7 +58,7 @@ def record(page_id, url, payload: bytes, digest: str, n_bytes: int, kind: str, r
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{kind}/{digest}')}>",
+        f"WARC-Record-ID: {record_id(page_id, kind, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {_clean(url) if url else 'urn:page'}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -58,7 +66,7 @@ def record(page_id, url, payload: bytes, digest: str, n_bytes: int, kind: str, r
         f"X-Payload-Length: {n_bytes}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, 'response', digest)}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -125,15 +133,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body")).withColumns({"digest": F.sha2("body", 256), "n": F.octet_length("body"), "place": F.monotonically_increasing_id()})
+    # Written down, so that a row's place is the same wherever it is read.
+    p = materialize(p, "warc-pages")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "place")
-    firsts = (
-        p.filter(F.col("n") >= MIN_REVISIT)
-        .groupBy(F.col("digest").alias("d"))
-        .agg(F.min(order).alias("first"), F.count("*").alias("c"))
-        .filter("c > 1")
-        .select("d", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place"))
-    )
-    joined = p.join(firsts, F.col("digest") == F.col("d"), "left").select("id", "url", F.when(F.col("place") == F.coalesce("first_place", "place"), F.col("body")).alias("body"), "digest", "n", F.when(F.col("place") != F.coalesce("first_place", "place"), F.lit(True)).otherwise(False).alias("again"), "first_id")
+    firsts = p.filter(F.col("n") >= MIN_REVISIT).groupBy(F.col("digest").alias("d")).agg(F.min(order).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    firsts = materialize_narrow(firsts.select("d", F.col("first.id").alias("first_id"), F.col("first.place").alias("first_place")), "warc-first")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    again = F.col("place") != F.coalesce("first_place", "place")
+    joined = p.join(firsts, F.col("digest") == F.col("d"), "left").select("id", "url", F.when(~again, F.col("body")).alias("body"), "digest", "n", again.alias("again"), "first_id")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
@@ -171,7 +178,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 def read_archives(archives: DataFrame) -> DataFrame:
     """Every record of the archives in ``path``: ``page_id, url, payload, payload_bytes,
     payload_digest, record_type, refers_to``. Digest and size of a response are those of the bytes
-    read; they must agree with its headers."""
+    read; they must agree with its headers. A revisit must name the record of the page and digest that it
+    refers to, whose payload is checked where that record is read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,8 +191,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         said, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
                         if not revisit and (len(payload) != n or hashlib.sha256(payload).hexdigest() != said):
                             raise ValueError(f"{path}: payload differs from its header")
-                        to = h.get("WARC-Refers-To", "")[10:-1]
-                        rows.append((int(h["X-Page-ID"]) if h["X-Page-ID"] else None, h["WARC-Target-URI"], None if revisit else payload, n, said, h["WARC-Type"], int(to) if to else None))
+                        to, page = h.get("X-Refers-To-Page-ID"), h["X-Page-ID"] or None
+                        if h["WARC-Record-ID"] != record_id(page, h["WARC-Type"], said) or revisit and h["WARC-Refers-To"] != record_id(to or None, "response", said):
+                            raise ValueError(f"{path}: a record's name differs from what it holds")
+                        rows.append((int(page) if page else None, h["WARC-Target-URI"], None if revisit else payload, n, said, h["WARC-Type"], int(to) if to else None))
                         held += len(payload)
                         if held > 16 << 20 or len(rows) >= 5000:
                             yield frame(rows)
