@@ -98,3 +98,12 @@ def test_foreign_and_nested_elements_end_where_they_do():
     for cut in ("<svg viewBox='0 0'/>", "<math/>", "<svg><g/><svg><text>x</text></svg><text>no</text></svg>", "<object>a<object>b</object>no</object>", "<svg><svg/><text>no</text></svg>", "<object data='x'>"):
         assert mt.main_text(f"<p>one {cut} two</p><p>three</p>", weights()) == "one two\nthree", cut
     assert mt.main_text("<p>one<svg>" * 3000, weights()).count("one") == 3000
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.time()
+    page = "<article>" + "<div><p>w</b>" * 20_000 + "</article>"
+    assert mt.main_text(page, weights()).count("w") == 20_000
+    assert time.time() - began < 10

@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -133,6 +133,7 @@ def parse(page: str) -> list[Item]:
     stack: list[tuple[str, str, bool, bool, list[_Wrapper]]] = []  # name, block key, link, inside, wrapper or article
     wrappers: list[_Wrapper] = []
     articles: list[_Wrapper] = []
+    open_at: dict[str, list[int]] = defaultdict(list)  # where on the stack the elements of a name are
     unclosed: set[str] = set()
     at, key, link, inside = 0, "body", False, False
 
@@ -146,11 +147,15 @@ def parse(page: str) -> list[Item]:
     def close(k: int) -> None:
         nonlocal key, link, inside
         for s in stack[k:]:
+            open_at[s[0]].pop()
             for w in s[4]:
                 w.end = len(items)
         del stack[k:]
         _, key, link, inside, _ = stack[-1] if stack else ("", "body", False, False, [])
 
+    def last(*names: str) -> int | None:
+        return max((open_at[n][-1] for n in names if open_at[n]), default=None)
+
     while m := TAG.search(page, at):
         text(page[at : m.start()])
         at = m.end()
@@ -159,7 +164,7 @@ def parse(page: str) -> list[Item]:
             continue
         name = name.lower()
         if slash:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            k = last(name)
             items.append(tag := Item(None, "/" + name, name, inside=inside))
             if k is not None:
                 close(k)
@@ -177,10 +182,9 @@ def parse(page: str) -> list[Item]:
                 at = end
             continue
         if name in ("p", "li") or name in BLOCKS and name not in VOID:  # an open paragraph ends here
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and not any(s[0] in ("table", "button") for s in stack[k:]):
+            if (k := last("p")) is not None and (last("table", "button") or 0) <= k:
                 close(k)
-        if name == "li" and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol", "menu")), None)) is not None and stack[k][0] == "li":
+        if name == "li" and (k := last("li", "ul", "ol", "menu")) is not None and stack[k][0] == "li":
             close(k)
         named = {n.lower(): a or b or c for n, a, b, c in NAMES.findall(attrs)}
         article = name in ("article", "main")
@@ -200,6 +204,7 @@ def parse(page: str) -> list[Item]:
         if name in BLOCKS:
             first = (named.get("class") or named.get("id") or "").split()
             key = name + ("." + first[0].lower() if first else "")
+        open_at[name].append(len(stack))
         stack.append((name, key, link, inside, held))
         items.append(Item(None, name, name, inside=was_inside, starts_article=article and not was_inside))
     text(page[at:])
@@ -251,9 +256,9 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", rows: int = TRAIN_PAGES) -> Weights:
-    """Weights from up to ``rows`` pages, picked by a hash of the id. Without labelled pages all
-    words and all tags score alike."""
-    keyed = pages.select(F.xxhash64(F.col(id_col)).alias("k"), F.col(body_col).alias("body")).filter("body is not null")
+    """Weights from up to ``rows`` pages, picked by a hash of id and body; null or repeated ids are as
+    good as any. Without labelled pages all words and all tags score alike."""
+    keyed = pages.select(F.xxhash64(F.col(id_col), F.col(body_col)).alias("k"), F.col(body_col).alias("body")).filter("body is not null")
     top = keyed.select("k").orderBy("k").limit(rows).agg(F.max("k")).first()[0]
     if top is None:
         return Weights()
@@ -269,7 +274,8 @@ def learn(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", row
                         c["tag" if x.text is None else "word", x.key, content] += 1 if x.text is None else x.n
         yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["kind", "key", "content", "n"])
 
-    got = keyed.filter(F.col("k") <= top).mapInPandas(count, "kind string, key string, content boolean, n long").groupBy("kind", "key").agg(F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("content"), 0).otherwise(F.col("n"))).alias("no"))
+    # A page counts once however often its row is repeated, so no more than ``rows`` are read.
+    got = keyed.filter(F.col("k") <= top).dropDuplicates(["k"]).mapInPandas(count, "kind string, key string, content boolean, n long").groupBy("kind", "key").agg(F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("content"), 0).otherwise(F.col("n"))).alias("no"))
     got = got.orderBy(F.desc(F.col("yes") + F.col("no")), "kind", "key").limit(MAX_KEYS).collect()
 
     def odds(r) -> float:
