@@ -150,3 +150,17 @@ def test_repeated_rows_keep_the_disclosure(spark):
     texts = {0: "zarquon mail boss@corp.example", 1: "zarquon mail a lot", **{i: f"mail and words {i}" for i in range(10, 30)}}
     docs = spark.createDataFrame([(0, texts[0])] * 9 + [(i, t) for i, t in texts.items() if i], "doc_id long, text string")
     assert _terms(pii.sanitise(docs), texts) == {0: ["zarquon"]}
+
+
+def test_many_entities_in_one_text(spark):
+    """In seconds, and with the spans of plain matching."""
+    import time
+
+    text = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}name{i} of user{i}@corp{i % 7}.example" for i in range(4000)) + " é" * 1000
+    docs = spark.createDataFrame([(1, text), (2, "clean text of corp")] + [(i, f"name of {i}") for i in range(10, 30)], "doc_id long, text string")
+    began = time.time()
+    got = pii.sanitise(docs).filter("id = 1").first()
+    assert [(s.start, s.kind, s.end) for s in got.base] == brute(text) and len(got.base) == 4000
+    out = pii.stage(spark, docs.selectExpr("*", "'en' AS lang", "1 AS row", "2 AS _pii"), "").filter("doc_id = 1").first().text
+    assert out.count("[email]") == 4000 and "@" not in out and out.endswith(" é" * 1000)
+    assert time.time() - began < 120

@@ -14,10 +14,14 @@ documents, repeated rows as often as they stand.
 From ``SUPPORT`` common documents on, the counts speak for themselves. Below, where most personal
 data is, a rare word shares a document with an entity by chance as well, so c(t, e) is multiplied by
 the probability that the word belongs to the entity. It is 1 for a name part of the entity; for words
-within ``WINDOW`` code points of a mention it is pooled over all entities of a kind: the share of
+within ``WINDOW`` code points of a mention of it, it is pooled over all entities of a kind: the share of
 words as rare that stand near mentions in excess of their rate elsewhere, by the lower confidence
 bound of the one and the upper of the other. Under ``BELIEF`` a word counts as chance.
 
+Which pairs are counted is found without all pairs of a document's words and entities: name parts by
+an equality join, near words from the neighbourhood of each mention, and for pairs of ``SUPPORT``
+documents, entities that stand in the same documents are one.
+
 Terms are removed from ``REMOVE`` on and generalised (to ``[term]``) from ``GENERALISE`` on, wherever
 they stand in the documents that hold the entity.
 
@@ -54,8 +58,23 @@ BELIEF = 0.5
 #: Of confidence bounds, in standard deviations (95 %, one-sided).
 Z = 1.645
 REMOVE, GENERALISE = 0.9, 0.75
-#: Prefix sums go by blocks of this many.
-STEP = 64
+#: Arrays are worked through in blocks of this many, words near spans in larger ones first.
+STEP, LARGE_STEP = 128, 4096
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)``, the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _blocks(a: Column, step: int) -> Column:
+    """The array in slices of ``step``; none for an empty one."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step)), lambda b: F.slice(x, (b * step + 1).cast("int"), step))
+    return F.flatten(F.transform(F.filter(F.array(a), lambda x: F.size(x) > 0), cut))
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -63,31 +82,25 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # lengths of what precedes each match, and of the match
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: g + s)
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda x, y: x + y)
-
-    def placed(parts: Column) -> Column:
-        # parts: steps, values; two-level prefix sums
-        steps, values = parts["steps"], parts["values"]
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STEP)), lambda b: total(F.slice(steps, (b * STEP + 1).cast("int"), STEP)))
-        both = F.struct(steps.alias("steps"), values.alias("values"), blocks.alias("blocks"))
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct((g + F.length(v)).alias("step"), v.alias("value")))
 
+    def placed(block: Column, before: Column) -> Column:
         def place(q: Column) -> Column:
-            def one(v: Column, i: Column) -> Column:
-                b = F.floor(i / STEP).cast("int")
-                end = total(F.slice(q["blocks"], 1, b)) + total(F.slice(q["steps"], b * STEP + 1, i - b * STEP + 1))
-                return F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value"))
+            def one(s: Column, i: Column) -> Column:
+                end = q["before"] + _total(F.transform(F.slice(q["block"], 1, i + 1), lambda x: x["step"]))
+                return F.struct((end - F.length(s["value"])).alias("start"), end.alias("end"), s["value"].alias("value"))
 
-            return F.transform(q["values"], one)
+            return F.transform(q["block"], one)
 
-        return F.element_at(F.transform(F.array(both), place), 1)
+        return _let(F.struct(block.alias("block"), before.alias("before")), place)
+
+    def run(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: _total(F.transform(b, lambda s: s["step"])))
+        both = lambda q: F.flatten(F.transform(q["blocks"], lambda b, k: placed(b, _total(F.slice(q["totals"], 1, k)))))
+        return _let(F.struct(blocks.alias("blocks"), totals.alias("totals")), both)
 
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    got = F.element_at(F.transform(F.array(F.struct(steps.alias("steps"), found.alias("values"))), placed), 1)
-    return F.when(text.rlike(pattern), got).otherwise(none)
+    return F.when(text.rlike(pattern), _let(_blocks(steps, STEP), run)).otherwise(none)
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -120,20 +133,37 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _entity(kind: Column, value: Column) -> Column:
+    return F.xxhash64(kind, F.lower(value))
+
+
 def _words(text: Column, spans: Column) -> Column:
-    """``array<struct<start, end, term, near>>``: the words outside all base spans; bit k of ``near``
-    tells whether a span of kind k is within ``WINDOW`` code points."""
+    """``array<struct<start, end, term, near, to>>``: the words outside all base spans; bit k of ``near``
+    tells whether a span of kind k is within ``WINDOW`` code points, ``to`` names their entities."""
 
-    def place(w: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(len(PATTERNS))]), s["kind"] + 1)
-            over = (w["start"] < s["end"]) & (w["end"] > s["start"])
-            near = (w["start"] >= s["start"] - WINDOW) & (w["end"] <= s["end"] + WINDOW)
-            return acc.bitwiseOR(F.when(over, F.lit(INSIDE)).when(near, bit).otherwise(F.lit(0)))
+    def place(w: Column, spans: Column) -> Column:
+        bit = lambda s: F.element_at(F.array(*[F.lit(1 << k) for k in range(len(PATTERNS))]), s["kind"] + 1)
+        over = lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])
+        near = lambda s: (w["start"] >= s["start"] - WINDOW) & (w["end"] <= s["end"] + WINDOW)
+        step = lambda acc, s: acc.bitwiseOR(F.when(over(s), F.lit(INSIDE)).when(near(s), bit(s)).otherwise(F.lit(0)))
+        to = F.array_distinct(F.transform(F.filter(spans, near), lambda s: _entity(s["kind"], s["value"])))
+        return F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"), F.aggregate(spans, F.lit(0), step).alias("near"), to.alias("to"))
+
+    def by(step: int, inner):
+        """In blocks of words, each with the spans around it."""
 
-        return F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"), F.aggregate(spans, F.lit(0), step).alias("near"))
+        def run(words: Column, spans: Column) -> Column:
+            def one(block: Column) -> Column:
+                lo, hi = F.element_at(block, 1)["start"] - WINDOW, F.element_at(block, -1)["end"] + WINDOW
+                local = F.filter(spans, lambda s: (s["end"] >= lo) & (s["start"] <= hi))
+                return _let(F.struct(block.alias("b"), local.alias("s")), lambda q: inner(q["b"], q["s"]))
 
-    return F.filter(F.transform(matches(text, TERM), place), lambda w: w["near"] < INSIDE)
+            return F.flatten(F.transform(_blocks(words, step), one))
+
+        return run
+
+    each = by(LARGE_STEP, by(STEP, lambda words, spans: F.transform(words, lambda w: place(w, spans))))
+    return F.filter(_let(F.struct(matches(text, TERM).alias("w"), spans.alias("s")), lambda q: each(q["w"], q["s"])), lambda w: w["near"] < INSIDE)
 
 
 def bound(hits: float, of: float, sign: int) -> float:
@@ -163,20 +193,45 @@ def _excess(terms: DataFrame, counts: DataFrame) -> dict[tuple[int, int], float]
     return out
 
 
-def disclosures(pairs: DataFrame, n: int, excess: dict[tuple[int, int], float]) -> DataFrame:
-    """``entity, term, disclosure`` of all pairs. ``pairs`` has ``entity, kind, term, near, m, c_e, c_t``
-    for each distinct document with both."""
-    p = pairs.groupBy("entity", "kind", "term", "c_e", "c_t").agg(F.sum("m").alias("c_te"), F.bit_or("near").alias("near"))
-    known = [(k, b, x) for (k, b), x in excess.items() if x >= BELIEF]
+def disclosure(c_te: Column, c_t: Column, c_e: Column, n: int, tied: Column) -> Column:
+    """PMI over IC, of the c_te documents only the share that is ``tied``."""
+    ic = F.log(F.lit(float(n)) / c_e)
+    return F.when((ic > 0) & (tied > 0), F.log(tied * c_te * F.lit(float(n)) / (c_t * c_e)) / ic).otherwise(0.0)
+
+
+def _told(terms: DataFrame, entities: DataFrame, n: int, excess: dict[tuple[int, int], float]) -> DataFrame:
+    """``row, id, term, disclosure``: terms that disclose an entity of their document. ``terms`` has
+    ``row, id, m, term, near, to, c_t`` and ``entities`` ``row, id, m, kind, e, names, c_e, same`` (of
+    entities in the same documents) for each distinct document."""
+    # c(t, e) <= c(e), so a term in more documents than this can't reach GENERALISE
+    most = F.col("c_e") * F.pow(F.lit(float(max(n, 1))) / F.col("c_e"), F.lit(1 - GENERALISE)) * 1.000001
+    here = lambda a, b: (F.col(f"{a}.row") == F.col(f"{b}.row")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
+
+    # Pairs of SUPPORT documents: entities of the same documents are one.
+    groups = entities.filter(F.col("c_e") >= SUPPORT).select("row", "id", "same", "c_e").distinct()
+    often = terms.filter(F.col("c_t") >= SUPPORT).select("row", "id", "m", "term", "c_t")
+    pairs = often.alias("t").join(groups.alias("g"), here("t", "g") & (F.col("c_t") <= most)).select("t.row", "t.id", "t.m", "t.term", "t.c_t", "g.same", "g.c_e")
+    pairs = materialize(pairs, "pii-pairs")
+    counted = pairs.groupBy("same", "term", "c_t", "c_e").agg(F.sum("m").alias("c_te")).filter(F.col("c_te") >= SUPPORT)
+    strong = counted.select("same", "term", disclosure(F.col("c_te"), F.col("c_t"), F.col("c_e"), n, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    told = pairs.join(strong, ["same", "term"]).select("row", "id", "term", "disclosure")
+
+    # Fewer: name parts, and words near a mention.
+    name = entities.select("row", "id", "e", "c_e", F.explode("names").alias("term"))
+    named = terms.alias("t").join(name.alias("e"), here("t", "e") & (F.col("t.term") == F.col("e.term"))).select("t.term", "c_t", "e.e", "c_e", F.lit(1.0).alias("tied"))
     pooled = F.lit(0.0)
-    for k, b, x in known:
-        here = (F.col("kind") == k) & (_rarity(F.col("c_t")) == b) & (F.col("near").bitwiseAND(1 << k) > 0)
-        pooled = F.when(here, F.lit(x)).otherwise(pooled)
-    named = F.array_contains(F.split(F.substring_index(F.substring_index("entity", ":", -1), "@", 1), r"\P{L}+"), F.col("term")) & (F.col("kind") == KINDS.index("email"))
-    tied = F.when((F.col("c_te") >= SUPPORT) | named, 1.0).otherwise(pooled)
-    pmi = F.log(tied * F.col("c_te") * F.lit(float(n)) / (F.col("c_t") * F.col("c_e")))
-    ic = F.log(F.lit(float(n)) / F.col("c_e"))
-    return p.select("entity", "term", F.when((ic > 0) & (tied > 0), pmi / ic).otherwise(0.0).alias("disclosure"))
+    for (k, b), x in excess.items():
+        if x >= BELIEF:
+            pooled = F.when((F.col("kind") == k) & (_rarity(F.col("c_t")) == b), F.lit(x)).otherwise(pooled)
+    of = entities.groupBy("e").agg(F.first("kind").alias("kind"), F.first("c_e").alias("c_e"))
+    near = terms.select("term", "c_t", F.explode("to").alias("e")).distinct().join(of, "e").select("term", "c_t", "e", "c_e", pooled.alias("tied"))
+    few = named.unionByName(near).filter((F.col("tied") > 0) & (F.col("c_t") <= most)).groupBy("term", "e", "c_t", "c_e").agg(F.max("tied").alias("tied"))
+    few = materialize(few, "pii-few")
+    both = terms.select("row", "id", "m", "term").join(few, "term").alias("t").join(entities.select("row", "id", "e").alias("e"), here("t", "e") & (F.col("t.e") == F.col("e.e")))
+    both = materialize(both.select("t.row", "t.id", "t.m", "t.term", "t.e", "c_t", "c_e", "tied"), "pii-few-pairs")
+    weak = both.groupBy("term", "e", "c_t", "c_e", "tied").agg(F.sum("m").alias("c_te"))
+    weak = weak.select("term", "e", disclosure(F.col("c_te"), F.col("c_t"), F.col("c_e"), n, F.col("tied")).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return told.unionByName(both.join(weak, ["term", "e"]).select("row", "id", "term", "disclosure"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +239,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``row`` is a hash of both. Spans have ``start, kind, end, value``; the value of a term is
     ``remove`` or ``generalise``. A null text counts as empty and has none. Whole texts are
-    searched; repeated rows count as documents of their own but are reported once here.
+    searched, in time about linear in their length; repeated rows count as documents of their own
+    but are reported once here. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), text.alias("text"))
@@ -195,23 +251,23 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = docs.count()
     each = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower))
     counts = materialize(d.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")), "pii-counts")
-    words = found.select("row", "id", "m", F.explode("words").alias("w")).groupBy("row", "id", "m", "w.term").agg(F.bit_or("w.near").alias("near"), F.collect_list(F.struct("w.start", "w.end")).alias("places"))
+    word = F.struct("w.start", "w.end")
+    words = found.select("row", "id", "m", F.explode("words").alias("w")).groupBy("row", "id", "m", "w.term").agg(F.bit_or("w.near").alias("near"), F.array_distinct(F.flatten(F.collect_list("w.to"))).alias("to"), F.collect_list(word).alias("places"))
     terms = materialize(words.join(counts, "term"), "pii-terms")
 
-    held = F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"))))
-    entities = found.select("row", "id", "m", F.explode(held).alias("e")).select("row", "id", "m", "e.kind", "e.entity")
-    entities = entities.drop("m").join(entities.groupBy("entity").agg(F.sum("m").alias("c_e")), "entity")
-    # c(t, e) <= c(e), so a term in more documents than this can't reach GENERALISE
-    most = F.col("c_e") * F.pow(F.lit(float(max(n, 1))) / F.col("c_e"), F.lit(1 - GENERALISE)) * 1.000001
-    same = (F.col("t.row") == F.col("e.row")) & F.col("t.id").eqNullSafe(F.col("e.id")) & (F.col("t.c_t") <= most)
-    pairs = materialize(terms.alias("t").join(entities.alias("e"), same).select("t.row", "t.id", "t.m", "t.term", "t.near", "t.places", "t.c_t", "e.entity", "e.kind", "e.c_e"), "pii-pairs")
-
-    told = disclosures(pairs, n, _excess(terms, counts)).filter(F.col("disclosure") >= GENERALISE)
-    terms = pairs.join(told, ["entity", "term"]).select("row", "id", F.explode("places").alias("p"), "disclosure").groupBy("row", "id", "p.start", "p.end").agg(F.max("disclosure").alias("disclosure"))
-    span = F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("value"))
-    terms = terms.groupBy("row", "id").agg(F.collect_list(span).alias("terms"))
+    email = F.col("e.kind") == KINDS.index("email")
+    names = F.when(email, F.array_distinct(F.split(F.substring_index(F.lower("e.value"), "@", 1), r"\P{L}+"))).otherwise(F.array().cast("array<string>"))
+    held = found.select("row", "id", "m", F.explode("base").alias("e"))
+    held = held.select("row", "id", "m", "e.kind", _entity(F.col("e.kind"), F.col("e.value")).alias("e"), names.alias("names")).dropDuplicates(["row", "id", "e"])
+    same = F.xxhash64(F.sum("m"), F.bit_xor(F.xxhash64("row", "id")))
+    entities = materialize(held.join(held.groupBy("e").agg(F.sum("m").alias("c_e"), same.alias("same")), "e"), "pii-entities")
+
+    told = _told(terms, entities, n, _excess(terms, counts)).groupBy("row", "id", "term").agg(F.max("disclosure").alias("disclosure"))
+    span = lambda p: F.struct(p["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), p["end"].alias("end"), F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("value"))
+    places = terms.alias("p").join(told.alias("t"), (F.col("p.row") == F.col("t.row")) & F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.term") == F.col("t.term")))
+    spans = places.select("p.row", "p.id", F.transform("places", span).alias("s")).groupBy("row", "id").agg(F.flatten(F.collect_list("s")).alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    joined = found.alias("f").join(terms.alias("t"), (F.col("f.row") == F.col("t.row")) & F.col("f.id").eqNullSafe(F.col("t.id")), "left")
+    joined = found.alias("f").join(spans.alias("t"), (F.col("f.row") == F.col("t.row")) & F.col("f.id").eqNullSafe(F.col("t.id")), "left")
     return joined.select("f.row", "f.id", "f.base", F.sort_array(F.concat("f.base", F.coalesce("t.terms", none))).alias("spans"))
 
 
@@ -220,13 +276,24 @@ def cleaned(text: Column, spans: Column) -> Column:
     Of overlapping spans the first names the replacement of them all."""
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        label = F.when(s["value"].eqNullSafe("remove") & (s["kind"] == len(KINDS) - 1), "").otherwise(F.element_at(names, s["kind"] + 1))
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def piece(q: Column) -> Column:
+        """What a block of spans makes of its part of the text, which begins at ``at``."""
+
+        def step(acc: Column, s: Column) -> Column:
+            label = F.when(s["value"].eqNullSafe("remove") & (s["kind"] == len(KINDS) - 1), "").otherwise(F.element_at(names, s["kind"] + 1))
+            more = F.concat(acc["out"], F.substring(q["text"], acc["at"] - q["at"] + 1, s["start"] - acc["at"]), label)
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(q["block"], F.struct(q["at"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def run(q: Column) -> Column:
+        reach = lambda k: F.coalesce(F.array_max(F.slice(q["ends"], 1, k)), F.lit(0))
+        part = lambda b, k: _let(F.struct(b.alias("block"), reach(k).alias("at"), F.substring(text, reach(k) + 1, reach(k + 1) - reach(k)).alias("text")), piece)
+        return F.concat(F.array_join(F.transform(q["blocks"], part), ""), F.substring(text, reach(F.size(q["ends"])) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    blocks = _blocks(spans, STEP)
+    ends = F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda s: s["end"])))
+    return _let(F.struct(blocks.alias("blocks"), ends.alias("ends")), run)
 
 
 def _is(kind: int):
