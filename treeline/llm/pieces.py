@@ -4,11 +4,11 @@ The model's protobuf is parsed here (its wire format is simple), and the same to
 normaliser (precompiled character map, whitespace rules, dummy prefix), the metaspace marker U+2581,
 unigram scores or, for BPE models, merges in the order of their pieces' scores, and byte fallback.
 
-Where no piece of the vocabulary has the marker after another character, no merge or unigram piece
-can reach over the start of a word, so a text's ids are those of its words one after another. Then
-only the distinct words of a batch are encoded, in one multithreaded call, and each word's ids are
-verified against the SentencePiece library; a text whose words all agree has ``parity``. Every
-text's ids are decoded again (``round_trip``). For other vocabularies whole texts are encoded and verified.
+Whole raw texts are encoded in multithreaded calls, and every text is verified against the
+SentencePiece library: ``parity`` says whether both give the same ids, ``round_trip`` whether the ids
+decode to the text as that library normalises it. Of unigram readings with equal scores (or, in long texts, nearly
+equal ones, as that library adds up in 32 bits) the two may choose different ones, which parity then tells. Equal texts that a task meets soon after each other are
+encoded and verified once.
 """
 
 from __future__ import annotations
@@ -17,10 +17,8 @@ import hashlib
 import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,10 +30,9 @@ from .common import release, table
 MARK = "▁"
 #: Threads of one task's encoder. A task has one core on most clusters; raise it with spark.task.cpus.
 THREADS = 2
-#: Words kept, with their ids, within a task; words encoded at once; characters of text at once.
-CACHE_WORDS = 150_000
-LEARN = 4096
-CHARS = 1_000_000
+#: Characters of text encoded at once, and of ids kept for texts that come again.
+CHARS = 500_000
+KEPT_IDS = 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -101,7 +98,12 @@ def build(spec: Spec):
     from tokenizers import AddedToken, Tokenizer, models
 
     if spec.model_type == 1:
-        tok = Tokenizer(models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=spec.unk_id, byte_fallback=spec.byte_fallback))
+        # Only normal and user's pieces are looked for in a text. Byte pieces keep their names, for the fallback, but
+        # lose against any other reading; the rest get names of noncharacters.
+        low = min((s for _, s, kind in spec.pieces if kind == NORMAL), default=0.0) - 1000
+        named = {NORMAL: lambda i, p, s: (p, s), USER: lambda i, p, s: (p, s), BYTE: lambda i, p, s: (p, low)}
+        vocab = [named.get(kind, lambda i, p, s: (f"\U0010ffff{i}\U0010ffff", 0.0))(i, p, s) for i, (p, s, kind) in enumerate(spec.pieces)]
+        tok = Tokenizer(models.Unigram(vocab, unk_id=spec.unk_id, byte_fallback=spec.byte_fallback))
     else:
         ids = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
         score = {p: s for p, s, kind in spec.pieces if kind in (NORMAL, USER)}
@@ -140,64 +142,35 @@ class Encoder:
         self.tok = build(self.spec)
         self.normalise = normalise(self.spec)
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_word = not any(MARK in p.lstrip(MARK) for p, *_ in self.spec.pieces) and not any(k == USER for *_, k in self.spec.pieces)
-        self.lone = self.other.piece_to_id(MARK)
-        self.words: dict[str, bytes] = {}  # a word's ids, 4 bytes each
-        self.odd: set[str] = set()
-        self.texts = [self._text(i, p, k) for i, (p, _, k) in enumerate(self.spec.pieces)]
+        texts = [self._text(i, p, k) for i, (p, _, k) in enumerate(self.spec.pieces)]
+        self.blob, self.size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+        self.start = np.cumsum(self.size) - self.size
 
     @staticmethod
     def _text(i: int, piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
-        return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
-
-    def split(self, text: str) -> list[str]:
-        """The normalised text's words, each with the markers before it; joined they are it."""
-        t = self.normalise(text)
-        if not self.by_word:
-            return [t] if t else []
-        if MARK * 2 in t:
-            return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", t)
-        head, *rest = t.split(MARK)
-        return ([head] if head else []) + [MARK + w for w in rest]
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words not seen yet, and note those whose ids differ from SentencePiece's."""
-        ours = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        # The library puts back the leading marker itself.
-        bare = [w.removeprefix(MARK) if self.spec.dummy_prefix else w for w in words]
-        theirs = self.other.encode([w.replace(MARK, " ") for w in bare], num_threads=THREADS)
-        for w, b, e, t in zip(words, bare, ours, theirs, strict=True):
-            ids = e.ids
-            if ids != t and (b or ids != [self.lone]):  # it takes a lone marker for no text
-                self.odd.add(w)
-            self.words[w] = array("I", ids).tobytes()
+        return b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
-        split = [self.split(t) for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.words)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.odd.clear()
-            new = set(chain.from_iterable(split))
-        new = list(new)
-        for at in range(0, len(new), LEARN):
-            self.learn(new[at : at + LEARN])
-        out, get = [], self.words.__getitem__
-        for ws in split:
-            out.append((np.frombuffer(b"".join(map(get, ws)), np.uint32), self.odd.isdisjoint(ws)))
-        return out
-
-    def forget(self) -> None:
-        """Give back the memory of the words: workers outlive their tasks."""
-        self.words.clear()
-        self.odd.clear()
-        release()
+        """(ids, parity) of raw texts."""
+        ours = self.tok.encode_batch_fast([self.normalise(t) for t in texts], add_special_tokens=False)
+        theirs = self.other.encode(texts, num_threads=THREADS)
+        return [(np.array(t, np.uint32) if (same := e.ids == t) else np.array(e.ids, np.uint32), same) for e, t in zip(ours, theirs, strict=True)]
 
     def decode(self, ids) -> str:
-        """The normalised text of ids, with spaces for markers."""
-        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
+        """The text of ids, without the prefix that the normaliser put before it."""
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + size, size)
+        text = self.blob[at].tobytes().decode("utf-8", "replace")
+        return text.removeprefix(" ") if self.spec.dummy_prefix else text
+
+    def normal(self, texts: list[str]) -> list[str]:
+        """The texts as the library normalises them, in the form that ``decode`` gives."""
+        out = [t.replace(MARK, " ") for t in self.other.normalize(texts)]
+        return [t.removeprefix(" ") for t in out] if self.spec.dummy_prefix else out
 
 
 @cache
@@ -217,12 +190,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``path`` is a model file that every executor has. ``ids_sha256`` is over the ids as
     little-endian 32-bit numbers, ``decoded_sha256`` over the text that the ids decode to, in
-    UTF-8; ``round_trip`` says whether that is the normalised text. A null or empty text has no
-    ids and parity. Whole texts are encoded, a bounded number at a time. Rows keep their number.
+    UTF-8. A null or empty text has no ids, parity and a round trip. Whole texts are encoded, a bounded
+    number at a time. Rows keep their number, repeated ones too; a null id stays null; other columns are
+    left out.
     """
 
+    columns = ["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
+        kept: dict[bytes, tuple] = {}  # what the columns hold, by a hash of the text
+        held = 0
         for whole in batches:
             texts = [t if isinstance(t, str) else "" for t in whole["text"]]
             at = 0
@@ -231,18 +209,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 while end < len(texts) and (end == at or size + len(texts[end]) < CHARS):
                     size += len(texts[end])
                     end += 1
-                rows = []
-                for i, t, (ids, parity) in zip(whole["id"][at:end], texts[at:end], enc.encode_batch(texts[at:end]), strict=True):
-                    back = enc.decode(ids.tolist())
-                    if enc.spec.dummy_prefix:
-                        back = back.removeprefix(" ")
-                    want = enc.normalise(t).replace(MARK, " ")
-                    want = want.removeprefix(" ") if enc.spec.dummy_prefix else want
-                    rows.append((i, ids.astype("<u4").astype(np.int32) if keep_ids else None, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == want, parity))
-                yield pd.DataFrame(rows, columns=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", "parity"])
+                if held > KEPT_IDS:
+                    kept, held = {}, 0
+                names = [hashlib.sha256(t.encode()).digest() for t in texts[at:end]]
+                new = {k: t for k, t in zip(names, texts[at:end], strict=True) if k not in kept}
+                raw = list(new.values())
+                for k, (ids, parity), want in zip(new, enc.encode_batch(raw), enc.normal(raw), strict=True):
+                    back = enc.decode(ids)
+                    kept[k] = (ids.astype(np.int32) if keep_ids else None, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == want, parity)
+                    held += len(ids) if keep_ids else 100
+                yield pd.DataFrame([(i, *kept[k]) for i, k in zip(whole["id"][at:end], names, strict=True)], columns=columns)
                 at = end
             release()
-        enc.forget()
 
     schema = "id string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean"
     d = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
@@ -254,5 +232,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, in the order they have in its text."""
+    """Ids of every document, in the order they have in its text. A null text has none; null ids and
+    repeated rows stay as they are."""
     return encode(docs, model_path()).withColumnRenamed("id", "doc_id")
