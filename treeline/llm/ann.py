@@ -7,8 +7,10 @@ bit at a time, until the matches hold at least ``share`` of the rows (and ``LEAS
 candidates are ranked by their true cosine.
 
 Rows are spread over shards of about ``SHARD_ROWS`` by a hash of their id, each with a forest of
-its own, and queries come in blocks: a task holds one shard and one block, whatever is common in
-the data. The best of every shard are merged per query. Nothing is fitted, every row is indexed.
+its own. A shard's rows come first and then the queries, sorted, so its forest is built once and the
+queries stream through it, ``QUERY_BLOCK`` at a time; a task holds one shard, whatever is common in the
+data. Only where there are fewer shards than ``TASKS`` several tasks build the same one. The best of
+every shard are merged per query. Nothing is fitted, every row is indexed.
 
 How many rows must be looked at depends on the data. Vectors without structure have neighbours that
 are hardly nearer than the rest, and only a large share of the rows holds them; with clusters,
@@ -17,6 +19,8 @@ a small ``share`` does.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +30,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 TREES = 128
-BITS = 14
+BITS = 32
 SHARE = 0.3
-LEAST = 64
+LEAST = 1024
 SHARD_ROWS = 8192
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 256
+TASKS = 24
 SEED = 11
 
 
@@ -39,14 +44,15 @@ def planes(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
 
 
 def strings(x: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """The hash string of every vector in every tree, as numbers: (trees, rows)."""
-    powers = (1 << np.arange(bits - 1, -1, -1)).astype(np.float32)
+    """The hash string of every vector in every tree, as numbers: (trees, rows). Up to 32 bits."""
     p = planes(x.shape[1], trees, bits)
-    out = np.empty((trees, len(x)), np.int32)
-    for at in range(0, len(x), 1024):
-        signs = (x[at : at + 1024].astype(np.float32) @ p > 0).reshape(-1, trees, bits)
-        out[:, at : at + 1024] = (signs @ powers).T
-    return out
+    out = np.empty((trees, len(x)), np.int64)
+    for at in range(0, len(x), 512):
+        signs = (x[at : at + 512].astype(np.float32) @ p > 0).reshape(-1, trees, bits)
+        packed = np.packbits(signs, axis=2)
+        for k in range(packed.shape[2]):
+            out[:, at : at + 512] = packed[:, :, k].T + (out[:, at : at + 512] << 8 if k else 0)
+    return out >> (-bits % 8)
 
 
 class Forest:
@@ -82,26 +88,50 @@ class Forest:
             yield np.flatnonzero(hit)
 
 
-def _search(k: int, share: float, trees: int, bits: int):
-    def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+class Shard:
+    """Rows of one length and their forest."""
+
+    def __init__(self, parts: list[pd.DataFrame], trees: int, bits: int) -> None:
+        self.ids = np.concatenate([p["id"].to_numpy() for p in parts])
+        self.x = np.concatenate([np.stack(p["v"].to_numpy()) for p in parts]).astype(np.float64)
+        self.norm = np.sqrt((self.x * self.x).sum(1))
+        self.forest = Forest(self.x / self.norm[:, None], trees, bits)
+
+    def nearest(self, queries: pd.DataFrame, k: int, share: float) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(rows) and len(queries):
-            x = np.stack(rows["v"].to_numpy()).astype(np.float64)
-            q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-            ids = rows["id"].to_numpy()
-            norm = np.sqrt((x * x).sum(1))
-            found = Forest(x / norm[:, None], trees, bits).candidates(q / np.sqrt((q * q).sum(1))[:, None], max(LEAST, int(np.ceil(share * len(x)))))
-            for qid, v, c in zip(queries["id"].to_numpy(), q, found, strict=True):
-                c = c[ids[c] != qid]
-                rough = x[c] @ v / (norm[c] * np.sqrt((v * v).sum()))
-                if len(c) > k:  # leave out what is worse by more than rounding
-                    c = c[rough >= np.partition(rough, -k)[-k] - 1e-9]
-                # summed in one fixed order, so that equal vectors tie
-                score = (x[c] * v).sum(1) / (norm[c] * np.sqrt((v * v).sum()))
-                best = np.lexsort((ids[c], -score))[:k]
-                out += [(qid, ids[c[b]], score[b]) for b in best]
+        x, norm, ids = self.x, self.norm, self.ids
+        q = np.stack(queries["v"].to_numpy()).astype(np.float64)
+        found = self.forest.candidates(q / np.sqrt((q * q).sum(1))[:, None], max(LEAST, int(np.ceil(share * len(x)))))
+        for qid, v, c in zip(queries["id"].to_numpy(), q, found, strict=True):
+            c = c[ids[c] != qid]
+            rough = x[c] @ v / (norm[c] * np.sqrt((v * v).sum()))
+            if len(c) > k:  # leave out what is worse by more than rounding
+                c = c[rough >= np.partition(rough, -k)[-k] - 1e-9]
+            # summed in one fixed order, so that equal vectors tie
+            score = (x[c] * v).sum(1) / (norm[c] * np.sqrt((v * v).sum()))
+            best = np.lexsort((ids[c], -score))[:k]
+            out += [(qid, ids[c[b]], score[b]) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
+
+KEYS = ["dim", "shard", "block"]
+
+
+def _search(k: int, share: float, trees: int, bits: int, many: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches are sorted by ``KEYS``, rows before queries."""
+        key, parts, shard = None, [], None
+        for batch in batches:
+            for name, part in batch.groupby(KEYS):
+                if name != key:
+                    key, parts, shard = name, [], None
+                rows, queries = part[~part["asks"]], part[part["asks"]]
+                if len(rows):
+                    parts.append(rows)
+                for at in range(0, len(queries) if parts else 0, many):
+                    shard = shard or Shard(parts, trees, bits)
+                    yield shard.nearest(queries[at : at + many], k, share)
+
     return run
 
 
@@ -122,12 +152,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
 
     rows, qs = valid(vectors), valid(queries).groupBy("dim", "id").agg(F.min("v").alias("v"))
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    blocks = max(1, -(-qs.count() // QUERY_BLOCK))
+    blocks = max(1, -(-TASKS // shards))
     every = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
-    qs = qs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", every(shards))
-    keys = ["dim", "shard", "block"]
-    best = rows.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInPandas(_search(k, share, trees, bits), "query_id long, vec_id long, score double")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks)).withColumn("asks", F.lit(False))
+    qs = qs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", every(shards)).withColumn("asks", F.lit(True))
+    both = rows.unionByName(qs).repartition(shards * blocks, *KEYS).sortWithinPartitions(*KEYS, "asks")
+    best = both.mapInPandas(_search(k, share, trees, bits, QUERY_BLOCK), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
