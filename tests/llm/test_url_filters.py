@@ -51,6 +51,12 @@ def test_indexed_rules_lose_nothing(spark):
         assert got[u] == ("block" if hits == {"block"} else "allow"), u
 
 
+def test_thousands_of_rules_without_a_token(spark):
+    df = spark.createDataFrame([("http://a.org/xx777yy",), ("http://b.org/",)], "url string").selectExpr("*", "'t' AS token", "'l' AS low", "1 AS pattern")
+    got = {r.url: (r.verdict, r.pattern) for r in uf.judge_urls(df, (), tuple(f"x{k}y" for k in range(3000))).collect()}
+    assert got == {"http://a.org/xx777yy": ("block", "x777y"), "http://b.org/": ("allow", None)}
+
+
 def test_empty_table_and_lists(spark):
     assert uf.judge_urls(spark.createDataFrame([], "url string")).count() == 0
     assert uf.judge_urls(spark.createDataFrame([("http://a",)], "url string"), (), ()).first().verdict == "allow"

@@ -10,6 +10,7 @@ expressions run. Rules without such a token form a short list that runs on every
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,9 +120,12 @@ def judge_urls(urls: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RUL
     index = [(min(ts, key=lambda t: (seen.get(t, 0), t)), r, v, rx) for r, v, rx, ts in rules if ts]
     index = spark.createDataFrame(index, "token string, pattern string, v string, rx string")
     hits = tokens.join((F.broadcast if len(rules) <= BROADCAST_RULES else (lambda d: d))(index), "token").filter(F.expr("regexp_like(low, rx)")).select("url", "pattern", "v")
-    for r, v, rx, ts in rules:  # the few without a token
-        if not ts:
-            hits = hits.unionByName(u.filter(F.col("low").rlike(rx)).select("url", F.lit(r).alias("pattern"), F.lit(v).alias("v")))
+    if bare := [(r, v, rx) for r, v, rx, ts in rules if not ts]:
+        # Rules without a token: one expression of them all, then each of them where that matches.
+        some = u.filter(F.col("low").rlike("|".join(f"(?:{rx})" for *_, rx in bare)))
+        each = F.from_json(F.lit(json.dumps([dict(zip(("pattern", "v", "rx"), r, strict=True)) for r in bare])), "array<struct<pattern: string, v: string, rx: string>>")
+        tried = some.select("url", "low", F.explode(each).alias("r"))
+        hits = hits.unionByName(tried.filter(F.expr("regexp_like(low, r.rx)")).select("url", "r.pattern", "r.v"))
     # "allow" < "block", so that an exception wins
     hits = hits.groupBy("url").agg(F.min(F.struct("v", "pattern")).alias("hit"))
     return (
