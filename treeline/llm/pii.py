@@ -36,7 +36,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, materialize_narrow, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Possessive quantifiers, and starts only where a run of characters does: the matches are those
@@ -58,6 +58,8 @@ BELIEF = 0.5
 #: Of confidence bounds, in standard deviations (95 %, one-sided).
 Z = 1.645
 REMOVE, GENERALISE = 0.9, 0.75
+#: Frequent terms are broadcast up to this many (some 20 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Arrays are worked through in blocks of this many, words near spans in larger ones first.
 STEP, LARGE_STEP = 128, 4096
 
@@ -199,12 +201,16 @@ def disclosure(c_te: Column, c_t: Column, c_e: Column, n: int, tied: Column) ->
     return F.when((ic > 0) & (tied > 0), F.log(tied * c_te * F.lit(float(n)) / (c_t * c_e)) / ic).otherwise(0.0)
 
 
+def _most(c_e: Column, n: int) -> Column:
+    """c(t, e) <= c(e), so a term in more documents than this can't reach ``GENERALISE``."""
+    return c_e * F.pow(F.lit(float(max(n, 1))) / c_e, F.lit(1 - GENERALISE)) * 1.000001
+
+
 def _told(terms: DataFrame, entities: DataFrame, n: int, excess: dict[tuple[int, int], float]) -> DataFrame:
     """``row, id, term, disclosure``: terms that disclose an entity of their document. ``terms`` has
-    ``row, id, m, term, near, to, c_t`` and ``entities`` ``row, id, m, kind, e, names, c_e, same`` (of
+    ``row, id, m, term, to, c_t`` and ``entities`` ``row, id, m, kind, e, names, c_e, same`` (of
     entities in the same documents) for each distinct document."""
-    # c(t, e) <= c(e), so a term in more documents than this can't reach GENERALISE
-    most = F.col("c_e") * F.pow(F.lit(float(max(n, 1))) / F.col("c_e"), F.lit(1 - GENERALISE)) * 1.000001
+    most = _most(F.col("c_e"), n)
     here = lambda a, b: (F.col(f"{a}.row") == F.col(f"{b}.row")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
 
     # Pairs of SUPPORT documents: entities of the same documents are one.
@@ -251,10 +257,6 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = docs.count()
     each = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)), F.lower))
     counts = materialize(d.select(F.explode(each).alias("term")).groupBy("term").agg(F.count("*").alias("c_t")), "pii-counts")
-    word = F.struct("w.start", "w.end")
-    words = found.select("row", "id", "m", F.explode("words").alias("w")).groupBy("row", "id", "m", "w.term").agg(F.bit_or("w.near").alias("near"), F.array_distinct(F.flatten(F.collect_list("w.to"))).alias("to"), F.collect_list(word).alias("places"))
-    terms = materialize(words.join(counts, "term"), "pii-terms")
-
     email = F.col("e.kind") == KINDS.index("email")
     names = F.when(email, F.array_distinct(F.split(F.substring_index(F.lower("e.value"), "@", 1), r"\P{L}+"))).otherwise(F.array().cast("array<string>"))
     held = found.select("row", "id", "m", F.explode("base").alias("e"))
@@ -262,7 +264,17 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = F.xxhash64(F.sum("m"), F.bit_xor(F.xxhash64("row", "id")))
     entities = materialize(held.join(held.groupBy("e").agg(F.sum("m").alias("c_e"), same.alias("same")), "e"), "pii-entities")
 
-    told = _told(terms, entities, n, _excess(terms, counts)).groupBy("row", "id", "term").agg(F.max("disclosure").alias("disclosure"))
+    # No entity can be told by a term of more documents than this. Such terms go before anything is gathered.
+    limit = entities.agg(F.max(_most(F.col("c_e"), n))).first()[0] or 0.0
+    frequent = materialize_narrow(counts.filter(F.col("c_t") > limit).select("term"), "pii-frequent")
+    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent
+    word = F.struct("w.start", "w.end")
+    words = found.select("row", "id", "m", F.explode("words").alias("w")).withColumn("term", F.col("w.term"))
+    near = words.filter("w.near > 0").groupBy("row", "id", "m", "term").agg(F.bit_or("w.near").alias("near")).join(counts, "term")
+    rare = words.join(frequent, "term", "left_anti").groupBy("row", "id", "m", "term").agg(F.array_distinct(F.flatten(F.collect_list("w.to"))).alias("to"), F.collect_list(word).alias("places"))
+    terms = materialize(rare.join(counts, "term"), "pii-terms")
+
+    told = _told(terms, entities, n, _excess(near, counts)).groupBy("row", "id", "term").agg(F.max("disclosure").alias("disclosure"))
     span = lambda p: F.struct(p["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), p["end"].alias("end"), F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("value"))
     places = terms.alias("p").join(told.alias("t"), (F.col("p.row") == F.col("t.row")) & F.col("p.id").eqNullSafe(F.col("t.id")) & (F.col("p.term") == F.col("t.term")))
     spans = places.select("p.row", "p.id", F.transform("places", span).alias("s")).groupBy("row", "id").agg(F.flatten(F.collect_list("s")).alias("terms"))
