@@ -85,14 +85,20 @@ def test_rules(parsed):
     assert any(x.startswith("a.org:4f1c: WARN CategoryTooLong") for x in lines)
 
 
+def shaped(df, name):
+    cols = [c.strip().split(" ", 1) for c in SCHEMAS[name].split(",")]
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in cols])
+
+
 def empty_store(spark, **given):
     return Store(**{n: given.get(n, spark.createDataFrame([], s)) for n, s in SCHEMAS.items()})
 
 
 def test_state_changes(spark):
-    logs = [("1", "e", 2, "state", 10, 5, None, None, "TODO", None, None), ("2", "e", 1, "state", 9, 5, None, "TODO", "TODO", None, None), ("3", "e", 0, "state", 11, 5, None, "DONE", "WAIT", None, None)]
+    rows = [("1", 2, 10, None, "TODO"), ("2", 1, 9, "TODO", "TODO"), ("3", 0, 11, "DONE", "WAIT")]
+    logs = shaped(spark.createDataFrame(rows, "id string, position int, time_day int, from_keyword string, to_keyword string").selectExpr("*", "'e' AS entry_id", "'state' AS log_type", "5 AS time_start"), "entry_log_entries")
     entries = [("e", "f", None, 1, 0, None, "open", "TODO", None, "t", "t", None, None, None, None, ["e"])]
-    s = empty_store(spark, entry_log_entries=spark.createDataFrame(logs, SCHEMAS["entry_log_entries"]), entries=spark.createDataFrame(entries, SCHEMAS["entries"]))
+    s = empty_store(spark, entry_log_entries=logs, entries=spark.createDataFrame(entries, SCHEMAS["entries"]))
     codes = sorted(r.code for r in lint.lint(s).filter("code like 'State%'").collect())
     assert codes == ["StateChangeIdempotent", "StateChangeIntermediate", "StateChangeLast", "StateChangeTimeOrder"]
     assert lint.lint(empty_store(spark)).count() == 0

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import mjd, mjd_to_date
+from ..model import UNIX_EPOCH_MJD, mjd, mjd_to_date
 
 #: Characters dropped from, and replaced in, a slug.
 SLUG_DROPPED = "’‘“”`'"
@@ -65,7 +65,7 @@ def links(text: Column) -> Column:
         url = F.regexp_extract(m, LINK, 1)
         scheme = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
         kind = F.when(scheme == "", "unknown").otherwise(F.lower(scheme))
-        return F.struct(kind.alias("link_type"), F.when(kind == "id", F.substring(url, 4, 100_000)).otherwise(url).alias("target"), F.nullif(F.regexp_extract(m, LINK, 2), F.lit("")).alias("description"))
+        return F.struct(kind.alias("link_type"), F.when(kind == "id", F.substring(url, F.lit(4), F.length(url))).otherwise(url).alias("target"), F.nullif(F.regexp_extract(m, LINK, 2), F.lit("")).alias("description"))
 
     return F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), one)
 
@@ -190,3 +190,25 @@ def align_right(left: Column, right: Column, column: int) -> Column:
     """``left`` and ``right`` with spaces between, so that ``right`` ends at ``column`` if it can."""
     gap = F.greatest(F.lit(1), column - F.length(left) - F.length(right))
     return F.concat(left, F.repeat(F.lit(" "), gap), right)
+
+
+def instant(day: Column, minute: Column | None = None) -> Column:
+    """The UTC instant of a Modified Julian Day and minutes of the day (midnight without)."""
+    minutes = F.coalesce(minute, F.lit(0)) if minute is not None else F.lit(0)
+    return F.timestamp_seconds((day - UNIX_EPOCH_MJD).cast("long") * 86400 + minutes.cast("long") * 60)
+
+
+def from_instant(ts: Column) -> Column:
+    """``struct<day, minute>`` of an instant in UTC; seconds are dropped."""
+    s = F.unix_seconds(ts)
+    return F.struct((F.floor(s / 86400) + UNIX_EPOCH_MJD).cast("int").alias("day"), F.floor(F.pmod(s, F.lit(86400)) / 60).cast("int").alias("minute"))
+
+
+def is_archive(path: Column) -> Column:
+    """Files whose path names an archive."""
+    return F.contains(path, F.lit("archive"))
+
+
+def is_leading(stamp_type: Column) -> Column:
+    """Stamps of the planning line."""
+    return stamp_type.isin("scheduled", "deadline", "closed")

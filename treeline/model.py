@@ -27,7 +27,8 @@ SCHEMAS = {
     "entry_tags": "entry_id string, tag string",
     "entry_properties": "entry_id string, name string, value string, position int",
     "entry_stamps": "entry_id string, stamp_type string, time_kind string, day int, day_end int, time_start int, time_end int, suffix string",
-    "entry_log_entries": "id string, entry_id string, position int, log_type string, time_day int, time_start int, time_end int, from_keyword string, to_keyword string, duration_minutes int, logbook_id string",
+    "entry_log_entries": "id string, entry_id string, position int, log_type string, time_kind string, time_day int, day_end int, time_start int, time_end int, suffix string, from_keyword string, to_keyword string, orig_kind string, orig_day int, orig_start int, orig_end int, orig_suffix string, duration_minutes int, logbook_id string",
+    "entry_log_bodies": "log_id string, entry_id string, log_position int, position int, block_type string, content string",
     "entry_body_blocks": "entry_id string, position int, block_type string, content string, drawer_name string",
     "entry_categories": "entry_id string, category string, is_explicit boolean",
     "entry_links": "entry_id string, position int, link_type string, target string, description string",
@@ -63,6 +64,7 @@ class Store:
     entry_properties: DataFrame
     entry_stamps: DataFrame
     entry_log_entries: DataFrame
+    entry_log_bodies: DataFrame
     entry_body_blocks: DataFrame
     entry_categories: DataFrame
     entry_links: DataFrame

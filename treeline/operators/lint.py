@@ -139,9 +139,33 @@ def _(s, c):
     return dangling_links(s).withColumnRenamed("target", "arg")
 
 
+def _kept(s: Store) -> DataFrame:
+    """Entries with a keyword or a category of their own."""
+    own = s.entry_categories.filter("is_explicit").select("entry_id").distinct()
+    e = _entries(s, "keyword_value").distinct()
+    return e.filter("keyword_value is not null").unionByName(e.filter("keyword_value is null").join(own, "entry_id", "left_semi"))
+
+
 @rule("TodoMissingCreated", "WARN")
 def _(s, c):
-    return _lacking(_entries(s, "keyword_value").filter("keyword_value is not null"), _property(s, "created"), "entry_id").select("entry_id", F.col("keyword_value").alias("arg"))
+    return _lacking(_kept(s), _property(s, "created"), "entry_id").select("entry_id", F.col("keyword_value").alias("arg"))
+
+
+@rule("TodoMissingId", "WARN")
+def _(s, c):
+    return _lacking(_kept(s), _property(s, "id"), "entry_id").select("entry_id", F.col("keyword_value").alias("arg"))
+
+
+@rule("AttachmentsWithoutTag", "WARN")
+def _(s, c):
+    """Attachments, but no tag FILE. Whether their folder is there isn't looked at."""
+    return _lacking(s.entry_properties.filter("name = 'Attachments'").select("entry_id").distinct(), s.entry_tags.filter("tag = 'FILE'"), "entry_id")
+
+
+@rule("WhitespaceAtStartOfNote", "WARN")
+def _(s, c):
+    """A log entry's note begins with a blank line."""
+    return s.entry_log_bodies.filter("position = 0 and block_type = 'whitespace'").select("entry_id", F.col("log_position").alias("arg"))
 
 
 @rule("TaskWithoutTags", "WARN")
@@ -348,3 +372,8 @@ def _(s, c):
 
 def severity_at_least(level: str) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("severity")) >= LEVELS.index(level) + 1
+
+
+def exit_code(messages: DataFrame) -> int:
+    """What a run of the rules ends with: the number of messages, 255 at most."""
+    return min(255, messages.count())

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..model import Store
+from ..storage import materialize
 
 def classify_files(files: DataFrame, stored: DataFrame) -> DataFrame:
     """``path, action``: both sides have ``path, mod_time, hash``. Not stored: ``insert``; the
@@ -61,3 +63,45 @@ def report(classified: DataFrame) -> DataFrame:
     """One row: files processed, updated, skipped, deleted, conflicts."""
     count = lambda *a: F.count_if(F.col("action").isin(*a))
     return classified.agg(F.count_if(F.col("action") != "delete").alias("processed"), count("insert", "update").alias("updated"), count("skip").alias("skipped"), count("delete").alias("deleted"), count("conflict").alias("conflicts"))
+
+
+def delete_files(store: Store, paths: DataFrame) -> Store:
+    """The store without the files of ``path`` in ``paths`` and all that hangs on them: properties, entries
+    and what entries have. One anti-join a table."""
+    gone = store.files.join(paths.select("path").distinct(), "path", "left_semi").select(F.col("id").alias("file_id"))
+    entries = store.entries.join(gone, "file_id", "left_semi").select(F.col("id").alias("entry_id")).distinct()
+
+    def left(name: str, df: DataFrame) -> DataFrame:
+        if name == "files":
+            return df.join(gone, F.col("id") == F.col("file_id"), "left_anti")
+        if "file_id" in df.columns:
+            return df.join(gone, "file_id", "left_anti").select(df.columns)
+        return df.join(entries, "entry_id", "left_anti").select(df.columns)
+
+    return store.map(left)
+
+
+def stale_files(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """The ``files`` (``path, mod_time, ...``) that have to be parsed again: not in ``cached`` (``path,
+    mod_time``), or newer than there."""
+    c = cached.groupBy("path").agg(F.max("mod_time").alias("_cached"))
+    return files.join(c, "path", "left").filter("_cached is null or mod_time > _cached").select(files.columns)
+
+
+def store_vectors(stored: DataFrame, hashes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vectors and marks after embedding: ``new`` has ``entry_id, hash, chunk_position, chunk_text,
+    embedding``. Its entries' old vectors go, and their mark (``entry_id, embedded_hash``) is the hash of the text
+    that was embedded."""
+    done = new.groupBy("entry_id").agg(F.max("hash").alias("embedded_hash"))
+    vectors = stored.join(done, "entry_id", "left_anti").select(stored.columns).unionByName(new.select("entry_id", "chunk_position", "chunk_text", "embedding"))
+    return vectors, hashes.join(done, "entry_id", "left_anti").select("entry_id", "embedded_hash").unionByName(done)
+
+
+def round_trip_failures(store: Store) -> DataFrame:
+    """``path`` of the files whose text, written and read again, is written otherwise."""
+    from ..sinks.text import file_texts
+    from ..sources.outline_text import parse
+
+    once = materialize(file_texts(store), "written")
+    again = file_texts(parse(once).store).select(F.col("path").alias("p"), F.col("content").alias("c"))
+    return once.join(again, F.col("path") == F.col("p"), "left").filter(~F.col("content").eqNullSafe(F.col("c"))).select("path")

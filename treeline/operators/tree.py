@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import Store
+from ..model import Store, mjd
+from ..storage import materialize
 
 #: File properties that entries inherit, by exact name.
 INHERITED = ("COLUMNS", "CATEGORY", "ARCHIVE", "LOGGING")
 
 
-def build_paths(entries: DataFrame, max_depth: int = 15) -> DataFrame:
-    """``id, path`` from ``id, parent_id`` alone, root first: level by level from the roots, one
-    join a level. Rows whose parent doesn't exist, and cycles, have no path."""
-    e = entries.select("id", "parent_id").distinct()
-    level = e.filter("parent_id is null").select("id", F.array("id").alias("path"))
-    levels = [level]
-    for _ in range(max_depth - 1):
-        level = e.alias("e").join(level.alias("p"), F.col("e.parent_id") == F.col("p.id")).select("e.id", F.concat("p.path", F.array("e.id")).alias("path"))
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+def build_paths(entries: DataFrame) -> DataFrame:
+    """``id, path`` from ``id, parent_id`` alone, root first: level by level from the roots until one is
+    empty, one join a level. Rows whose parent doesn't exist, and cycles, have no path; of an id with
+    several parents each has one."""
+    e = materialize(entries.select("id", "parent_id").distinct(), "paths-edges")
+    out = level = materialize(e.filter("parent_id is null").select("id", F.array("id").alias("path")), "paths-level")
+    while not level.isEmpty():
+        below = e.alias("e").join(level.alias("p"), F.col("e.parent_id") == F.col("p.id")).select("e.id", F.concat("p.path", F.array("e.id")).alias("path"))
+        level = materialize(below.filter(F.size(F.array_distinct("path")) == F.size("path")), "paths-level")
+        out = out.unionByName(level)
     return out
 
 
+def unique_entries(entries: DataFrame) -> DataFrame:
+    """Entries, of those that share an id one, the same in every run: that of least title and keyword."""
+    rest = F.struct(*[c for c in entries.columns if c != "id"])
+    return entries.groupBy("id").agg(F.min_by(rest, F.struct("title", "keyword_value")).alias("e")).select("id", "e.*").select(entries.columns)
+
+
 def breadcrumbs(store: Store) -> DataFrame:
     """``entry_id, breadcrumb``: the titles of the ancestors, root first."""
     titles = store.entries.select(F.col("id").alias("a_id"), "title").distinct()
@@ -63,13 +70,27 @@ def preorder(entries: DataFrame) -> DataFrame:
 
 
 def nest(store: Store) -> DataFrame:
-    """``file_id, id, tree``: every root as JSON with its children in order (three levels, those
-    deeper as lists of ids). Built bottom-up, one aggregation a level."""
+    """``file_id, id, tree``: every root (an entry without parent) as JSON with its children in order, to any
+    depth. Built bottom-up from the deepest level, one aggregation and one join a level. A child is JSON
+    already when its parent takes it in, so all levels have one schema."""
     e = store.entries.select("file_id", "id", "parent_id", "depth", "position", "title", "keyword_value")
-    node = lambda kids: F.struct("position", "id", "title", F.col("keyword_value").alias("keyword"), kids.alias("children"))
-    leaf = e.filter("depth >= 3").select(F.col("parent_id").alias("p"), F.struct("position", "id", "title", F.col("keyword_value").alias("keyword")).alias("n")).groupBy("p").agg(F.sort_array(F.collect_list("n")).alias("kids"))
-    mid = e.filter("depth = 2").join(leaf, F.col("id") == F.col("p"), "left").select(F.col("parent_id").alias("p"), node(F.col("kids")).alias("n")).groupBy("p").agg(F.sort_array(F.collect_list("n")).alias("kids"))
-    return e.filter("depth = 1").join(mid, F.col("id") == F.col("p"), "left").select("file_id", "id", F.to_json(node(F.col("kids"))).alias("tree"))
+    deepest = e.agg(F.max("depth")).first()[0]
+    kids = None  # parent, its children as one JSON array
+    roots = []
+
+    def written(level: DataFrame) -> DataFrame:
+        own = F.to_json(F.struct("position", "id", "title", F.col("keyword_value").alias("keyword")))
+        if kids is None:
+            return level.withColumn("tree", own)
+        has = level.join(kids, F.col("id") == F.col("p"), "left")
+        return has.withColumn("tree", F.when(F.col("kids").isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":'), "kids", F.lit("}"))))
+
+    for depth in range(deepest or 0, 0, -1):
+        level = written(e.filter(F.col("depth") == depth))
+        roots.append(level.filter("parent_id is null").select("file_id", "id", "tree"))
+        listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "id", "tree"))), lambda x: x["tree"]), ",")
+        kids = level.filter("parent_id is not null").groupBy(F.col("parent_id").alias("p")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("kids"))
+    return reduce(DataFrame.unionByName, roots) if roots else e.select("file_id", "id", F.lit("").alias("tree")).limit(0)
 
 
 def lookup(properties: Column, name: str) -> Column:
@@ -107,3 +128,27 @@ def state_history(store: Store) -> DataFrame:
     w = W.partitionBy("entry_id").orderBy(F.desc("position"))
     s = store.entry_log_entries.filter("log_type = 'state'")
     return s.select("entry_id", "position", "to_keyword", F.lag("to_keyword").over(w).alias("before"), "time_day", "time_start")
+
+
+def file_facts(store: Store) -> DataFrame:
+    """``file_id, title, slug, stamp, created, archive`` of every file: its TITLE or the slug in its name;
+    its SLUG or that of the title; the time in its name as Modified Julian Day; the day of CREATED or that of the
+    name; whether it is an archive."""
+    from ..functions.scalars import compact_time, file_name_parts, is_archive, slug
+
+    first = lambda n: F.min_by(F.when(F.upper("name") == n, F.col("value")), F.when(F.upper("name") == n, F.col("position")))
+    p = store.file_properties.groupBy("file_id").agg(first("TITLE").alias("t"), first("SLUG").alias("s"), first("CREATED").alias("c"))
+    f = store.files.select(F.col("id").alias("file_id"), "path", file_name_parts(F.substring_index("path", "/", -1)).alias("n")).join(p, "file_id", "left")
+    title = F.coalesce("t", "n.slug")
+    stamp = compact_time(F.col("n.date"))["day"]
+    written = F.try_to_timestamp(F.regexp_extract("c", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("yyyy-MM-dd")).cast("date")
+    return f.select("file_id", title.alias("title"), F.coalesce("s", slug(title)).alias("slug"), stamp.alias("stamp"), F.coalesce(mjd(written), stamp).alias("created"), is_archive(F.col("path")).alias("archive"))
+
+
+def body_space(store: Store) -> DataFrame:
+    """``entry_id, lead, trail, empty``: the white space that a body begins and ends with, if it does, and
+    whether nothing else is in it. Entries without a body are empty."""
+    space = F.when(F.col("block_type") == "whitespace", F.col("content"))
+    b = store.entry_body_blocks.groupBy("entry_id").agg(F.min_by(F.struct(space.alias("v")), "position")["v"].alias("lead"), F.max_by(F.struct(space.alias("v")), "position")["v"].alias("trail"))
+    ids = store.entries.select(F.col("id").alias("entry_id")).distinct()
+    return ids.join(b.withColumn("full", F.lit(True)), "entry_id", "left").select("entry_id", "lead", "trail", F.col("full").isNull().alias("empty"))

@@ -40,11 +40,11 @@ def _mjd(day: str) -> int:
 
 
 def _own(tag: str, e: str = "e") -> str:
-    return f"EXISTS (SELECT 1 FROM entry_tags t WHERE t.entry_id = {e}.id AND t.tag IN ({tag}))"
+    return f"{e}.id IN (SELECT entry_id FROM entry_tags WHERE tag IN ({tag}))"
 
 
 def _up(tag: str, e: str = "e") -> str:
-    return f"EXISTS (SELECT 1 FROM ancestors a JOIN entry_tags t ON t.entry_id = a.ancestor_id WHERE a.entry_id = {e}.id AND t.tag IN ({tag}))"
+    return f"{e}.id IN (SELECT a.entry_id FROM ancestors a JOIN entry_tags t ON t.entry_id = a.ancestor_id WHERE t.tag IN ({tag}))"
 
 
 def _stamp(cond: str, e: str = "e") -> str:
@@ -89,10 +89,10 @@ _predicate("ql_planning", q.planning(before="1995-02-28"), _stamp(f"s.stamp_type
 _predicate("ql_clocked", q.clocked(from_="2024-01-10"), f"EXISTS (SELECT 1 FROM entry_log_entries l WHERE l.entry_id = e.id AND l.log_type = 'clock' AND l.time_day >= {_mjd('2024-01-10')})")
 _predicate("ql_path", q.path("NATION_1/1", "nation_7/"), "EXISTS (SELECT 1 FROM files f WHERE f.id = e.file_id AND (contains(f.path, 'nation_1/1') OR contains(f.path, 'nation_7/')))")
 _predicate("ql_link", q.link("part:77"), "EXISTS (SELECT 1 FROM entry_links k WHERE k.entry_id = e.id AND k.target ILIKE '%part:77%')")
-_predicate("ql_parent", q.parent(q.or_(q.todo("WAIT"), q.priority("A"))), "EXISTS (SELECT 1 FROM entries p WHERE p.id = e.parent_id AND (p.keyword_value = 'WAIT' OR p.priority = 'A'))")
-_predicate("ql_ancestors", q.ancestors(q.property_("Nation", "NATION_3")), "EXISTS (SELECT 1 FROM ancestors a WHERE a.entry_id = e.id AND EXISTS (SELECT 1 FROM entry_properties p WHERE p.entry_id = a.ancestor_id AND lower(p.name) = 'nation' AND p.value = 'NATION_3'))")
-_predicate("ql_children", q.and_(q.level(2), q.not_(q.children())), "depth = 2 AND NOT EXISTS (SELECT 1 FROM entries p WHERE p.parent_id = e.id)")
-_predicate("ql_children_q", q.children(q.todo("WAIT")), "EXISTS (SELECT 1 FROM entries p WHERE p.parent_id = e.id AND p.keyword_value = 'WAIT')")
+_predicate("ql_parent", q.parent(q.or_(q.todo("WAIT"), q.priority("A"))), "e.parent_id IN (SELECT p.id FROM entries p WHERE p.keyword_value = 'WAIT' OR p.priority = 'A')")
+_predicate("ql_ancestors", q.ancestors(q.property_("Nation", "NATION_3")), "e.id IN (SELECT a.entry_id FROM ancestors a JOIN entry_properties p ON p.entry_id = a.ancestor_id WHERE lower(p.name) = 'nation' AND p.value = 'NATION_3')")
+_predicate("ql_children", q.and_(q.level(2), q.not_(q.children())), "depth = 2 AND e.id NOT IN (SELECT p.parent_id FROM entries p WHERE p.parent_id IS NOT NULL)")
+_predicate("ql_children_q", q.children(q.todo("WAIT")), "e.id IN (SELECT p.parent_id FROM entries p WHERE p.keyword_value = 'WAIT')")
 _predicate("ql_descendants", q.descendants(q.and_(q.tags_local("r"), q.done())), "e.id IN (SELECT a.ancestor_id FROM ancestors a JOIN entries x ON x.id = a.entry_id JOIN entry_tags t ON t.entry_id = x.id WHERE t.tag = 'r' AND x.keyword_type = 'closed')")
 _predicate("ql_nested", q.children(q.children(q.and_(q.done(), q.parent(q.priority("A"))))), "e.id IN (SELECT p.parent_id FROM entries p JOIN entries x ON x.parent_id = p.id WHERE x.keyword_type = 'closed' AND p.priority = 'A')")
 
@@ -135,7 +135,7 @@ def _(s, spark, d):
 
 @query("path_build", "SELECT DISTINCT id, array_to_string(path, '/') AS path FROM entries")
 def _(s, spark, d):
-    return tree.build_paths(s.entries, 4).select("id", F.array_join("path", "/").alias("path"))
+    return tree.build_paths(s.entries).select("id", F.array_join("path", "/").alias("path"))
 
 
 @query("breadcrumb", "SELECT entry_id, string_agg(title, ' > ' ORDER BY pos) AS breadcrumb FROM (SELECT DISTINCT a.entry_id, a.pos, e.title FROM ancestors a JOIN entries e ON e.id = a.ancestor_id) GROUP BY entry_id")
@@ -165,11 +165,11 @@ def _(s, spark, d):
 @query(
     "preorder",
     """SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY key, id) - 1 AS preorder FROM (
-    SELECT e.file_id, e.id, list(p.position ORDER BY e.k) AS key FROM (SELECT DISTINCT file_id, id, unnest(path) AS step, generate_subscripts(path, 1) AS k FROM entries WHERE depth < 3) e
+    SELECT e.file_id, e.id, list(p.position ORDER BY e.k) AS key FROM (SELECT DISTINCT file_id, id, unnest(path) AS step, generate_subscripts(path, 1) AS k FROM entries) e
     JOIN (SELECT id, min(position) AS position FROM entries GROUP BY id) p ON p.id = e.step GROUP BY e.file_id, e.id)""",
 )
 def _(s, spark, d):
-    return tree.preorder(s.entries.filter("depth < 3").dropDuplicates(["id"]))
+    return tree.preorder(s.entries.dropDuplicates(["id"]))
 
 
 @query("tree_nest")
@@ -182,9 +182,9 @@ def _(s, spark, d):
     return tree.any_property(s, "TODO").distinct()
 
 
-@query("any_property_file", "SELECT DISTINCT e.id, f.path AS value FROM entries e JOIN files f ON f.id = e.file_id WHERE e.depth = 1")
+@query("any_property_file", "SELECT DISTINCT e.id, f.path AS value FROM entries e JOIN files f ON f.id = e.file_id")
 def _(s, spark, d):
-    return tree.any_property(s, "FILE").filter(F.col("id").startswith("c-"))
+    return tree.any_property(s, "FILE")
 
 
 @query(
@@ -226,29 +226,34 @@ def _(s, spark, d):
     return stats.id_map(s)
 
 
-@query("dangling_links", "SELECT entry_id, target FROM entry_links k WHERE link_type = 'id' AND NOT EXISTS (SELECT 1 FROM entries e WHERE lower(e.id) = lower(k.target) AND e.depth = 1 AND ends_with(e.id, '7'))")
+@query("dangling_links", "SELECT entry_id, target FROM entry_links k WHERE link_type = 'id' AND NOT EXISTS (SELECT 1 FROM entries e WHERE lower(e.id) = lower(k.target))")
 def _(s, spark, d):
-    from dataclasses import replace
+    return stats.dangling_links(s)
 
-    return stats.dangling_links(replace(s, entries=s.entries.filter("depth = 1 and endswith(id, '7')")))
 
-
-@query(
-    "combined_text_md5",
-    """SELECT e.entry_id, md5(concat_ws(chr(10), b.x, e.title, t.x, k.x, y.x, p.x)) AS hash FROM (SELECT DISTINCT id AS entry_id, title FROM entries) e
+_COMBINED = """SELECT e.entry_id, md5(concat_ws(chr(10), b.x, e.title, t.x, k.x, y.x, l.x, p.x)) AS hash FROM (SELECT id AS entry_id, string_agg(title, ' ' ORDER BY title) AS title FROM (SELECT DISTINCT id, title FROM entries) GROUP BY id) e
     LEFT JOIN (SELECT entry_id, string_agg(title, ' > ' ORDER BY pos) AS x FROM (SELECT DISTINCT a.entry_id, a.pos, e.title FROM ancestors a JOIN entries e ON e.id = a.ancestor_id) GROUP BY entry_id) b USING (entry_id)
     LEFT JOIN (SELECT entry_id, string_agg(tag, ' ' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t USING (entry_id)
     LEFT JOIN (SELECT entry_id, string_agg(category, ' ' ORDER BY category) AS x FROM entry_categories GROUP BY entry_id) k USING (entry_id)
     LEFT JOIN (SELECT entry_id, string_agg(content, chr(10) ORDER BY position) AS x FROM entry_body_blocks GROUP BY entry_id) y USING (entry_id)
-    LEFT JOIN (SELECT entry_id, string_agg(name || ': ' || value, chr(10) ORDER BY name) AS x FROM entry_properties GROUP BY entry_id) p USING (entry_id)""",
-)
+    LEFT JOIN (SELECT entry_id, string_agg(content, chr(10) ORDER BY log_position, position) AS x FROM entry_log_bodies GROUP BY entry_id) l USING (entry_id)
+    LEFT JOIN (SELECT entry_id, string_agg(name || ': ' || value, chr(10) ORDER BY name) AS x FROM entry_properties GROUP BY entry_id) p USING (entry_id)"""
+
+
+@query("combined_text_md5", _COMBINED)
 def _(s, spark, d):
     return stats.combined_text(s).select("entry_id", "hash")
 
 
-@query("file_groups", "SELECT file_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM entries WHERE depth <= 2 GROUP BY file_id")
+@query("log_notes", "SELECT e.id, l.log_type, l.time_day, b.content FROM entry_log_entries l JOIN entry_log_bodies b ON b.log_id = l.id JOIN entries e ON e.id = l.entry_id")
+def _(s, spark, d):
+    log = s.entry_log_entries.select(F.col("id").alias("log_id"), "log_type", "time_day").join(s.entry_log_bodies.select("log_id", "entry_id", "content"), "log_id")
+    return log.join(s.entries.select("id"), F.col("entry_id") == F.col("id")).select("id", "log_type", "time_day", "content")
+
+
+@query("file_groups", "SELECT file_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM entries GROUP BY file_id")
 def _(s, spark, d):
-    return s.entries.filter("depth <= 2").groupBy("file_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    return s.entries.groupBy("file_id").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
 
 # -- scalar functions --------------------------------------------------------------------------
 
@@ -335,9 +340,9 @@ def _(s, spark, d):
     return s.entries.join(s.entry_stamps.filter("stamp_type = 'scheduled'"), F.col("id") == F.col("entry_id")).select("id", fn.route(F.col("day"), fn.slug(F.col("title"))).alias("route"))
 
 
-@query("line_columns", "SELECT doc_id, length(left(text, 40)) - length(replace(left(text, 40), chr(10), '')) + 1 AS line, length(string_split(left(text, 40), chr(10))[-1]) + 1 AS col FROM documents")
+@query("line_columns", "SELECT doc_id, length(before) - length(replace(before, chr(10), '')) + 1 AS line, length(string_split(before, chr(10))[-1]) + 1 AS col FROM (SELECT doc_id, left(text, length(text) // 2) AS before FROM documents)")
 def _(s, spark, d):
-    p = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.line_and_column(F.col("text"), F.lit(40)).alias("p"))
+    p = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fn.line_and_column(F.col("text"), F.floor(F.length("text") / 2).cast("int")).alias("p"))
     return p.select("doc_id", "p.*")
 
 
@@ -362,7 +367,8 @@ from .streaming import clocked  # noqa: E402
 _LINT_SQL = {
     "DuplicateIdentifier": "SELECT NULL AS file_id, id AS entry_id, 'ERROR' AS severity, 'DuplicateIdentifier' AS code, count(*)::VARCHAR AS arg FROM entries GROUP BY id HAVING count(*) > 1",
     "TodoMismatch": "SELECT file_id, NULL, 'WARN', 'TodoMismatch', 'untagged' FROM entries GROUP BY file_id HAVING bool_or(keyword_type = 'open')",
-    "TodoMissingCreated": "SELECT NULL, id, 'WARN', 'TodoMissingCreated', keyword_value FROM entries WHERE keyword_value IS NOT NULL",
+    "TodoMissingCreated": "SELECT NULL, id, 'WARN', 'TodoMissingCreated', keyword_value FROM (SELECT DISTINCT id, keyword_value FROM entries) WHERE keyword_value IS NOT NULL OR id IN (SELECT entry_id FROM entry_categories WHERE is_explicit)",
+    "TodoMissingId": "SELECT NULL, id, 'WARN', 'TodoMissingId', keyword_value FROM (SELECT DISTINCT id, keyword_value FROM entries) WHERE keyword_value IS NOT NULL OR id IN (SELECT entry_id FROM entry_categories WHERE is_explicit)",
     "CategoryTooLong": "SELECT NULL, entry_id, 'WARN', 'CategoryTooLong', category FROM entry_categories WHERE length(category) > 10",
     "DuplicateTag": "SELECT NULL, entry_id, 'ERROR', 'DuplicateTag', tag FROM entry_tags GROUP BY entry_id, tag HAVING count(*) > 1",
     "StampOnPlainEntry": "SELECT NULL, id, 'WARN', 'StampOnPlainEntry', NULL FROM entries e WHERE keyword_value IS NULL AND EXISTS (SELECT 1 FROM entry_stamps s WHERE s.entry_id = e.id AND s.stamp_type <> 'active')",
@@ -414,28 +420,35 @@ def _(s, spark, d):
     return e.groupBy("entry_id").agg(F.min_by("chunk_position", "distance").alias("chunk_position"))
 
 
-def _vectors(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("v"))
+def _open_titles(s, spark, d):
+    """Open entries with a vector of their title; the title is the group, as like titles are no pair."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("o-"), "vec_id").alias("id"), F.col("embedding").alias("v"))
+    return s.entries.filter("keyword_type = 'open'").select("id", F.col("title").alias("grp")).join(e, "id")
 
 
-@query(
-    "review_pairs",
-    f"SELECT x.vec_id AS a, y.vec_id AS b, round({_DISTANCE.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')}, 6) AS distance FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND x.label <> y.label WHERE {_DISTANCE.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')} < 0.62 ORDER BY {_DISTANCE.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')}, a, b LIMIT 1000",
-    head="",
-)
+_TITLES = "SELECT e.id, e.title, v.embedding::DOUBLE[] AS v FROM entries e JOIN embeddings v ON e.id = 'o-' || v.vec_id WHERE e.keyword_type = 'open'"
+_PAIRS = f"SELECT a, b, d AS distance FROM (SELECT x.id AS a, y.id AS b, {_DISTANCE.format(a='x.v', b='y.v')} AS d FROM ({_TITLES}) x JOIN ({_TITLES}) y ON x.id < y.id AND x.title <> y.title) WHERE d < 0.65 ORDER BY d, a, b LIMIT 1000"
+
+
+@query("review_pairs", f"SELECT a, b, round(distance, 6) AS distance FROM ({_PAIRS})")
 def _(s, spark, d):
-    return similarity.similar_pairs(_vectors(spark, d), 0.62, 1000).withColumn("distance", F.round("distance", 6))
+    return similarity.similar_pairs(_open_titles(s, spark, d), 0.65, 1000).withColumn("distance", F.round("distance", 6))
 
 
-@query("review_clusters")
+@query(
+    "review_clusters",
+    f"""SELECT id, cluster, round(distance, 6) AS distance FROM (WITH RECURSIVE p AS MATERIALIZED ({_PAIRS}), g AS MATERIALIZED (SELECT a AS x, b AS y, distance FROM p UNION ALL SELECT b, a, distance FROM p),
+    r AS (SELECT DISTINCT x AS id, x AS at FROM g UNION SELECT r.id, g.y FROM r JOIN g ON g.x = r.at)
+    SELECT r.id, min(r.at) AS cluster, any_value(n.distance) AS distance FROM r JOIN (SELECT x, min(distance) AS distance FROM g GROUP BY x) n ON n.x = r.id GROUP BY r.id)""",
+)
 def _(s, spark, d):
-    return similarity.clusters(similarity.similar_pairs(_vectors(spark, d), 0.62, 1000)).select("id", "cluster", F.round("distance", 6).alias("distance"))
+    return similarity.clusters(similarity.similar_pairs(_open_titles(s, spark, d), 0.65, 1000)).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query("embed_candidates", "SELECT id AS entry_id, md5(title) AS hash FROM (SELECT DISTINCT id, title, depth FROM entries) WHERE depth = 3 OR (depth = 2 AND right(id, 1) IN ('1', '2'))")
+@query("embed_candidates", f"SELECT c.entry_id, c.hash FROM ({_COMBINED}) c JOIN (SELECT DISTINCT id, depth FROM entries) e ON e.id = c.entry_id WHERE e.depth = 3 OR (e.depth = 2 AND right(c.entry_id, 1) IN ('1', '2'))")
 def _(s, spark, d):
-    t = s.entries.select(F.col("id").alias("entry_id"), F.md5("title").alias("hash"), "depth").distinct()
+    """Nothing of depth 3 was embedded, and some orders have changed since."""
+    t = stats.combined_text(s).select("entry_id", "hash").join(s.entries.select(F.col("id").alias("entry_id"), "depth").distinct(), "entry_id")
     done = t.filter("depth < 3").select("entry_id", F.when((F.col("depth") == 2) & F.right("entry_id", F.lit(1)).isin("1", "2"), F.md5(F.lit("old"))).otherwise(F.col("hash")).alias("embedded_hash"))
     return similarity.candidates(t.drop("depth"), done)
 
@@ -515,21 +528,24 @@ def _(s, spark, d):
     return tag_ops.tag_tree_links(_tagged(s), "tree", 1)
 
 
-@query(
-    "dot_edges",
-    """SELECT e.parent_id AS source, e.id AS target, 'parent_child' AS relation, 'black' AS colour FROM (SELECT DISTINCT id, parent_id, depth FROM entries) e WHERE e.depth = 2
-    """,
-)
+_RELATIONS = "SELECT DISTINCT parent_id AS source, id AS target, 'parent_child' AS relation FROM entries WHERE parent_id IS NOT NULL UNION ALL SELECT DISTINCT k.entry_id, e.id, 'link' FROM entry_links k JOIN entries e ON lower(k.target) = lower(e.id) WHERE k.link_type = 'id'"
+
+
+@query("dot_edges", f"SELECT source, target, relation, CASE relation WHEN 'link' THEN 'blue' ELSE 'gray' END AS colour FROM ({_RELATIONS})")
 def _(s, spark, d):
-    return graph.edges(s, types=("parent_child",), max_depth=2)
+    return graph.edges(s)
 
 
-@query("relations", "SELECT DISTINCT parent_id AS source, id AS target, 'parent_child' AS relation FROM entries WHERE parent_id IS NOT NULL UNION ALL SELECT DISTINCT k.entry_id, e.id, 'link' FROM entry_links k JOIN entries e ON lower(k.target) = lower(e.id) WHERE k.link_type = 'id'")
+@query("relations", _RELATIONS)
 def _(s, spark, d):
     return graph.relations(s)
 
 
-@query("dot_lines")
+@query(
+    "dot_lines",
+    f"""SELECT 'subgraph "cluster_' || file_id || '" {{ ' || string_agg(x, ' ' ORDER BY x) || ' }}' AS line FROM (SELECT DISTINCT file_id, '"' || id || '" [label="' || title || '"];' AS x FROM entries WHERE id IN (SELECT source FROM ({_RELATIONS}) UNION ALL SELECT target FROM ({_RELATIONS}))) GROUP BY file_id
+    UNION ALL SELECT '"' || source || '" -> "' || target || '" [' || CASE relation WHEN 'link' THEN 'color=blue, label="link"' ELSE 'color=gray, style=dotted' END || '];' FROM ({_RELATIONS})""",
+)
 def _(s, spark, d):
     return graph.dot_lines(s)
 
@@ -545,41 +561,107 @@ def _(s, spark, d):
     return text.summary(s)
 
 
-@query("json_lines", """SELECT '{"id":"' || id || '","depth":' || depth || coalesce(',"keyword_value":"' || keyword_value || '"', '') || '}' AS line FROM entries""")
+@query(
+    "search_rows",
+    """SELECT e.id, f.path || ':0 ' || e.keyword_value || ' ' || b.x || ' > ' || e.title || ' [title]' AS line FROM (SELECT DISTINCT id, file_id, title, keyword_value FROM entries WHERE keyword_value = 'WAIT') e JOIN files f ON f.id = e.file_id
+    JOIN (SELECT entry_id, string_agg(title, ' > ' ORDER BY pos) AS x FROM (SELECT DISTINCT a.entry_id, a.pos, e.title FROM ancestors a JOIN entries e ON e.id = a.ancestor_id) GROUP BY entry_id) b ON b.entry_id = e.id""",
+)
 def _(s, spark, d):
-    return text.json_lines(s.entries.select("id", "depth", "keyword_value"))
+    hits = q.select(s, q.todo("WAIT"), TODAY).select("id", F.lit("title").alias("source"))
+    return text.search_rows(hits, s).select("id", "line")
 
 
-def _upper_levels(s):
-    """Customers and orders, without bodies and logs that repeat."""
-    from dataclasses import replace
+@query(
+    "cascade_delete",
+    """SELECT 'files' AS part, count(*) AS n FROM files WHERE NOT contains(path, 'nation_3/') UNION ALL SELECT 'entries', count(*) FROM entries WHERE file_id NOT IN (SELECT id FROM files WHERE contains(path, 'nation_3/'))
+    UNION ALL SELECT 'tags', count(*) FROM entry_tags WHERE entry_id NOT IN (SELECT id FROM entries WHERE file_id IN (SELECT id FROM files WHERE contains(path, 'nation_3/')))
+    UNION ALL SELECT 'logs', count(*) FROM entry_log_entries WHERE entry_id NOT IN (SELECT id FROM entries WHERE file_id IN (SELECT id FROM files WHERE contains(path, 'nation_3/')))""",
+)
+def _(s, spark, d):
+    left = sync.delete_files(s, s.files.filter(F.contains("path", F.lit("nation_3/"))))
+    parts = {"files": left.files, "entries": left.entries, "tags": left.entry_tags, "logs": left.entry_log_entries}
+    one = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2]).unionByName(one[3])
+
+
+@query("title_candidates", "SELECT DISTINCT id AS entry_id, title FROM entries WHERE keyword_type = 'open' AND id NOT IN (SELECT 'o-' || vec_id FROM embeddings)")
+def _(s, spark, d):
+    done = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("o-"), "vec_id").alias("entry_id"))
+    return similarity.title_candidates(s, done, open_only=True)
+
+
+@query("vector_marks", f"SELECT e.entry_id, coalesce(c.hash, 'old') AS embedded_hash FROM (SELECT DISTINCT entry_id FROM entry_embeddings) e LEFT JOIN (SELECT * FROM ({_COMBINED}) WHERE right(entry_id, 1) = '1') c ON c.entry_id = e.entry_id")
+def _(s, spark, d):
+    """Entries that end in 1 were embedded again; their marks are the hashes of their texts now."""
+    hashes = s.entry_embeddings.select("entry_id", F.lit("old").alias("embedded_hash")).distinct()
+    again = s.entry_embeddings.filter("entry_id like '%1'").join(stats.combined_text(s).select("entry_id", "hash"), "entry_id")
+    return sync.store_vectors(s.entry_embeddings, hashes, again)[1]
+
+
+@query("file_facts", "SELECT id AS file_id, title, lower(replace(title, '#', '-')) AS slug, NULL::INT AS stamp, NULL::INT AS created, contains(path, 'archive') AS archive FROM files")
+def _(s, spark, d):
+    return tree.file_facts(s)
+
+
+@query(
+    "body_space",
+    """SELECT e.id AS entry_id, NULL AS lead, NULL AS trail, b.entry_id IS NULL AS empty FROM (SELECT DISTINCT id FROM entries) e LEFT JOIN (SELECT DISTINCT entry_id FROM entry_body_blocks) b ON b.entry_id = e.id""",
+)
+def _(s, spark, d):
+    return tree.body_space(s)
 
-    e = s.entries.filter("depth <= 2")
-    ids = e.select(F.col("id").alias("entry_id"))
-    keep = lambda df: df.join(ids, "entry_id", "left_semi")
-    return replace(s, entries=e, entry_tags=keep(s.entry_tags), entry_properties=keep(s.entry_properties), entry_stamps=keep(s.entry_stamps), entry_body_blocks=s.entry_body_blocks.filter("content not rlike '^[*:#]'"))
+
+@query("instants", "SELECT entry_id, stamp_type, strftime(TIMESTAMP '1858-11-17' + to_days(day::INT) + to_minutes((day * 7) % 1440), '%Y-%m-%d %H:%M') AS at, day, (day * 7) % 1440 AS minute FROM entry_stamps WHERE stamp_type IN ('scheduled', 'deadline', 'closed')")
+def _(s, spark, d):
+    ts = fn.instant(F.col("day"), (F.col("day") * 7) % 1440)
+    x = s.entry_stamps.filter(fn.is_leading(F.col("stamp_type"))).select("entry_id", "stamp_type", ts.alias("ts"))
+    return x.select("entry_id", "stamp_type", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), fn.from_instant(F.col("ts")).alias("t")).select("entry_id", "stamp_type", "at", "t.*")
+
+
+@query("json_documents", "SELECT e.id, e.file_id, e.title, t.x AS tags, p.n AS props FROM (SELECT DISTINCT ON (id) * FROM entries ORDER BY id, title, keyword_value NULLS FIRST) e LEFT JOIN (SELECT entry_id, string_agg(tag, ',' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id LEFT JOIN (SELECT entry_id, count(*) AS n FROM entry_properties GROUP BY entry_id) p ON p.entry_id = e.id")
+def _(s, spark, d):
+    """The store as JSON documents and back."""
+    from .sources import documents
+
+    got = documents.from_documents(documents.documents(s))
+    tags = got.entry_tags.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags"))
+    props = got.entry_properties.groupBy(F.col("entry_id").alias("id")).agg(F.count("*").alias("props"))
+    return got.entries.select("id", "file_id", "title").join(tags, "id", "left").join(props, "id", "left")
+
+
+@query("json_lines", """SELECT '{"id":"' || id || '","depth":' || depth || coalesce(',"keyword_value":"' || keyword_value || '"', '') || '}' AS line FROM entries""")
+def _(s, spark, d):
+    return text.json_lines(s.entries.select("id", "depth", "keyword_value"))
 
 
 @query("print_text")
 def _(s, spark, d):
-    return text.file_texts(_upper_levels(s))
+    return text.file_texts(s)
 
 
 @query(
     "round_trip",
-    """SELECT e.id, e.depth, e.parent_id, e.keyword_value, e.priority, e.title, t.x AS tags, p.x AS props, z.x AS stamps FROM entries e
-    LEFT JOIN (SELECT entry_id, string_agg(tag, ',' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id
+    """SELECT e.id, e.depth, e.parent_id, e.keyword_value, e.priority, e.title, t.x AS tags, p.x AS props, z.x AS stamps, l.x AS logs, y.x AS body FROM (SELECT DISTINCT ON (id) * FROM entries ORDER BY id, title, keyword_value NULLS FIRST) e
+    LEFT JOIN (SELECT entry_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id
     LEFT JOIN (SELECT entry_id, string_agg(name || '=' || value, ',' ORDER BY name) AS x FROM entry_properties GROUP BY entry_id) p ON p.entry_id = e.id
-    LEFT JOIN (SELECT entry_id, string_agg(stamp_type || '=' || day, ',' ORDER BY stamp_type) AS x FROM entry_stamps GROUP BY entry_id) z ON z.entry_id = e.id WHERE depth <= 2""",
+    LEFT JOIN (SELECT entry_id, string_agg(stamp_type || '=' || day, ',' ORDER BY stamp_type) AS x FROM (SELECT entry_id, stamp_type, min(day) AS day FROM entry_stamps GROUP BY ALL) GROUP BY entry_id) z ON z.entry_id = e.id
+    LEFT JOIN (SELECT l.entry_id, string_agg(concat_ws('=', lpad(l.position::VARCHAR, 6, '0'), l.log_type, l.time_day, l.time_start, l.to_keyword, l.duration_minutes, n.content), ',' ORDER BY l.position) AS x
+      FROM entry_log_entries l LEFT JOIN entry_log_bodies n ON n.log_id = l.id GROUP BY l.entry_id) l ON l.entry_id = e.id
+    LEFT JOIN (SELECT entry_id, md5(string_agg(content, chr(10) ORDER BY position)) AS x FROM entry_body_blocks GROUP BY entry_id) y ON y.entry_id = e.id""",
 )
 def _(s, spark, d):
-    """Written as text and read again."""
-    got = outline_text.parse(text.file_texts(_upper_levels(s))).store
+    """The whole store written as text and read again; entries of one id are one."""
+    got = outline_text.parse(text.file_texts(s)).store
     joined = lambda df, v, n: df.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(v)), ",").alias(n))
     e = got.entries.select("id", "depth", "parent_id", "keyword_value", "priority", "title")
     e = e.join(joined(got.entry_tags, F.col("tag"), "tags"), "id", "left")
     e = e.join(joined(got.entry_properties.filter("name <> 'ID'"), F.concat_ws("=", "name", "value"), "props"), "id", "left")
-    return e.join(joined(got.entry_stamps, F.concat_ws("=", "stamp_type", "day"), "stamps"), "id", "left")
+    notes = got.entry_log_bodies.select(F.col("log_id").alias("id"), "content")
+    log = F.concat_ws("=", F.lpad(F.col("position").cast("string"), 6, "0"), "log_type", *[F.col(c).cast("string") for c in ("time_day", "time_start", "to_keyword", "duration_minutes", "content")])
+    e = e.join(joined(got.entry_log_entries.join(notes, "id", "left"), log, "logs"), "id", "left")
+    blocks = F.sort_array(F.collect_list(F.struct("position", "content")))
+    body = got.entry_body_blocks.groupBy(F.col("entry_id").alias("id")).agg(F.md5(F.array_join(F.transform(blocks, lambda b: b["content"]), "\n")).alias("body"))
+    return e.join(joined(got.entry_stamps, F.concat_ws("=", "stamp_type", "day"), "stamps"), "id", "left").join(body, "id", "left")
 
 
 @query("parse_blocks")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..model import Store
 
-#: Colours of edges by relation.
-COLOURS = {"parent_child": "black", "link": "blue", "blocks": "red", "depends": "orange", "relates": "grey"}
+#: Colour, line style and whether the relation is written beside it. Other relations are only named.
+COLOURS = {"link": "blue", "blocks": "red", "blocked_by": "red", "related": "forestgreen", "parent_child": "gray"}
+STYLES = {"blocks": "dashed", "blocked_by": "dashed", "parent_child": "dotted"}
+UNNAMED = ("parent_child",)
 
 
 def relations(store: Store) -> DataFrame:
@@ -20,7 +22,8 @@ def relations(store: Store) -> DataFrame:
 
 
 def edges(store: Store, types: tuple[str, ...] = (), keywords: tuple[str, ...] = (), file_id: str | None = None, tags: tuple[str, ...] = (), max_depth: int | None = None) -> DataFrame:
-    """``source, target, relation, colour`` between entries that pass all filters."""
+    """``source, target, relation, colour`` between entries that pass all filters; the colour of a relation
+    that has none of its own is null."""
     e = store.entries
     if keywords:
         e = e.filter(F.col("keyword_value").isin(*keywords))
@@ -36,7 +39,7 @@ def edges(store: Store, types: tuple[str, ...] = (), keywords: tuple[str, ...] =
         r = r.filter(F.col("relation").isin(*types))
     r = r.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi")
     colours = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
-    return r.select("source", "target", "relation", F.coalesce(F.element_at(colours, F.col("relation")), F.lit("black")).alias("colour"))
+    return r.select("source", "target", "relation", F.try_element_at(colours, F.col("relation")).alias("colour"))
 
 
 def dot_lines(store: Store, **filters) -> DataFrame:
@@ -45,5 +48,8 @@ def dot_lines(store: Store, **filters) -> DataFrame:
     used = x.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     q = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
     nodes = store.entries.select("id", "file_id", "title").distinct().join(used, "id", "left_semi")
+    styles = F.create_map(*[F.lit(v) for kv in STYLES.items() for v in kv])
+    named = F.when(~F.col("relation").isin(*UNNAMED), F.concat(F.lit("label="), q("relation")))
+    how = F.concat_ws(", ", F.concat(F.lit("color="), "colour"), named, F.concat(F.lit("style="), F.try_element_at(styles, F.col("relation"))))
     clusters = nodes.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat(q("id"), F.lit(" [label="), q("title"), F.lit("];")))), " ").alias("s"))
-    return clusters.select(F.concat(F.lit('subgraph "cluster_'), "file_id", F.lit('" { '), "s", F.lit(" }")).alias("line")).unionByName(x.select(F.concat(q("source"), F.lit(" -> "), q("target"), F.lit(" [color="), "colour", F.lit("];")).alias("line")))
+    return clusters.select(F.concat(F.lit('subgraph "cluster_'), "file_id", F.lit('" { '), "s", F.lit(" }")).alias("line")).unionByName(x.select(F.concat(q("source"), F.lit(" -> "), q("target"), F.lit(" ["), how, F.lit("];")).alias("line")))

@@ -64,22 +64,25 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     stamps = o.select(key("o", "o_orderkey").alias("entry_id"), F.explode(F.array_compact(F.array(stamp("scheduled", mjd(F.col("o_orderdate")), "active"), stamp("deadline", mjd(F.col("o_orderdate")) + 30, "active"), F.when((status == "F") & F.col("last").isNotNull(), stamp("closed", mjd(F.col("last")), "inactive"))))).alias("s")).select("entry_id", "s.*")
     stamps = stamps.unionByName(line.select(key("l", "l_orderkey", "l_linenumber").alias("entry_id"), F.lit("active").alias("stamp_type"), F.lit("active").alias("time_kind"), mjd(F.col("l_shipdate")).alias("day")))
 
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")) - 1
+    place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc(F.col("event_id") + F.col("event_id") % 3 * 40), "event_id")) - 1
     clock = F.col("event_type") == "purchase"
     minute = F.hour("ts") * 60 + F.minute("ts")
-    logs = events.select(key("e", "event_id").alias("id"), key("c", "user_id").alias("entry_id"), place.alias("position"), F.when(clock, "clock").when(F.col("event_type") == "click", "state").otherwise("note").alias("log_type"), mjd(F.col("ts")).alias("time_day"), minute.alias("time_start"), F.when(F.col("event_type") == "click", F.element_at(F.array(F.lit("TODO"), F.lit("WAIT"), F.lit("DONE")), (F.col("event_id") % 3 + 1).cast("int"))).alias("to_keyword"), F.when(clock, F.floor("value").cast("int")).alias("duration_minutes"))
+    placed_events = events.withColumn("position", place)
+    logs = placed_events.select(key("e", "event_id").alias("id"), key("c", "user_id").alias("entry_id"), "position", F.lit("inactive").alias("time_kind"), F.when(clock, "clock").when(F.col("event_type") == "click", "state").otherwise("note").alias("log_type"), mjd(F.col("ts")).alias("time_day"), minute.alias("time_start"), F.when(F.col("event_type") == "click", F.element_at(F.array(F.lit("TODO"), F.lit("WAIT"), F.lit("DONE")), (F.col("event_id") % 3 + 1).cast("int"))).alias("to_keyword"), F.when(clock, F.floor("value").cast("int")).alias("duration_minutes"))
+
+    notes = placed_events.filter("event_type not in ('purchase', 'click')").select(key("e", "event_id").alias("log_id"), key("c", "user_id").alias("entry_id"), F.col("position").alias("log_position"), F.lit(0).alias("position"), F.lit("paragraph").alias("block_type"), F.concat(F.col("event_type"), F.lit(" noted as "), "event_id").alias("content"))
 
     body = t("documents").select(key("c", "doc_id").alias("entry_id"), F.posexplode(F.split("text", "\n")).alias("position", "content")).withColumn("block_type", F.lit("paragraph"))
     body = body.join(cust.select("id"), F.col("entry_id") == F.col("id"), "left_semi")
 
-    links = line.select(key("l", "l_orderkey", "l_linenumber").alias("entry_id"), F.explode(F.array(F.struct(F.lit(0).alias("position"), F.lit("part").alias("link_type"), F.concat(F.lit("part:"), "l_partkey").alias("target")), F.struct(F.lit(1).alias("position"), F.lit("id").alias("link_type"), key("c", "l_suppkey").alias("target")))).alias("k")).select("entry_id", "k.*")
+    links = line.select(key("l", "l_orderkey", "l_linenumber").alias("entry_id"), F.explode(F.array(F.struct(F.lit(0).alias("position"), F.lit("part").alias("link_type"), F.concat(F.lit("part:"), "l_partkey").alias("target")), F.struct(F.lit(1).alias("position"), F.lit("id").alias("link_type"), F.concat(F.lit("c-"), F.col("l_suppkey") * 20).alias("target")))).alias("k")).select("entry_id", "k.*")
 
     categories = customer.select(key("c", "c_custkey").alias("entry_id"), F.col("r_name").alias("category"), F.lit(True).alias("is_explicit"))
     categories = categories.unionByName(orders.join(customer.select("c_custkey", "r_name"), F.col("o_custkey") == F.col("c_custkey")).select(key("o", "o_orderkey").alias("entry_id"), F.col("r_name").alias("category"), F.lit(False).alias("is_explicit")))
 
     vectors = t("embeddings").select(key("c", "label").alias("entry_id"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("chunk_position"), F.concat(F.lit("vector "), "vec_id").alias("chunk_text"), "embedding")
 
-    made = dict(files=files, file_properties=file_properties, entries=entries, entry_tags=tags, entry_properties=props, entry_stamps=stamps, entry_log_entries=logs, entry_body_blocks=body, entry_categories=categories, entry_links=links, entry_embeddings=vectors)
+    made = dict(files=files, file_properties=file_properties, entries=entries, entry_tags=tags, entry_properties=props, entry_stamps=stamps, entry_log_entries=logs, entry_log_bodies=notes, entry_body_blocks=body, entry_categories=categories, entry_links=links, entry_embeddings=vectors)
     return Store(**{k: _shape(v, k) for k, v in made.items()})
 
 
@@ -115,14 +118,15 @@ entry_stamps AS (SELECT 'o-' || o_orderkey AS entry_id, 'scheduled' AS stamp_typ
   UNION ALL SELECT 'o-' || o_orderkey, 'deadline', 'active', date_diff('day', DATE '1858-11-17', o_orderdate::DATE) + 30 FROM orders
   UNION ALL SELECT 'o-' || o_orderkey, 'closed', 'inactive', date_diff('day', DATE '1858-11-17', max(l_shipdate)::DATE) FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey
   UNION ALL SELECT 'l-' || l_orderkey || '-' || l_linenumber, 'active', 'active', date_diff('day', DATE '1858-11-17', l_shipdate::DATE) FROM lineitem),
-entry_log_entries AS (SELECT 'e-' || event_id AS id, 'c-' || user_id AS entry_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) - 1 AS position,
+entry_log_entries AS (SELECT 'e-' || event_id AS id, 'c-' || user_id AS entry_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id + event_id % 3 * 40 DESC, event_id) - 1 AS position,
          CASE event_type WHEN 'purchase' THEN 'clock' WHEN 'click' THEN 'state' ELSE 'note' END AS log_type, date_diff('day', DATE '1858-11-17', ts::DATE) AS time_day,
          hour(ts) * 60 + minute(ts) AS time_start, CASE WHEN event_type = 'click' THEN ['TODO', 'WAIT', 'DONE'][event_id % 3 + 1] END AS to_keyword,
          CASE WHEN event_type = 'purchase' THEN floor(value)::INT END AS duration_minutes FROM events),
+entry_log_bodies AS (SELECT e.id AS log_id, e.entry_id, e.position AS log_position, 0 AS position, v.event_type || ' noted as ' || v.event_id AS content FROM events v JOIN entry_log_entries e ON e.id = 'e-' || v.event_id WHERE e.log_type = 'note'),
 entry_body_blocks AS (SELECT * FROM (SELECT 'c-' || doc_id AS entry_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)
   WHERE entry_id IN (SELECT 'c-' || c_custkey FROM cust)),
 entry_links AS (SELECT 'l-' || l_orderkey || '-' || l_linenumber AS entry_id, 0 AS position, 'part' AS link_type, 'part:' || l_partkey AS target FROM lineitem
-  UNION ALL SELECT 'l-' || l_orderkey || '-' || l_linenumber, 1, 'id', 'c-' || l_suppkey FROM lineitem),
+  UNION ALL SELECT 'l-' || l_orderkey || '-' || l_linenumber, 1, 'id', 'c-' || l_suppkey * 20 FROM lineitem),
 entry_categories AS (SELECT 'c-' || c_custkey AS entry_id, r_name AS category, true AS is_explicit FROM cust
   UNION ALL SELECT 'o-' || o_orderkey, r_name, false FROM orders JOIN cust ON o_custkey = c_custkey),
 entry_embeddings AS (SELECT 'c-' || label AS entry_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk_position, 'vector ' || vec_id AS chunk_text, embedding FROM embeddings)
