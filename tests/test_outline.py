@@ -304,3 +304,15 @@ def test_lists_of_files(spark, tmp_path):
     (tmp_path / "list").write_text(f"{tmp_path}/a.org\n\n{tmp_path}/b.png\n")
     got = {r.path.rsplit("/", 1)[1]: r.content for r in outline_text.read_files(spark, *outline_text.read_list(spark, str(tmp_path / "list"))).collect()}
     assert got == {"a.org": "* A", "b.png": None}
+
+
+def test_files_are_followed(spark, tmp_path):
+    from treeline.streaming import clocked
+
+    (tmp_path / "in").mkdir()
+    seen = []
+    load = lambda batch, k: seen.extend((r.path.rsplit("/", 1)[1], r.content) for r in batch.collect())
+    for name in ("a.org", "b.org"):
+        (tmp_path / "in" / name).write_text(f"* {name}")
+        clocked.follow_files(spark, str(tmp_path / "in"), load, str(tmp_path / "state")).awaitTermination()
+    assert seen == [("a.org", "* a.org"), ("b.org", "* b.org")]

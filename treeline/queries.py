@@ -381,20 +381,23 @@ def _(s, spark, d):
     return lint.lint(s, codes=tuple(_LINT_SQL))
 
 
-@query("lint_all")
+_ORDER_SQL = "SELECT NULL AS file_id, entry_id, 'WARN' AS severity, 'StateChangeTimeOrder' AS code, position::VARCHAR AS arg FROM (SELECT *, lag(time_day * 1440 + time_start) OVER (PARTITION BY entry_id ORDER BY position DESC) AS before FROM entry_log_entries WHERE log_type = 'state') WHERE time_day * 1440 + time_start < before"
+_DANGLING_SQL = "SELECT NULL AS file_id, entry_id, 'ERROR' AS severity, 'DanglingIdLink' AS code, target AS arg FROM entry_links k WHERE link_type = 'id' AND NOT EXISTS (SELECT 1 FROM entries e WHERE lower(e.id) = lower(k.target))"
+#: The other rules that this store breaks: names of files are numbers, titles aren't.
+_MORE_SQL = [_ORDER_SQL, _DANGLING_SQL, "SELECT id, NULL, 'INFO', 'FileSlugMismatch', title FROM files", "SELECT id, NULL, 'INFO', 'FileCreatedMissing', NULL FROM files WHERE NOT regexp_matches(path, '/[0-9]{8}[^/]*$')"]
+
+
+@query("lint_all", f"SELECT severity, code, count(*) AS n FROM ({' UNION ALL '.join([*_LINT_SQL.values(), *_MORE_SQL])}) GROUP BY ALL")
 def _(s, spark, d):
     return lint.lint(s).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
-@query(
-    "lint_state_time_order",
-    "SELECT NULL AS file_id, entry_id, 'WARN' AS severity, 'StateChangeTimeOrder' AS code, position::VARCHAR AS arg FROM (SELECT *, lag(time_day * 1440 + time_start) OVER (PARTITION BY entry_id ORDER BY position DESC) AS before FROM entry_log_entries WHERE log_type = 'state') WHERE time_day * 1440 + time_start < before",
-)
+@query("lint_state_time_order", _ORDER_SQL)
 def _(s, spark, d):
     return lint.lint(s, codes=("StateChangeTimeOrder",))
 
 
-@query("lint_dangling", "SELECT NULL AS file_id, entry_id, 'ERROR' AS severity, 'DanglingIdLink' AS code, target AS arg FROM entry_links k WHERE link_type = 'id' AND NOT EXISTS (SELECT 1 FROM entries e WHERE lower(e.id) = lower(k.target))")
+@query("lint_dangling", _DANGLING_SQL)
 def _(s, spark, d):
     return lint.lint(s, codes=("DanglingIdLink",))
 
@@ -711,6 +714,26 @@ def _(s, spark, d):
     return site.archive(_published(spark, d))
 
 
+@query("sitemap", "SELECT 'https://site.example/' || id || '/' AS loc, strftime(date, '%Y-%m-%d') AS lastmod FROM pub", head=_POSTS_SQL)
+def _(s, spark, d):
+    return site.sitemap(_published(spark, d).withColumn("route", F.concat("id", F.lit("/"))), "https://site.example/")
+
+
+@query(
+    "stream_sessions",
+    """WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new FROM events), y AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x),
+    z AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM y GROUP BY user_id, k)
+    SELECT user_id AS key, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, n FROM z WHERE stop <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+    head="",
+)
+def _(s, spark, d):
+    """Sessions of the users over the whole table as a stream; those that the watermark closed."""
+    path = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")  # a file or a folder
+    out = clocked.run_available(spark, clocked.sessions(events), shared_path(spark, "stream"))
+    return out.select("key", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("stop"), "n")
+
+
 @query(
     "stream_windows",
     """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS kind, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL)
