@@ -27,7 +27,7 @@ def store(spark):
         "entry_tags": [("a", "work"), ("c", "deep"), ("x", "solo")],
         "entry_properties": [("b", "Effort", "10", 0), ("d", "EFFORT", "9", 0), ("c", "style", "HABIT", 0)],
         "entry_stamps": [("b", "scheduled", "active", MJD, None, None, None, None), ("c", "closed", "inactive", MJD - 5, None, None, None, None)],
-        "entry_log_entries": [("l", "b", 0, "clock", MJD, 1, 2, None, None, 30, "book"), ("m", "d", 0, "note", MJD, None, None, None, None, None, None)],
+        "entry_log_entries": [("l", "b", 0, "clock", "inactive", MJD, None, 1, 2, *[None] * 8, 30, "book"), ("m", "d", 0, "note", "inactive", MJD, *[None] * 13)],
         "entry_body_blocks": [("d", 0, "paragraph", "A Body with work in it", None)],
         "entry_categories": [("b", "cat", True)],
         "entry_links": [("d", 0, "id", "b", None)],

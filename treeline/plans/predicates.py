@@ -208,8 +208,19 @@ def tags(*names: str) -> Predicate:
 
 @register_predicate("tags-all")
 def tags_all(*names: str) -> Predicate:
-    """All of these, each its own or inherited; true without arguments."""
-    return and_(*[tags(n) for n in names])
+    """All of these, each its own or inherited; true without arguments. One aggregation of the entries'
+    effective tags among these, however many they are."""
+    if not names:
+        return and_()
+
+    def compile(c: Context) -> Column:
+        a, t, x = c.fresh(), c.fresh(), c.fresh()
+        own = c.store.entry_tags.where(F.col("tag").isin(*names)).select("entry_id", "tag")
+        up = c.store.ancestors.alias(a).join(own.alias(t), F.col(f"{a}.ancestor_id") == F.col(f"{t}.entry_id")).select(F.col(f"{a}.entry_id").alias("entry_id"), F.col(f"{t}.tag").alias("tag"))
+        all_of = own.unionByName(up).groupBy("entry_id").agg(F.count_distinct("tag").alias("n")).where(F.col("n") == len(set(names)))
+        return all_of.alias(x).where(F.col(f"{x}.entry_id") == c.outer("id")).exists()
+
+    return compile
 
 
 @register_predicate("regexp", "re")
