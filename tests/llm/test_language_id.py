@@ -72,7 +72,9 @@ def test_one_language(spark):
 def test_sample_is_bounded(spark):
     train = frame(spark, [(i, (EN if i % 2 else DE), "en" if i % 2 else "de", None) for i in range(400)])
     model = li.Model.train(train, rows=20)
-    assert model.langs == ["de", "en"]
+    assert model.langs == ["de", "en"] and 0 < model.rows <= 40
+    same = frame(spark, [(1, EN, "en", None)] * 300 + [(None, DE, "de", None)] * 300)
+    assert li.Model.train(same, rows=20).rows <= 40
 
 
 def test_held_out_accuracy(spark):

@@ -11,7 +11,7 @@ fixed generator, ``RANDOM_BITS`` for each doubling of the number of languages.
 Features are the counts of byte bigrams and trigrams of the whole lower-cased text, hashed to
 ``DIM`` columns, as square roots of their shares. Training uses a bounded sample: up to
 ``TRAIN_ROWS`` labelled documents (as many as hashes give, never twice that), shared equally among
-languages and picked by a hash of the id.
+languages and picked by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -108,27 +108,27 @@ def has_letter(text: Column) -> Column:
 
 
 class Model:
-    """Learned languages (in code-point order), their codewords and the bits' classifiers."""
+    """Learned languages (in code-point order), their codewords and the bits' classifiers, from ``rows`` documents."""
 
-    def __init__(self, langs: list[str], code: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
-        self.langs, self.code, self.w, self.b = langs, code, w, b
+    def __init__(self, langs: list[str], code: np.ndarray, w: np.ndarray, b: np.ndarray, rows: int = 0) -> None:
+        self.langs, self.code, self.w, self.b, self.rows = langs, code, w, b, rows
 
     @classmethod
     def train(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
         """From the rows of ``docs`` with a language and a letter. Ties of the hash that picks the
-        sample are broken by the text, so that reruns agree. Without such rows nothing is learned
+        sample are broken by the text, so that reruns agree; rows repeated in full count once. Without such rows nothing is learned
         and every prediction is ``und``; with one language, it is always predicted."""
         d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
-        counts = {r.lang: r["count"] for r in d.groupBy("lang").count().collect()}  # a row a language
+        # Hashes are even, so a language's share of them below a bound is the share of its rows.
+        key = F.xxhash64(F.col("id"), F.col("text"), F.lit(SEED))
+        counts = {r.lang: r for r in d.groupBy("lang").agg(F.count("*").alias("n"), F.min(key).alias("k")).collect()}  # a row a language
         langs = sorted(counts)
         if not langs:
             return cls([], np.ones((0, 1)), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
-        # Hashes are even, so a language's share of them below a bound is the share of its rows.
-        key = F.xxhash64(F.col("id"), F.lit(SEED))
         per = max(1, rows // len(langs))
         cut = F.lit(None)
-        for lang, n in counts.items():
-            cut = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int(2**64 * per / n) - 2**63))).otherwise(cut)
+        for lang, r in counts.items():  # each language has a row at least
+            cut = F.when(F.col("lang") == lang, F.lit(max(r.k, min(2**63 - 1, int(2**64 * per / r.n) - 2**63)))).otherwise(cut)
         schema = "lang string, k long, h long, x binary"
 
         def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +136,8 @@ class Model:
                 yield pd.DataFrame({"lang": pdf["lang"], "k": pdf["k"], "h": pdf["h"], "x": [r.astype(np.float16).tobytes() for r in features(pdf["text"])]})
             release()
 
-        sample = d.select("text", "lang", key.alias("k"), F.xxhash64("text").alias("h")).filter(F.col("k") <= cut).mapInPandas(rows_of, schema)
+        picked = d.select("text", "lang", key.alias("k"), F.xxhash64("text").alias("h")).filter(F.col("k") <= cut).dropDuplicates(["k", "h", "lang"])
+        sample = picked.mapInPandas(rows_of, schema)
         got = sample.orderBy("k", "h", "lang").limit(2 * rows).collect()  # the hard bound
         if not got:  # only if each of thousands of languages has a sample of one
             raise ValueError(f"{rows} training rows are too few for {len(langs)} languages")
@@ -147,7 +148,7 @@ class Model:
         w, b = fit(x, y, code)
         del x
         release()
-        return cls(langs, code, w, b)
+        return cls(langs, code, w, b, len(y))
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """The columns of ``docs`` and ``lang_pred, score, ambiguous``, from the text alone.
