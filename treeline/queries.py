@@ -448,6 +448,11 @@ def _(s, spark, d):
     return similarity.clusters(similarity.similar_pairs(_open_titles(s, spark, d), 0.65, 1000)).select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
+@query("cluster_sizes", f"SELECT cluster, count(*) AS n, round(min(distance), 6) AS distance FROM ({SQL['review_clusters'].removeprefix(testbed.SQL)}) GROUP BY cluster")
+def _(s, spark, d):
+    return similarity.nearest_group(similarity.similar_pairs(_open_titles(s, spark, d), 0.65, 1000)).withColumn("distance", F.round("distance", 6))
+
+
 @query("embed_candidates", f"SELECT c.entry_id, c.hash FROM ({_COMBINED}) c JOIN (SELECT DISTINCT id, depth FROM entries) e ON e.id = c.entry_id WHERE e.depth = 3 OR (e.depth = 2 AND right(c.entry_id, 1) IN ('1', '2'))")
 def _(s, spark, d):
     """Nothing of depth 3 was embedded, and some orders have changed since."""
@@ -485,6 +490,19 @@ def _(s, spark, d):
     return sync.report(sync.classify_files(*_versions(spark, d)))
 
 
+@query(
+    "merged_reports",
+    "SELECT count(*) FILTER (o_orderkey % 6 <> 5) AS processed, count(*) FILTER (o_orderkey % 6 IN (0, 1)) AS updated, count(*) FILTER (o_orderkey % 6 IN (3, 4)) AS skipped FROM orders",
+    head="",
+)
+def _(s, spark, d):
+    """The reports of two runs, one over each half of the orders, added up."""
+    files, stored = _versions(spark, d)
+    odd = lambda df: F.pmod(F.xxhash64("path"), F.lit(2))
+    reports = [sync.report(sync.classify_files(files.filter(odd(files) == k), stored.filter(odd(stored) == k))) for k in (0, 1)]
+    return stats.merge_counters(reports[0].unionByName(reports[1]), "processed", "updated", "skipped")
+
+
 @query(
     "incremental_diff",
     "SELECT id, CASE WHEN o_orderkey % 4 = 1 THEN 'insert' WHEN o_orderkey % 4 = 2 THEN 'delete' ELSE 'update' END AS action FROM (SELECT 'o-' || o_orderkey AS id, o_orderkey FROM orders) WHERE o_orderkey % 4 > 0",
@@ -526,6 +544,11 @@ def _(s, spark, d):
     return tag_ops.combinations(_tagged(s), 2).select("item", F.array_join("path", "/").alias("path"))
 
 
+@query("filter_links", "SELECT entry_id AS item, 'views/' || entry_id AS link FROM (SELECT entry_id, list(DISTINCT tag) AS tags FROM entry_tags GROUP BY entry_id) WHERE list_contains(tags, 'urgent')")
+def _(s, spark, d):
+    return tag_ops.filter_links(_tagged(s), tag_ops.var("urgent"), "views")
+
+
 @query("tag_links", "SELECT DISTINCT entry_id AS item, 'tree/' || tag || '/' || entry_id AS link FROM entry_tags")
 def _(s, spark, d):
     return tag_ops.tag_tree_links(_tagged(s), "tree", 1)
