@@ -204,7 +204,7 @@ def test_clusters(spark):
 
 def test_paths_of_orphans_and_cycles(spark):
     e = spark.createDataFrame([("a", None), ("b", "a"), ("o", "gone"), ("x", "y"), ("y", "x")], "id string, parent_id string")
-    assert {(r.id, tuple(r.path)) for r in tree.build_paths(e, 5).collect()} == {("a", ("a",)), ("b", ("a", "b"))}
+    assert {(r.id, tuple(r.path)) for r in tree.build_paths(e).collect()} == {("a", ("a",)), ("b", ("a", "b"))}
 
 
 def test_store_on_disk(spark, tmp_path, parsed):
