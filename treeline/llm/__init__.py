@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, language_id, main_text, media, mixing, ngram_join, pieces, pii, url_filters, warc
+    from . import ann, chat, codes, language_id, main_text, media, merkle, mixing, ngram_join, pieces, pii, url_filters, warc
 
     return {
         "op1_language_id": language_id.op1,
@@ -21,10 +21,13 @@ def queries() -> dict:
         "op8_media": media.op8,
         "op9_url_filters": url_filters.op9,
         "op10_sentencepiece": pieces.op10,
+        "op11_merkle": merkle.op11,
+        "op12_codes": codes.op12,
+        "op13_chat": chat.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_filters, warc
+    from . import chat, codes, merkle, url_filters, warc
 
-    return {"op3_warc": warc.op3_sql(), "op9_url_filters": url_filters.op9_sql()}
+    return {"op3_warc": warc.op3_sql(), "op9_url_filters": url_filters.op9_sql(), "op11_merkle": merkle.op11_sql(), "op12_codes": codes.op12_sql(), "op13_chat": chat.op13_sql()}
