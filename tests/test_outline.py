@@ -13,7 +13,7 @@ from treeline.functions import scalars as fn
 from treeline.model import SCHEMAS, Config, Store
 from treeline.operators import lint, similarity, sync, tree
 from treeline.sinks import text
-from treeline.sources import config, documents, outline_text, testbed
+from treeline.sources import config, documents, lines, outline_text, testbed
 
 LOG = """* TODO Task
 SCHEDULED: <2024-01-02 Tue>
@@ -98,8 +98,8 @@ def test_printed_text_is_read_as_the_same(parsed):
 
 def test_fail_fast_names_the_line(spark, parsed):
     bad = outline_text.parse(spark.createDataFrame([("b.org", BROKEN)], "path string, content string"))
-    assert sorted((r.line, r.message.split(":")[0]) for r in bad.errors.collect()) == [(0, "an end of its own or a suffix after --"), (2, "heading skips a level")]
-    with pytest.raises(ValueError, match="b.org:1: an end"):
+    assert sorted((r.line, r.message.split(":")[0]) for r in bad.errors.collect()) == [(1, "an end of its own or a suffix after --"), (2, "heading skips a level")]
+    with pytest.raises(ValueError, match="b.org:2: an end"):
         outline_text.fail_fast(bad)
     assert outline_text.fail_fast(parsed) is parsed
 
@@ -232,7 +232,130 @@ def test_printed_files_hold_every_entry(spark):
     s = testbed.store(spark, DATA)
     assert len(got) == s.files.count()
     ids = re.findall(r"(?m)^:ID: +(\S+)$", "\n".join(r.content for r in got))
-    assert sorted(ids) == sorted(r.id for r in s.entries.select("id").distinct().collect())
+    assert sorted(ids) == sorted(r.id for r in s.entries.select("id").collect())
+
+
+BLOCKS = """preamble
+#+begin_src text
+* no heading
+:END:
+#+end_src
+* One
+:PROPERTIES:
+:ID: one
+:END:
+  #+BEGIN_EXAMPLE
+* no heading
+#+END_EXAMPLE at another indentation
+  #+END_EXAMPLE
+:NOTES:
+** no heading
+*************** no task
+:END:
+*************** TODO [#A] Task :t:
+SCHEDULED: <2024-01-02 Tue>
+:PROPERTIES:
+:ID: task
+:END:
+in it
+*************** END
+after it
+*************** no END
+#+begin_quote without an end
+:drawer: not one
+  :OPEN:
+** Two
+:PROPERTIES:
+:ID: two
+:END:
+é #+begin_src
+**************** sixteen
+*************** END
+"""
+
+
+def of_blocks(parsed):
+    s = parsed.store
+    heads = [tuple(r) for r in s.entries.select("id", "depth", "parent_id", "position", "byte_offset", "title", F.array_join("path", "/")).orderBy("byte_offset").collect()]
+    blocks = [tuple(r) for r in s.entry_body_blocks.select("entry_id", "position", "block_type", "content", "drawer_name").orderBy("entry_id", "position").collect()]
+    return heads, blocks
+
+
+@pytest.mark.parametrize("size", [None, 1, 3])
+def test_blocks_and_inline_tasks(spark, size, monkeypatch):
+    """The same whatever pieces a file is cut into."""
+    if size:
+        monkeypatch.setattr(lines, "PIECE", size)
+    p = outline_text.parse(spark.createDataFrame([("a.org", BLOCKS), ("b.org", "* é\n** x"), ("c.org", None)], "path string, content string"))
+    at = lambda text: len(BLOCKS[: BLOCKS.index(text)].encode())
+    heads, blocks = of_blocks(p)
+    assert [h for h in heads if h[0] in ("one", "task", "two")] == [
+        ("one", 1, None, 0, at("* One"), "One", "one"), ("task", 15, "one", 0, at("*************** TODO"), "Task", "one/task"), ("two", 2, "one", 1, at("** Two"), "Two", "one/two"),
+    ]
+    assert sorted(h[4:6] for h in heads if h[0] not in ("one", "task", "two")) == [(0, "é"), (5, "x")]
+    assert blocks == [
+        ("one", 0, "drawer", "  #+BEGIN_EXAMPLE\n* no heading\n#+END_EXAMPLE at another indentation\n  #+END_EXAMPLE", "#+BEGIN_EXAMPLE"),
+        ("one", 1, "drawer", ":NOTES:\n** no heading\n*************** no task\n:END:", "NOTES"),
+        ("one", 2, "inline_task", "task", None),
+        ("one", 3, "paragraph", "after it\n*************** no END\n#+begin_quote without an end\n:drawer: not one\n  :OPEN:", None),
+        ("task", 0, "paragraph", "in it", None),
+        ("two", 0, "paragraph", "é #+begin_src\n**************** sixteen\n*************** END", None),
+        ("two", 1, "whitespace", "", None),
+    ]
+    assert [tuple(r) for r in p.store.entry_tags.collect()] == [("task", "t")] and p.store.entry_stamps.count() == 1
+    if size:
+        return
+    once = text.file_texts(p.store)
+    again = outline_text.parse(once)
+    strip = lambda found: [h[:4] + h[5:] for h in found if h[0] in ("one", "task", "two")]
+    assert strip(of_blocks(again)[0]) == strip(heads) and of_blocks(again)[1] == blocks
+    assert again.store.files.filter("path = 'a.org'").first().preamble == p.store.files.filter("path = 'a.org'").first().preamble == BLOCKS[: BLOCKS.index("\n* One")]
+    assert text.file_texts(again.store).filter("path = 'a.org'").first() == once.filter("path = 'a.org'").first()
+
+
+def test_places_of_errors(spark):
+    bad = {"1969-01-15 Wed": "year", "2201-01-15 Wed": "year", "2024-00-15 Mon": "month", "2024-13-15 Mon": "month", "2024-01-00 Mon": "day out", "2024-02-30 Fri": "no such day", "2024-01-15 Mon 24:00": "hour", "2024-01-15 Mon 09:60": "minute", "2024-01-15 Mon 09:00-24:00": "hour", "2024-01-15 Mon 09:00-10:99": "minute"}
+    rows = [(f"{k}.org", f"é\n* TODO é\n SCHEDULED: <2024-01-02 Tue> DEADLINE: <{s}>\n") for k, s in enumerate(bad)]
+    got = {r.path: r for r in outline_text.parse(spark.createDataFrame(rows, "path string, content string")).errors.collect()}
+    for k, (s, word) in enumerate(bad.items()):
+        r, line = got[f"{k}.org"], rows[k][1].split("\n")[2]
+        assert r.line == 2 and r.column == line.index(f"<{s}>") + 1 and r.message.startswith(f"no such time: {word}"), r
+        assert rows[k][1].encode()[r.offset :].startswith(f"<{s}>".encode())
+
+
+def test_a_long_file_is_many_pieces(spark, tmp_path):
+    """Read in splits, cut into pieces; blocks and tasks reach over both."""
+    body = "".join(f"* H {k}\n#+begin_src\n" + f"* no {k}\n" * (k % 700) + "#+end_src\n*************** T\né\n*************** END\ntext\n" for k in range(300))
+    (tmp_path / "long.org").write_text(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        pieces = lines.text_pieces(spark, str(tmp_path / "long.org"), size=lines.PIECE // 20)
+        lines.PIECE, size = lines.PIECE // 20, lines.PIECE
+        p = outline_text.parse_pieces(pieces, pieces.select("path").distinct()).store
+        assert pieces.count() > 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        lines.PIECE = size
+    got = p.entries.select("title", "depth", "byte_offset").orderBy("byte_offset").collect()
+    want = [(m.start(), m[1].strip()) for m in re.finditer(r"(?m)^(\* H \d+|\*{15} T)$", body)]
+    lead = lambda i: len(body[:i].encode())
+    assert [(r.byte_offset, r.title) for r in got] == [(lead(i), t.lstrip("* ")) for i, t in want]
+    assert p.entry_body_blocks.filter("block_type = 'drawer'").count() == 300 and p.entry_body_blocks.filter("content = 'text'").count() == 300
+
+
+def test_files_may_share_ids(spark):
+    """Each keeps its own headings and children."""
+    head = lambda stars, title, i: f"{stars} {title}\n:PROPERTIES:\n:ID: {i}\n:END:\n"
+    one = head("*", "Zed", "x") + head("**", "D", "d")
+    two = head("*", "Abe", "x") + head("**", "E", "e")
+    p = outline_text.parse(spark.createDataFrame([("1.org", one), ("2.org", two)], "path string, content string"))
+    written = {r.path: r.content for r in text.file_texts(p.store).collect()}
+    squeezed = {k: re.sub(":ID: +", ":ID: ", v) for k, v in written.items()}
+    assert squeezed == {"1.org": one, "2.org": two} or squeezed == {"1.org": one.rstrip("\n"), "2.org": two.rstrip("\n")}
+    trees = sorted((json.loads(r.tree) for r in tree.nest(p.store).collect()), key=lambda t: t["title"])
+    assert [(t["title"], [c["title"] for c in t["children"]]) for t in trees] == [("Abe", ["E"]), ("Zed", ["D"])]
+    assert sync.round_trip_failures(p.store).count() == 0
 
 
 def test_clusters_need_a_fixed_point(spark):

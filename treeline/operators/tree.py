@@ -61,9 +61,11 @@ def effective_tags(store: Store) -> DataFrame:
 
 
 def preorder(entries: DataFrame) -> DataFrame:
-    """``file_id, id, preorder``: entries of a file as a depth-first walk meets them, from 0."""
-    pos = entries.select("id", "position").groupBy("id").agg(F.min("position").alias("position"))
-    steps = entries.select("file_id", "id", F.posexplode("path").alias("k", "step")).join(pos.withColumnRenamed("id", "step"), "step")
+    """``file_id, id, preorder``: entries of a file as a depth-first walk meets them, from 0. Ids are those of the
+    file: another file may have the same ones in other places."""
+    one = entries.groupBy("file_id", "id").agg(F.min("position").alias("position"), F.min("path").alias("path"))
+    pos = one.select("file_id", F.col("id").alias("step"), "position")
+    steps = one.select("file_id", "id", F.posexplode("path").alias("k", "step")).join(pos, ["file_id", "step"])
     key = F.transform(F.sort_array(F.collect_list(F.struct("k", "position"))), lambda x: x["position"])
     keyed = steps.groupBy("file_id", "id").agg(key.alias("key"))
     return keyed.select("file_id", "id", (F.row_number().over(W.partitionBy("file_id").orderBy("key", "id")) - 1).alias("preorder"))
@@ -71,25 +73,26 @@ def preorder(entries: DataFrame) -> DataFrame:
 
 def nest(store: Store) -> DataFrame:
     """``file_id, id, tree``: every root (an entry without parent) as JSON with its children in order, to any
-    depth. Built bottom-up from the deepest level, one aggregation and one join a level. A child is JSON
-    already when its parent takes it in, so all levels have one schema."""
-    e = store.entries.select("file_id", "id", "parent_id", "depth", "position", "title", "keyword_value")
+    depth. Built bottom-up from the deepest level, one aggregation and one join a level, each written down. A child is JSON
+    already when its parent takes it in, so all levels have one schema. Parents and children are of one file, so files may
+    share ids; entries of one file that share an id have the same children."""
+    e = materialize(store.entries.select("file_id", "id", "parent_id", "depth", "position", "title", "keyword_value"), "nest-entries")
     deepest = e.agg(F.max("depth")).first()[0]
-    kids = None  # parent, its children as one JSON array
+    kids = None  # file and parent, its children as one JSON array
     roots = []
 
     def written(level: DataFrame) -> DataFrame:
         own = F.to_json(F.struct("position", "id", "title", F.col("keyword_value").alias("keyword")))
         if kids is None:
             return level.withColumn("tree", own)
-        has = level.join(kids, F.col("id") == F.col("p"), "left")
-        return has.withColumn("tree", F.when(F.col("kids").isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":'), "kids", F.lit("}"))))
+        has = level.join(kids, (F.col("file_id") == F.col("f")) & (F.col("id") == F.col("p")), "left")
+        return has.withColumn("tree", F.when(F.col("kids").isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"children":'), "kids", F.lit("}")))).drop("f", "p", "kids")
 
     for depth in range(deepest or 0, 0, -1):
-        level = written(e.filter(F.col("depth") == depth))
+        level = materialize(written(e.filter(F.col("depth") == depth)), "nest-level")
         roots.append(level.filter("parent_id is null").select("file_id", "id", "tree"))
         listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "id", "tree"))), lambda x: x["tree"]), ",")
-        kids = level.filter("parent_id is not null").groupBy(F.col("parent_id").alias("p")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("kids"))
+        kids = level.filter("parent_id is not null").groupBy(F.col("file_id").alias("f"), F.col("parent_id").alias("p")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("kids"))
     return reduce(DataFrame.unionByName, roots) if roots else e.select("file_id", "id", F.lit("").alias("tree")).limit(0)
 
 

@@ -166,13 +166,20 @@ def _(s, spark, d):
     "preorder",
     """SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY key, id) - 1 AS preorder FROM (
     SELECT e.file_id, e.id, list(p.position ORDER BY e.k) AS key FROM (SELECT DISTINCT file_id, id, unnest(path) AS step, generate_subscripts(path, 1) AS k FROM entries) e
-    JOIN (SELECT id, min(position) AS position FROM entries GROUP BY id) p ON p.id = e.step GROUP BY e.file_id, e.id)""",
+    JOIN (SELECT file_id, id, min(position) AS position FROM entries GROUP BY ALL) p ON p.id = e.step AND p.file_id = e.file_id GROUP BY e.file_id, e.id)""",
 )
 def _(s, spark, d):
-    return tree.preorder(s.entries.dropDuplicates(["id"]))
+    return tree.preorder(s.entries)
 
 
-@query("tree_nest")
+@query(
+    "tree_nest",
+    """, lv AS (SELECT file_id, id, parent_id, depth, position, '{"position":' || position || ',"id":"' || id || '","title":"' || title || '"' || coalesce(',"keyword":"' || keyword_value || '"', '') AS own FROM entries),
+    k3 AS (SELECT file_id, parent_id, string_agg(own || '}', ',' ORDER BY position, id, own || '}') AS kids FROM lv WHERE depth = 3 GROUP BY ALL),
+    t2 AS (SELECT l.*, own || coalesce(',"children":[' || kids || ']', '') || '}' AS tree FROM lv l LEFT JOIN k3 k ON k.file_id = l.file_id AND k.parent_id = l.id WHERE depth = 2),
+    k2 AS (SELECT file_id, parent_id, string_agg(tree, ',' ORDER BY position, id, tree) AS kids FROM t2 GROUP BY ALL)
+    SELECT l.file_id, l.id, own || coalesce(',"children":[' || kids || ']', '') || '}' AS tree FROM lv l LEFT JOIN k2 k ON k.file_id = l.file_id AND k.parent_id = l.id WHERE depth = 1""",
+)
 def _(s, spark, d):
     return tree.nest(s)
 
@@ -667,18 +674,20 @@ def _(s, spark, d):
 
 @query(
     "round_trip",
-    """SELECT e.id, e.depth, e.parent_id, e.keyword_value, e.priority, e.title, t.x AS tags, p.x AS props, z.x AS stamps, l.x AS logs, y.x AS body FROM (SELECT DISTINCT ON (id) * FROM entries ORDER BY id, title, keyword_value NULLS FIRST) e
+    testbed.BLOCKS_SQL
+    + """SELECT e.id, e.depth, e.parent_id, e.keyword_value, e.priority, e.title, t.x AS tags, p.x AS props, z.x AS stamps, l.x AS logs, y.x AS body FROM entries2 e
     LEFT JOIN (SELECT entry_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id
     LEFT JOIN (SELECT entry_id, string_agg(name || '=' || value, ',' ORDER BY name) AS x FROM entry_properties GROUP BY entry_id) p ON p.entry_id = e.id
     LEFT JOIN (SELECT entry_id, string_agg(stamp_type || '=' || day, ',' ORDER BY stamp_type) AS x FROM (SELECT entry_id, stamp_type, min(day) AS day FROM entry_stamps GROUP BY ALL) GROUP BY entry_id) z ON z.entry_id = e.id
     LEFT JOIN (SELECT l.entry_id, string_agg(concat_ws('=', lpad(l.position::VARCHAR, 6, '0'), l.log_type, l.time_day, l.time_start, l.to_keyword, l.duration_minutes, n.content), ',' ORDER BY l.position) AS x
       FROM entry_log_entries l LEFT JOIN entry_log_bodies n ON n.log_id = l.id GROUP BY l.entry_id) l ON l.entry_id = e.id
-    LEFT JOIN (SELECT entry_id, md5(string_agg(content, chr(10) ORDER BY position)) AS x FROM entry_body_blocks GROUP BY entry_id) y ON y.entry_id = e.id""",
+    LEFT JOIN (SELECT entry_id, md5(string_agg(content, chr(10) ORDER BY position)) AS x FROM blocks2 GROUP BY entry_id) y ON y.entry_id = e.id""",
 )
 def _(s, spark, d):
-    """The whole store written as text and read again; entries of one id are one."""
-    got = outline_text.parse(text.file_texts(s)).store
-    joined = lambda df, v, n: df.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(v)), ",").alias(n))
+    """The whole store, with blocks and inline tasks, written as text and read again. Entries that share an id keep their
+    headings; what hangs on the id is written, and read, with each, so values are compared as sets."""
+    got = outline_text.parse(text.file_texts(testbed.with_blocks(spark, d))).store
+    joined = lambda df, v, n: df.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_set(v)), ",").alias(n))
     e = got.entries.select("id", "depth", "parent_id", "keyword_value", "priority", "title")
     e = e.join(joined(got.entry_tags, F.col("tag"), "tags"), "id", "left")
     e = e.join(joined(got.entry_properties.filter("name <> 'ID'"), F.concat_ws("=", "name", "value"), "props"), "id", "left")
@@ -690,6 +699,26 @@ def _(s, spark, d):
     return e.join(joined(got.entry_stamps, F.concat_ws("=", "stamp_type", "day"), "stamps"), "id", "left").join(body, "id", "left")
 
 
+#: Documents as outlines: every fourth line of a text is a heading.
+_OUTLINE_SQL = """WITH x AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
+l AS (SELECT doc_id, n, n % 4 = 0 AS head, CASE WHEN n % 4 = 0 THEN '* H ' || n || ' ' || translate(line, ':{}[]#', '') ELSE '- ' || line END AS line FROM x),
+p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS byte_offset FROM l)
+"""
+
+
+def _outlines(spark, d):
+    t = F.transform(F.split("text", "\n"), lambda x, n: F.when(n % 4 == 0, F.concat(F.lit("* H "), n, F.lit(" "), F.translate(x, ":{}[]#", ""))).otherwise(F.concat(F.lit("- "), x)))
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("docs/"), "doc_id", F.lit(".org")).alias("path"), F.array_join(t, "\n").alias("content"))
+
+
+@query("byte_positions", "SELECT doc_id, byte_offset, 'H ' || n AS head FROM p WHERE head", head=_OUTLINE_SQL)
+def _(s, spark, d):
+    """Where the headings of outlines begin, in octets."""
+    got = outline_text.parse(_outlines(spark, d)).store
+    e = got.entries.join(got.files.select(F.col("id").alias("f"), F.col("path").alias("name")), F.col("file_id") == F.col("f"))
+    return e.select(F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("doc_id"), "byte_offset", F.regexp_extract("title", "^(H [0-9]+)", 1).alias("head"))
+
+
 @query("parse_blocks")
 def _(s, spark, d):
     """Bodies, links and errors that the parser finds in the pages' text as it is."""

@@ -6,6 +6,8 @@ A customer is a file with one heading of depth 1; its orders are depth 2, their
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +21,18 @@ def _shape(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in cols])
 
 
+#: Plans of stores by session and folder: they take seconds to put together, and hold no data.
+_STORES: dict[tuple[str, str], Store] = {}
+
+
 def store(spark: SparkSession, sf_dir: str) -> Store:
+    key = (spark._jsparkSession.sessionUUID(), sf_dir)
+    if key not in _STORES:
+        _STORES[key] = _store(spark, sf_dir)
+    return _STORES[key]
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     customer = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
     orders, line, events = t("orders"), t("lineitem"), t("events")
@@ -86,6 +99,42 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     return Store(**{k: _shape(v, k) for k, v in made.items()})
 
 
+def with_blocks(spark: SparkSession, sf_dir: str) -> Store:
+    """The store with blocks, drawers and inline tasks in the bodies of the customers that ``labels`` names."""
+    s = store(spark, sf_dir)
+    k = lambda prefix: F.concat_ws("-", F.lit(prefix), "doc_id")
+    scored = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    scored = scored.join(s.entries.select("id"), k("c") == F.col("id"), "left_semi")
+    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    block = lambda of, at, kind, content: F.struct(of.alias("entry_id"), F.lit(at).alias("position"), F.lit(kind).alias("block_type"), content.alias("content"))
+    blocks = [
+        block(k("c"), 1_000_000, "drawer", text("#+begin_src text\n* no heading ", F.col("doc_id"), "\n:PROPERTIES:\n:ID: none\n*************** no task\n#+end_src")),
+        block(k("c"), 1_000_001, "inline_task", k("i")),
+        block(k("c"), 1_000_002, "paragraph", text("after the task ", F.col("doc_id"))),
+        block(k("c"), 1_000_003, "drawer", text(":SCORES:\n** quality ", F.col("quality"), "\n:END:")),
+        block(k("c"), 1_000_004, "paragraph", F.lit("#+begin_src without an end")),
+        block(k("i"), 0, "paragraph", text("within the task ", F.col("doc_id"))),
+    ]
+    more = scored.select(F.explode(F.array(*blocks)).alias("b")).select("b.*")
+    tasks = scored.select(k("i").alias("id"), k("f").alias("file_id"), k("c").alias("parent_id"), F.lit(15).alias("depth"), F.lit(-1).alias("position"), F.lit("open").alias("keyword_type"), F.lit("TODO").alias("keyword_value"), text("Task ", F.col("doc_id")).alias("title"), F.array(k("c"), k("i")).alias("path"))
+    tasks = _shape(tasks.withColumn("headline", F.col("title")), "entries")
+    return replace(s, entries=s.entries.unionByName(tasks), entry_body_blocks=s.entry_body_blocks.unionByName(_shape(more, "entry_body_blocks")))
+
+
+#: Of ``with_blocks``, to be put after ``SQL``.
+BLOCKS_SQL = """
+, scored AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE 'c-' || doc_id IN (SELECT 'c-' || c_custkey FROM cust) GROUP BY doc_id),
+entries2 AS (SELECT id, depth, parent_id, keyword_value, priority, title FROM entries
+  UNION ALL SELECT 'i-' || doc_id, 15, 'c-' || doc_id, 'TODO', NULL, 'Task ' || doc_id FROM scored),
+blocks2 AS (SELECT entry_id, position, content FROM entry_body_blocks
+  UNION ALL SELECT 'c-' || doc_id, 1000000, concat_ws(chr(10), '#+begin_src text', '* no heading ' || doc_id, ':PROPERTIES:', ':ID: none', '*************** no task', '#+end_src') FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000001, 'i-' || doc_id FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000002, 'after the task ' || doc_id FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000003, concat_ws(chr(10), ':SCORES:', '** quality ' || quality, ':END:') FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000004, '#+begin_src without an end' FROM scored
+  UNION ALL SELECT 'i-' || doc_id, 0, 'within the task ' || doc_id FROM scored)
+"""
+
 #: The same tables in DuckDB, as the head of a WITH query.
 SQL = """
 WITH cust AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
