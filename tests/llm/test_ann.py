@@ -46,6 +46,28 @@ def test_recall_on_clusters_and_noise(spark, monkeypatch):
     assert np.mean([len({j for _, j, _ in got[q]} & {j for _, j in want[q]}) / 5 for q in want]) >= 0.9
 
 
+def test_recall_where_less_than_half_is_looked_at():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, 64))
+    for x in (rng.standard_normal((3000, 64)), centres[rng.integers(0, 30, 3000)] + 0.7 * rng.standard_normal((3000, 64))):
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        looked, hits = [], []
+        for q, c in zip(range(0, 3000, 50), ann.Forest(x).candidates(x[::50], int(ann.SHARE * len(x))), strict=True):
+            best = np.argsort(-(x @ x[q]))[1:6]
+            looked.append(len(c) / len(x))
+            hits.append(np.isin(best, c).mean())
+        assert np.mean(looked) < 0.5 and np.mean(hits) >= 0.9
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(i, [s * a, s * b, s]) for i, (a, b, s) in enumerate([(1.0, 2.0, 1e300), (1.0, 1.0, 1e300), (-1.0, 1.0, 1e200), (2.0, 1.0, 1e-300), (1.0, 0.0, 1.0), (0.5, 3.0, 1e-310)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in ann.nearest(df, df.filter("vec_id = 0")).collect()}
+    one = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    want = {i: one[0] @ v / np.sqrt((one[0] @ one[0]) * (v @ v)) for i, v in one.items() if i}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_hot_vector(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(i, [float(i), 1.0, -1.0]) for i in range(300, 400)]
     got = run(spark, rows)

@@ -1,5 +1,8 @@
 import html as H
+import itertools
+import random
 import re
+import time
 
 from treeline.llm import main_text as mt
 
@@ -48,6 +51,54 @@ def test_odd_pages():
     assert mt.main_text("<script>never closed <p>x</p>", w) == ""
 
 
+def test_the_region_parts_no_block():
+    """As by brute force over all runs of items, then whole blocks around it."""
+    rng = random.Random(5)
+    w = mt.Weights({"p": 1.0, "div": 0.6, "li": -0.5, "body": 0.2}, {"i": -3.0, "b": -1.0, "p": -0.4, "/p": -0.2, "div": -1.5})
+    parts = ["<p>", "</p>", "<div>", "</div>", "<i>", "</i>", "<b>", "<br>", "<li>", "word", "two words", " ", "<ul>", "</ul>"]
+    for _ in range(400):
+        page = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        items = mt.parse(page)
+        s = [w.score(x) for x in items]
+        runs = sorted((-sum(s[i:j]), i, j) for i, j in itertools.combinations(range(len(s) + 1), 2))
+        total, i, j = runs[0] if runs and runs[0][0] < -1e-9 else (0, 0, 0)
+        # every block: the text between two block tags
+        blocks, held = [], []
+        for k, x in enumerate([*items, mt.Item(None, "p", "p")]):
+            if x.text is None and x.name.lstrip("/") in mt.BLOCKS:
+                blocks.append(held)
+                held = []
+            elif x.text is not None:
+                held.append(k)
+        near = {round(sum(s[a:b]), 9) for _, a, b in runs if abs(sum(s[a:b]) + total) < 1e-9}
+        got = mt.best_run(s)
+        assert round(sum(s[slice(*got)]), 9) in near or not runs or total == 0
+        a, b = got
+        kept = [" ".join("".join(items[k].text for k in block).split()) for block in blocks if any(a <= k < b for k in block)]
+        assert mt.main_text(page, w) == "\n".join(t for t in kept if t), page
+
+
+def test_blocks_begin_where_they_begin():
+    w = mt.Weights({"div": 1.0, "p": 1.0}, {"i": -3.0, "b": -3.0})
+    assert mt.main_text("<div>W<i>x</i> <i>y</i> tail words here more and more</div>", w) == "Wx y tail words here more and more"
+    assert mt.main_text("<p>W<i><b><em><strong><span>c</span></strong></em></b></i> d e</p>", w) == "Wc d e"
+
+
+def test_long_odd_pages_in_linear_time():
+    w = weights()
+    for piece in ("<svg><!-- x</svg> ", "<a ", "<svg>", "<!-- ", '<a "', "<template><svg>", "<object><!--"):
+        began = time.time()
+        mt.main_text("<p>text</p>" + piece * 40_000, w)
+        assert time.time() - began < 5, piece
+    assert mt.main_text("<p>a</p><!-- x > y", w) == "a" == mt.main_text("<p>a</p><!doctype", w)
+    assert mt.main_text("<p>a <svg><!-- </svg> -->no</svg> b</p>", w) == "a b"
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE)], "page_id long, url string, html string").selectExpr("*", "1 AS id", "2 AS body", "3 AS text", "4 AS k", "5 AS n_chars")
+    assert mt.extract(pages, mt.learn(pages)).columns == ["id", "url", "text", "n_chars"]
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None), (2, "v", "", 1)], "page_id long, url string, html string, n_chars int")
     got = mt.extract(pages, weights()).collect()

@@ -3,8 +3,8 @@
 Every tree hashes a vector to a string of ``BITS`` bits (signs of random projections, drawn by a
 fixed generator) and keeps the strings sorted, so that all vectors sharing a prefix lie next to each other.
 A query descends every tree to its longest matching prefix and then ascends all trees in step, one
-bit at a time, until the matches hold at least ``share`` of the rows (and ``LEAST``). Those
-candidates are ranked by their true cosine.
+bit at a time, until the matches hold at least ``share`` of the rows (and ``LEAST`` times as many as are asked for). Those
+candidates are ranked by their true cosine. Vectors are divided by a power of two first, so that no square is too large or small.
 
 Rows are spread over shards of about ``SHARD_ROWS`` by a hash of their id, each with a forest of
 its own. A shard's rows come first and then the queries, sorted, so its forest is built once and the
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TREES = 128
+TREES = 256
 BITS = 32
-SHARE = 0.3
-LEAST = 1024
+SHARE = 0.4
+LEAST = 8
 SHARD_ROWS = 8192
 QUERY_BLOCK = 256
 TASKS = 24
@@ -88,20 +88,25 @@ class Forest:
             yield np.flatnonzero(hit)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: cosines stay what they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 class Shard:
     """Rows of one length and their forest."""
 
     def __init__(self, parts: list[pd.DataFrame], trees: int, bits: int) -> None:
         self.ids = np.concatenate([p["id"].to_numpy() for p in parts])
-        self.x = np.concatenate([np.stack(p["v"].to_numpy()) for p in parts]).astype(np.float64)
+        self.x = _scaled(np.concatenate([np.stack(p["v"].to_numpy()) for p in parts]).astype(np.float64))
         self.norm = np.sqrt((self.x * self.x).sum(1))
         self.forest = Forest(self.x / self.norm[:, None], trees, bits)
 
     def nearest(self, queries: pd.DataFrame, k: int, share: float) -> pd.DataFrame:
         out: list[tuple] = []
         x, norm, ids = self.x, self.norm, self.ids
-        q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-        found = self.forest.candidates(q / np.sqrt((q * q).sum(1))[:, None], max(LEAST, int(np.ceil(share * len(x)))))
+        q = _scaled(np.stack(queries["v"].to_numpy()).astype(np.float64))
+        found = self.forest.candidates(q / np.sqrt((q * q).sum(1))[:, None], max(LEAST * k, int(np.ceil(share * len(x)))))
         for qid, v, c in zip(queries["id"].to_numpy(), q, found, strict=True):
             c = c[ids[c] != qid]
             rough = x[c] @ v / (norm[c] * np.sqrt((v * v).sum()))

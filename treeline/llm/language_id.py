@@ -177,6 +177,8 @@ class Model:
         added = ["lang_pred", "score", "ambiguous"]
         keep = [c for c in docs.columns if c not in added]
         letter = "_has_letter"
+        while letter in keep:  # a name that the table doesn't have
+            letter += "_"
         schema = T.StructType([docs.schema[c] for c in keep]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
         if not self.langs:
             return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))

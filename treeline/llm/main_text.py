@@ -81,19 +81,22 @@ def _out_name(value: str) -> bool:
     return False
 
 
-def _end_of(name: str, page: str, at: int) -> int | None:
-    """Where the element ends whose start tag ends at ``at``; None if it is never closed."""
+def _end_of(name: str, page: str, at: int, comments: int) -> int | None:
+    """Where the element ends whose start tag ends at ``at``; None if it is never closed. ``comments``: where the
+    last end of a comment stands (-1: nowhere)."""
     if name not in NESTED:
         end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
         return end.end() if end else None
     depth, last = 1, None
-    for m in re.compile(rf"<!--.*?-->|<(/?){name}(?![\w:-])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I | re.S).finditer(page, at):
-        if m[1]:
+    mark = re.compile(rf"<!--|<(/?){name}(?![\w:-])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
+    while depth and (m := mark.search(page, at)):
+        at = m.end()
+        if m[1] is None:  # a comment, if it ends
+            at = page.index("-->", at) + 3 if at <= comments else at
+        elif m[1]:
             depth, last = depth - 1, m.end()
-        elif m[1] is not None and not (name in FOREIGN and m[2].endswith("/")):
+        elif not (name in FOREIGN and m[2].endswith("/")):
             depth += 1
-        if depth == 0:
-            break
     return last
 
 
@@ -156,9 +159,13 @@ def parse(page: str) -> list[Item]:
     def last(*names: str) -> int | None:
         return max((open_at[n][-1] for n in names if open_at[n]), default=None)
 
-    while m := TAG.search(page, at):
+    # No tag ends after the last >, and no comment after the last -->.
+    tags, comments = page.rfind(">") + 1, page.rfind("-->")
+    while m := TAG.search(page, at, tags):
         text(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(page)
         slash, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
             continue
@@ -174,7 +181,7 @@ def parse(page: str) -> list[Item]:
             items.append(Item(None, name, name, out=True, inside=inside))
             if name in FOREIGN and attrs.endswith("/"):
                 continue
-            end = None if name in unclosed else _end_of(name, page, at)
+            end = None if name in unclosed else _end_of(name, page, at, comments)
             if end is None:
                 unclosed.add(name)
                 at = at if name in NESTED else len(page)
@@ -207,7 +214,7 @@ def parse(page: str) -> list[Item]:
         open_at[name].append(len(stack))
         stack.append((name, key, link, inside, held))
         items.append(Item(None, name, name, inside=was_inside, starts_article=article and not was_inside))
-    text(page[at:])
+    text(re.split("<[!?]", page[at:], maxsplit=1)[0])
     close(0)
     _mark(items, wrappers, articles)
     return items
@@ -239,11 +246,21 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best
 
 
+def whole_blocks(items: list[Item], start: int, end: int) -> tuple[int, int]:
+    """A run widened so that it parts no block."""
+    border = lambda x: x.text is None and x.name.removeprefix("/") in BLOCKS
+    while start < end and start > 0 and not border(items[start]) and not border(items[start - 1]):
+        start -= 1
+    while start < end < len(items) and not border(items[end - 1]) and not border(items[end]):
+        end += 1
+    return start, end
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """Blocks of the content region in page order, joined by newlines. References are decoded, white
-    space within a block becomes one space. Empty for null, empty or wordless pages."""
+    space within a block becomes one space. The region is the best run, widened to whole blocks. Empty for null, empty or wordless pages."""
     items = parse(page or "")
-    start, end = best_run([weights.score(x) for x in items])
+    start, end = whole_blocks(items, *best_run([weights.score(x) for x in items]))
     blocks: list[list[str]] = [[]]
     for x in items[start:end]:
         if x.text is None:
@@ -285,7 +302,8 @@ def learn(pages: DataFrame, id_col: str = "page_id", body_col: str = "html", row
 
 
 def extract(pages: DataFrame, weights: Weights, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """``id, url, text, n_chars`` of every row; rows keep their number. Whole pages are read."""
+    """``id, url, text, n_chars`` of every row; rows keep their number, repeated ones and those without an id as well; a null
+    page is empty. Whole pages are read; other columns are ignored."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

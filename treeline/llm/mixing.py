@@ -10,7 +10,7 @@ the multipliers and one aggregation with a map-side part for each step, however
 
 Rates are then rounded into whole copies so that no source drifts. First each (source, size) gets a
 whole number of copies: sizes are walked from large to small and what rounding leaves over at one
-size is carried to the next, so a source misses its target by about half of its smallest document.
+size is carried to the next, so a source comes as near to its target as whole copies of its documents, from large to small, can.
 The walk sees one row for each size of a source, at most the root of twice its tokens. Then the
 copies of a size are dealt to its documents: those of least hash get one more than the others. Their
 rank is a prefix sum, over shards of the hash range and over groups of shards, so that a size that
