@@ -98,4 +98,4 @@ if __name__ == "__main__":
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("der die das und nicht", "de"), ("the and of to is", "en")] * 20)], "doc_id long, text string, lang string")
     odd = docs.selectExpr("*", "true AS _has_letter", "1 AS _has_letter_", "'x' AS lang_pred", "2 AS k", "3 AS h", "4 AS x", "5 AS id")
-    assert language_id.stage(spark, odd, "").columns == odd.columns
+    assert li.stage(spark, odd, "").columns == odd.columns

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TREES = 256
+TREES = 192
 BITS = 32
 SHARE = 0.4
 LEAST = 8
 SHARD_ROWS = 8192
 QUERY_BLOCK = 256
-TASKS = 24
+TASKS = 12
 SEED = 11
 
 
@@ -65,23 +65,24 @@ class Forest:
     def candidates(self, q: np.ndarray, want: int):
         """For each row of ``q`` the indices of its candidates: at least ``want``, or all rows."""
         s = strings(q, self.trees, self.bits)
-        # lo, hi: the run of each tree that shares the first `level` bits with each query
-        lo = np.empty((self.bits + 1, self.trees, len(q)), np.int32)
-        hi = np.empty_like(lo)
+        # lo, hi: the run of each tree that shares the first `level` bits with each query; held: with repeats over trees.
+        # Longer prefixes hold less, so those beyond the first level at which no query has enough aren't looked up.
+        lo, hi, held = [], [], []
         for level in range(self.bits + 1):
             cut = self.bits - level
-            for t in range(self.trees):
-                prefix = s[t] >> cut
-                lo[level, t] = np.searchsorted(self.sorted[t], prefix << cut)
-                hi[level, t] = np.searchsorted(self.sorted[t], (prefix + 1) << cut)
-        held = (hi - lo).sum(1)  # with repeats over trees
+            prefix = s >> cut
+            lo.append(np.stack([np.searchsorted(self.sorted[t], prefix[t] << cut) for t in range(self.trees)]))
+            hi.append(np.stack([np.searchsorted(self.sorted[t], (prefix[t] + 1) << cut) for t in range(self.trees)]))
+            held.append((hi[-1] - lo[-1]).sum(0))
+            if (held[-1] < min(want, self.n)).all():
+                break
         for k in range(len(q)):
             hit = np.zeros(self.n, bool)
             # No level below this one can hold enough, so the ascent needs no look at them.
-            level = max((x for x in range(self.bits + 1) if held[x, k] >= min(want, self.n)), default=0)
+            level = max((x for x, n in enumerate(held) if n[k] >= min(want, self.n)), default=0)
             while True:
-                for t in range(self.trees):
-                    hit[self.order[t, lo[level, t, k] : hi[level, t, k]]] = True
+                for order, a, b in zip(self.order, lo[level][:, k].tolist(), hi[level][:, k].tolist(), strict=True):
+                    hit[order[a:b]] = True
                 if level == 0 or hit.sum() >= want:
                     break
                 level -= 1
