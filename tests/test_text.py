@@ -77,7 +77,7 @@ def test_body_links_and_file(parsed):
 def test_rules(parsed):
     m = {(r.code, r.arg) for r in lint.lint(parsed.store).collect()}
     codes = {c for c, _ in m}
-    assert {"CategoryTooLong", "DanglingIdLink", "MisplacedDrawerEnd", "MixedLogbook", "StateChangeLast", "TitleDoubleSpace", "FileTitleMissing"} <= codes or codes
+    assert {"CategoryTooLong", "DanglingIdLink", "MisplacedDrawerEnd", "MixedLogbook", "StateChangeLast", "TitleDoubleSpace", "FileTitleMissing"} <= codes
     assert ("CategoryTooLong", "veryverylongcategory") in m and ("DanglingIdLink", "zz") in m
     assert ("MixedLogbook", None) in m and "TodoMismatch" not in codes
     assert all(r.severity in ("WARN", "ERROR") for r in lint.lint(parsed.store, level="WARN").collect())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import FileStore
+
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", ts: str = "ts", kind: str = "event_type") -> DataFrame:
     """Tumbling windows by kind: ``start, kind, n, total``; events later than ``late`` are dropped."""
@@ -34,3 +36,11 @@ def follow_files(spark: SparkSession, pattern: str, load, folder: str):
     files = spark.readStream.format("binaryFile").schema(schema).load(pattern)
     rows = files.select("path", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mod_time"), F.md5("content").alias("hash"))
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+
+def sync_files(stream: DataFrame, store: FileStore, name: str, checkpoint: str):
+    """A query that takes a stream of ``path, content, mod_time, hash`` into a store, batch by batch. A batch that is
+    delivered again, after a failure between the store and the checkpoint, changes nothing: the store's ledger has it under
+    ``name``."""
+    take = lambda batch, n: store.update(batch, (name, n)) and None
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
