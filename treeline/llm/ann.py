@@ -31,7 +31,7 @@ from .common import table
 
 TREES = 192
 BITS = 32
-SHARE = 0.4
+SHARE = 0.35
 LEAST = 8
 SHARD_ROWS = 8192
 QUERY_BLOCK = 256
