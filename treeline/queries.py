@@ -379,7 +379,7 @@ def _(s, spark, d):
 
 # -- rules, vectors, loading, sinks --------------------------------------------------------------
 
-from .operators import lint, similarity, sync, tags as tag_ops  # noqa: E402
+from .operators import fulltext, lint, similarity, sync, tags as tag_ops  # noqa: E402
 from .sinks import graph, site, text  # noqa: E402
 from .sources import outline_text, stored  # noqa: E402
 from .storage import shared_path  # noqa: E402
@@ -755,6 +755,15 @@ def _(s, spark, d):
     return e.select(number("name", "([0-9]+)").alias("doc_id"), number("headline", "^H ([0-9]+)").cast("int").alias("n"), F.substring(F.concat(F.lit("* "), "headline"), 1, 30).alias("head"))
 
 
+@query("full_text", "SELECT id AS entry_id, 2.8::DOUBLE AS rank FROM entries WHERE starts_with(title, 'Order 77') OR starts_with(title, 'Customer#00000001')")
+def _(s, spark, d):
+    """Two searches of a written index, by other forms of the words and beginnings of numbers."""
+    folder = shared_path(spark, "postings")
+    fulltext.write_index(fulltext.index(s), folder)
+    found = [fulltext.search(fulltext.read_index(spark, folder), t) for t in ("the ordering of 77", "customers 00000001")]
+    return found[0].unionByName(found[1]).select("entry_id", F.round("rank", 6).alias("rank"))
+
+
 @query("parse_blocks")
 def _(s, spark, d):
     """Bodies, links and errors that the parser finds in the pages' text as it is."""
