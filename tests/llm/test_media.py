@@ -103,3 +103,13 @@ def test_many_entries_are_found_in_linear_time():
         z.writestr("inner.zip", zipped())
     assert [x.start for x in media.sniff(outer.getvalue())][0] == 0 and len(media.sniff(outer.getvalue())) == 2
     assert media.sniff(b"PK\x03\x04" * 200_000) == []
+
+
+def test_many_false_starts_in_linear_time():
+    import time
+
+    for piece in (b"\xff\xd8\xff\xe0", b"\xff\xd8\xff\xc0\x00\x02\xff\xda\x00\x02"):
+        began = time.time()
+        data = piece * 400_000
+        assert all(media.jpeg(data, i) == 0 for i in range(0, len(data), len(piece)))
+        assert time.time() - began < 10

@@ -101,10 +101,28 @@ def gif(b: bytes, i: int) -> int:
     return 0
 
 
+@lru_cache(maxsize=1)
+def _lost(b: bytes) -> set[tuple[int, bool]]:
+    """Places from which walks over segments have failed."""
+    return set()
+
+
 def jpeg(b: bytes, i: int) -> int:
-    """Segments up to the start of scan, then entropy-coded data up to the end marker."""
-    at, frame = i + 2, False
+    """Segments up to the start of scan, then entropy-coded data up to the end marker. Walks that meet where one has
+    failed fail as well, so all starts together take one walk over the bytes."""
+    walked: list[tuple[int, bool]] = []
+    if not (n := _jpeg(b, i + 2, walked, _lost(b))):
+        _lost(b).update(walked)
+    return n - i if n else 0
+
+
+def _jpeg(b: bytes, at: int, walked: list[tuple[int, bool]], lost: set[tuple[int, bool]]) -> int:
+    """Where the image ends whose segments begin at ``at``; 0 if it doesn't."""
+    frame = False
     while at + 4 <= len(b):
+        if (at, frame) in lost:
+            return 0
+        walked.append((at, frame))
         if b[at] != 0xFF:
             return 0
         m, n = b[at + 1], int.from_bytes(b[at + 2 : at + 4], "big")
@@ -118,7 +136,7 @@ def jpeg(b: bytes, i: int) -> int:
             while (at := b.find(b"\xff", at)) >= 0 and at + 1 < len(b):
                 k = b[at + 1]
                 if k == 0xD9:
-                    return at + 2 - i
+                    return at + 2
                 if k == 0 or 0xD0 <= k <= 0xD7:
                     at += 2
                 elif k == 0xFF:
