@@ -379,7 +379,7 @@ def _(s, spark, d):
 
 # -- rules, vectors, loading, sinks --------------------------------------------------------------
 
-from .operators import fulltext, lint, similarity, sync, tags as tag_ops  # noqa: E402
+from .operators import fulltext, lint, similarity, sync, tags as tag_ops, vector_index  # noqa: E402
 from .sinks import graph, site, text  # noqa: E402
 from .sources import outline_text, stored  # noqa: E402
 from .storage import shared_path  # noqa: E402
@@ -435,6 +435,14 @@ def _(s, spark, d):
     return similarity.search(s, _QUERY_VECTOR, 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("topk_by_lists", SQL["topk_similar"].removeprefix(testbed.SQL))
+def _(s, spark, d):
+    """The same from inverted lists on disk, as many as it takes to be sure."""
+    folder = shared_path(spark, "vector-lists")
+    vector_index.write(s.entry_embeddings, folder)
+    return vector_index.search(spark, folder, _QUERY_VECTOR, 5)[0].withColumn("distance", F.round("distance", 6))
+
+
 @query(
     "best_chunk",
     f"SELECT entry_id, min_by(chunk_position, distance) AS chunk_position FROM (SELECT *, {_DISTANCE.format(a='embedding::DOUBLE[]', b=str(_QUERY_VECTOR) + '::DOUBLE[]')} AS distance FROM entry_embeddings) GROUP BY entry_id",
