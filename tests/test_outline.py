@@ -1,5 +1,6 @@
 """Logs, notes and ranges read and written; operators without SQL against plain Python."""
 
+import hashlib
 import json
 import re
 from collections import defaultdict
@@ -358,6 +359,42 @@ def test_files_may_share_ids(spark):
     assert sync.round_trip_failures(p.store).count() == 0
 
 
+NOTED = "- Note taken on [2024-01-0{} Mon 10:00] \\\\\n{}"
+SPACED = {
+    "plain": "body\n",
+    "around": "\nbody\n\n",
+    "only before": "\nbody\n",
+    "only after": "body\n\n",
+    "logs alike": NOTED.format(1, "\n  a\n\n") + NOTED.format(2, "\n  b\n") + "\nbody\n\n",
+    "before logs": NOTED.format(1, "\n  a\n") + NOTED.format(2, "  b\n") + "body\n",
+    "after logs": NOTED.format(1, "  a\n\n") + NOTED.format(2, "  b\n") + NOTED.format(3, "  c\n") + "body\n",
+    "last ends the file": "\nbody",
+}
+
+
+def test_white_space_rules(spark):
+    doc = "".join(f"* {name}\n:PROPERTIES:\n:ID: {name.replace(' ', '-')}\n:END:\n{body}" for name, body in SPACED.items())
+    s = outline_text.parse(spark.createDataFrame([("a.org", doc)], "path string, content string")).store
+    assert s.entry_log_entries.filter("entry_id = 'after-logs'").count() == 3  # blank lines don't end a log
+    got = {(r.entry_id, r.code, r.arg) for r in lint.lint(s, codes=("InconsistentLogSpace", "InconsistentBodySpace", "EmptyBodySpace")).collect()}
+    assert got == {
+        ("only-before", "InconsistentBodySpace", "surrounding body"), ("only-after", "InconsistentBodySpace", "surrounding body"),
+        ("before-logs", "InconsistentLogSpace", "before log entries"), ("after-logs", "InconsistentLogSpace", "after log entries"),
+    }
+    assert sync.round_trip_failures(s).count() == 0
+
+
+def test_hash_of_the_printed_entry(spark):
+    """It changes with a tag, and with nothing of another entry."""
+    head = lambda tag, sha: f"* TODO One  :{tag}:\n:PROPERTIES:\n{sha}:ID: one\n:END:\nbody\n** Two\n"
+    parse = lambda doc: outline_text.parse(spark.createDataFrame([("a.org", doc)], "path string, content string")).store
+    written = text.entry_texts(parse(head("t", ""))).filter("id = 'one'").first().text
+    sha = f":HASH_sha512: {hashlib.sha512((written + chr(10)).encode()).hexdigest()[:64]}\n"
+    found = lambda doc: [r.entry_id for r in lint.lint(parse(doc), codes=("HashMismatch",)).collect()]
+    assert found(head("t", sha)) == [] and found(head("u", sha)) == ["one"]
+    assert found(head("t", sha).replace("Two", "Three")) == []
+
+
 def test_clusters_need_a_fixed_point(spark):
     chain = spark.createDataFrame([(k, k + 1, 0.5) for k in range(60)], "a long, b long, distance double")
     assert {r.cluster for r in similarity.clusters(chain).collect()} == {0}

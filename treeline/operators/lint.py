@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -354,11 +355,16 @@ def _(s, c):
 
 @rule("HashMismatch", "WARN")
 def _(s, c):
-    """HASH_sha512 isn't the start of the SHA-512 of the entry's title and body."""
-    rows = F.sort_array(F.collect_list(F.struct("position", "content")))
-    body = s.entry_body_blocks.groupBy("entry_id").agg(F.array_join(F.transform(rows, lambda b: b["content"]), "\n").alias("body"))
-    e = _entries(s, "title").distinct().join(_property(s, "hash_sha512"), "entry_id").join(body, "entry_id", "left")
-    return e.filter(short_sha512(F.concat_ws("\n", "title", "body")) != F.col("v")).select("entry_id", F.col("v").alias("arg"))
+    """HASH_sha512 isn't the start of the SHA-512 of the entry as it is written without it, with an end of line."""
+    from ..sinks.text import entry_texts
+
+    said = _property(s, "hash_sha512")
+    of = lambda df, key: df.join(said.select(F.col("entry_id").alias("_h")).distinct(), F.col(key) == F.col("_h"), "left_semi")
+    # Only entries that have one are written.
+    some = s.map(lambda name, df: of(df, "id") if name == "entries" else of(df, "entry_id") if "entry_id" in df.columns else df)
+    some = replace(some, entry_properties=some.entry_properties.filter("lower(name) <> 'hash_sha512'"))
+    e = entry_texts(some, c).join(said, F.col("id") == F.col("entry_id"))
+    return e.filter(short_sha512(F.concat("text", F.lit("\n"))) != F.col("v")).select("entry_id", F.col("v").alias("arg"))
 
 
 @rule("InconsistentWhitespace", "WARN")
@@ -370,6 +376,51 @@ def _(s, c):
     return _lacking(seen.filter("arg > 1"), ignored, "file_id").select("file_id")
 
 
+def _spaces(s: Store) -> DataFrame:
+    """``entry_id, leads, trails, lead, trail, empty``: the white space that the notes of an entry's log begin and end
+    with, in order, and its body; whether there is no body."""
+    from .tree import body_space
+
+    space = F.struct(F.when(F.col("block_type") == "whitespace", F.col("content")).alias("v"))
+    notes = s.entry_log_bodies.groupBy("entry_id", "log_position").agg(F.min_by(space, "position").alias("a"), F.max_by(space, "position").alias("b"))
+    listed = F.sort_array(F.collect_list(F.struct("log_position", "a", "b")))
+    notes = notes.groupBy("entry_id").agg(F.transform(listed, lambda x: x["a"]["v"]).alias("leads"), F.transform(listed, lambda x: x["b"]["v"]).alias("trails"))
+    return body_space(s).join(notes, "entry_id", "left")
+
+
+def _unlike(values: Column) -> Column:
+    return F.coalesce(F.size(F.array_distinct(values)) > 1, F.lit(False))
+
+
+@rule("InconsistentLogSpace", "WARN")
+def _(s, c):
+    """Notes of one log begin, or end, some with white space and some without, or with other white space. The end of the last
+    one may be where the body begins."""
+    x = _spaces(s)
+    head, tail = F.get("trails", F.lit(0)), F.element_at("trails", -1)
+    end = F.coalesce(tail, F.when(F.col("empty"), head).when(head.isNotNull(), F.col("lead")))
+    trails = F.concat(F.slice("trails", 1, F.greatest(F.size("trails") - 1, F.lit(0))), F.array(end))
+    found = F.array(F.when(_unlike(F.col("leads")), "before log entries"), F.when(_unlike(trails), "after log entries"))
+    return x.select("entry_id", F.explode(F.array_compact(found)).alias("arg"))
+
+
+@rule("EmptyBodySpace", "INFO")
+def _(s, c):
+    """No body, and the last note ends with white space."""
+    return _spaces(s).filter(F.col("empty") & F.element_at("trails", -1).isNotNull()).select("entry_id")
+
+
+@rule("InconsistentBodySpace", "INFO")
+def _(s, c):
+    """A body begins and ends with different white space; the last entry of a file may end with none."""
+    from .tree import body_space, preorder
+
+    odd = body_space(s).filter(~F.col("lead").eqNullSafe(F.col("trail")))
+    last = preorder(s.entries).groupBy("file_id").agg(F.max_by("id", "preorder").alias("entry_id")).select("entry_id").distinct().withColumn("final", F.lit(True))
+    fine = F.col("final").isNotNull() & F.col("trail").isNull()
+    return odd.join(last, "entry_id", "left").filter(~fine).select("entry_id", F.lit("surrounding body").alias("arg"))
+
+
 def severity_at_least(level: str) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("severity")) >= LEVELS.index(level) + 1
 
