@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from treeline.operators import vector_index
+from treeline.operators import similarity, vector_index
 
 SCHEMA = "entry_id string, chunk_position int, chunk_text string, embedding array<float>"
 
@@ -44,3 +44,20 @@ def test_odd_rows(spark, tmp_path):
     assert [(d, e) for d, e, _ in got] == [(0.0, "a"), (round(1 - 2**-0.5, 9), "h"), (1.0, "d")] and got[0][2] == "x"
     assert run(spark, tmp_path, rows, [0.0, 0.0, 0.0], 3)[0] == []
     assert run(spark, tmp_path, [], one, 3) == ([], 0)
+
+
+@pytest.mark.parametrize("kind,threshold,limit,block", [("clusters", 0.15, 1000, 2000), ("clusters", 0.65, 50, 30), ("noise", 0.65, 200, 2000), ("noise", 0.15, 10, 2000)])
+def test_nearest_pairs(spark, monkeypatch, kind, threshold, limit, block):
+    monkeypatch.setattr(similarity, "CELL_ROWS", block)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 8))
+    if kind == "clusters":
+        x = rng.standard_normal((9, 8))[rng.integers(0, 9, 400)] + 0.2 * x
+    x[7] = 0
+    rows = [(i, i % 7, v.tolist()) for i, v in enumerate(x)] + [(1000, 0, None)]
+    got = [(r.a, r.b) for r in similarity.similar_pairs(spark.createDataFrame(rows, "id long, grp int, v array<double>"), threshold, limit).collect()]
+    norm = np.linalg.norm(x, axis=1)
+    d = 1 - x @ x.T / np.where(norm > 0, norm, np.nan)[:, None] / np.where(norm > 0, norm, np.nan)
+    want = sorted((d[a, b], a, b) for a in range(400) for b in range(a + 1, 400) if a % 7 != b % 7 and d[a, b] < threshold)[:limit]
+    assert got == [(a, b) for _, a, b in want]
+    assert similarity.similar_pairs(spark.createDataFrame(rows[:1], "id long, grp int, v array<double>"), threshold, limit).count() == 0

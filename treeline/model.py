@@ -23,7 +23,7 @@ ENTRY_COLUMNS = (
 SCHEMAS = {
     "files": "id string, path string, title string, preamble string, hash string, mod_time timestamp, created_time timestamp",
     "file_properties": "file_id string, name string, value string, source string, position int",
-    "entries": "id string, file_id string, parent_id string, depth int, position int, byte_offset int, keyword_type string, keyword_value string, priority string, headline string, title string, verb string, context string, locator string, hash string, path array<string>",
+    "entries": "id string, file_id string, parent_id string, depth int, position int, byte_offset long, keyword_type string, keyword_value string, priority string, headline string, title string, verb string, context string, locator string, hash string, path array<string>",
     "entry_tags": "entry_id string, tag string",
     "entry_properties": "entry_id string, name string, value string, position int",
     "entry_stamps": "entry_id string, stamp_type string, time_kind string, day int, day_end int, time_start int, time_end int, suffix string",

@@ -724,7 +724,7 @@ def _(s, spark, d):
 #: Documents as outlines: every fourth line of a text is a heading.
 _OUTLINE_SQL = """WITH x AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
 l AS (SELECT doc_id, n, n % 4 = 0 AS head, CASE WHEN n % 4 = 0 THEN '* H ' || n || ' ' || translate(line, ':{}[]#', '') ELSE '- ' || line END AS line FROM x),
-p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS byte_offset FROM l)
+p AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM l)
 """
 
 
