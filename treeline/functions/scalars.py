@@ -186,9 +186,16 @@ def consistent(values: Column) -> Column:
     return F.size(F.array_distinct(values)) <= 1
 
 
+def display_width(text: Column) -> Column:
+    """Characters that a headline shows: of its first link with a description only that, and no marks of verbatim text (``=``)."""
+    link = F.length(F.regexp_extract(text, r"\[\[[^\]]+\]\[", 0))
+    return F.length(text) - F.length(F.regexp_replace(text, "[^=]", "")) - F.when(link > 0, link + 2).otherwise(0)
+
+
 def align_right(left: Column, right: Column, column: int) -> Column:
-    """``left`` and ``right`` with spaces between, so that ``right`` ends at ``column`` if it can."""
-    gap = F.greatest(F.lit(1), column - F.length(left) - F.length(right))
+    """``left`` and ``right`` with two spaces at least between, so that ``right`` ends at ``column`` if it can, as ``left`` is
+    shown."""
+    gap = F.greatest(F.lit(2), column - display_width(left) - F.length(right))
     return F.concat(left, F.repeat(F.lit(" "), gap), right)
 
 

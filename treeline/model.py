@@ -6,7 +6,7 @@ Days are Modified Julian Day numbers and times of day minutes, as the model's ow
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +38,9 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Config:
-    """Keywords, their allowed transitions (from -> to), priorities and columns of alignment."""
+    """Keywords, their allowed transitions (from -> to), priorities and columns of alignment; for rules about paths the home
+    folder, the folder of attachments (without it they aren't looked for) and what there is (``path, is_folder``; else the
+    files of the collection and their folders)."""
 
     open_keywords: tuple[str, ...] = ("TODO", "WAIT")
     closed_keywords: tuple[str, ...] = ("DONE", "CANCELED")
@@ -47,6 +49,9 @@ class Config:
     priorities: tuple[str, ...] = ("A", "B", "C")
     property_column: int = 11
     tags_column: int = 60
+    home: str | None = None
+    attachments: str | None = None
+    paths: DataFrame | None = field(default=None, compare=False)
 
     @property
     def keywords(self) -> tuple[str, ...]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import short_sha512, slug
 from ..model import Config, Store
+from ..sources.inventory import known, resolve
 
 LEVELS = ("DEBUG", "ALL", "INFO", "WARN", "ERROR")
 RULES: dict[str, Callable[[Store, Config], DataFrame]] = {}
@@ -126,11 +127,42 @@ def _(s, c):
     return e.join(allowed, ["file_id", "verb"], "left_anti").select("file_id", "entry_id", F.col("verb").alias("arg"))
 
 
+def _absent(named: DataFrame, s: Store, c: Config, folders: bool | None = None) -> DataFrame:
+    """``file_id, entry_id, arg``: those of ``named`` whose ``arg`` (a path, from the folder of the file that names it) isn't
+    there; only files, or only folders, if ``folders`` says so. Of an entry the file is that of every row with its id."""
+    there = c.paths if c.paths is not None else known(s.files)
+    if folders is not None:
+        there = there.filter(F.col("is_folder") == folders)
+    owner = s.entries.select(F.col("id").alias("entry_id"), F.col("file_id").alias("owner")).distinct()
+    whole = named.filter("entry_id is null").withColumn("owner", F.col("file_id"))
+    whole = whole.unionByName(named.filter("entry_id is not null").drop("file_id").join(owner, "entry_id").withColumn("file_id", F.lit(None).cast("string")))
+    x = whole.join(s.files.select(F.col("id").alias("owner"), F.col("path").alias("file")), "owner")
+    x = x.withColumn("path", resolve(F.col("arg"), F.col("file"), c.home)).filter("path not in ('', '/')")
+    return x.join(there.select("path").distinct(), "path", "left_anti")
+
+
+def _named(df: DataFrame, arg: Column) -> DataFrame:
+    has = lambda k: F.col(k) if k in df.columns else F.lit(None)
+    return df.select(has("file_id").cast("string").alias("file_id"), has("entry_id").cast("string").alias("entry_id"), arg.alias("arg")).filter("trim(arg) <> ''")
+
+
 @rule("BrokenFileLink", "ERROR")
 def _(s, c):
-    """``file:`` links to no file of the collection."""
-    k = s.entry_links.filter("link_type = 'file'").select("entry_id", F.regexp_replace("target", "^file:", "").alias("arg"))
-    return k.join(s.files.select(F.col("path").alias("arg")).distinct(), "arg", "left_anti").select("entry_id", "arg")
+    """``file:`` links to nothing, in preambles, paragraphs and the property URL, and NOTER_DOCUMENT, unless the file has
+    IGNORE_LINKS. A path ends at a colon."""
+    link = r"\[\[file:([^\]:]+)"
+    every = lambda text: F.explode(F.regexp_extract_all(text, F.lit(link), F.lit(1)))
+    loose = F.regexp_replace("preamble", r"(?ims)^\s*#\+begin.*?^\s*#\+end[^\n]*$", "")
+    noter = F.regexp_extract(F.regexp_replace("v", r"^\[\[(file:)?", ""), "^([^]:]+)", 1)
+    named = [
+        _named(s.files.withColumnRenamed("id", "file_id"), every(loose)),
+        _named(s.entry_body_blocks.filter("block_type = 'paragraph'"), every(F.col("content"))),
+        _named(_property(s, "url"), every(F.col("v"))),
+        _named(_property(s, "noter_document").withColumn("v", F.when(~F.contains(noter, F.lit("devonthink")), noter)), F.col("v")),
+    ]
+    broken = _absent(reduce(DataFrame.unionByName, named), s, c)
+    ignored = _file_property(s, "ignore_links").select(F.col("file_id").alias("owner")).distinct()
+    return broken.join(ignored, "owner", "left_anti").select("file_id", "entry_id", "arg")
 
 
 @rule("DanglingIdLink", "ERROR")
@@ -159,10 +191,20 @@ def _(s, c):
 
 @rule("AttachmentsWithoutTag", "WARN")
 def _(s, c):
-    """Attachments, but no tag FILE. Whether their folder is there isn't looked at."""
+    """Attachments, but no tag FILE."""
     return _lacking(s.entry_properties.filter("name = 'Attachments'").select("entry_id").distinct(), s.entry_tags.filter("tag = 'FILE'"), "entry_id")
 
 
+@rule("AttachmentsMissing", "WARN")
+def _(s, c):
+    """Attachments or a tag FILE, but no folder below that of attachments: the first two characters of the ID, then the
+    rest."""
+    said = s.entry_properties.filter("name = 'Attachments'").select("entry_id").unionByName(s.entry_tags.filter("tag = 'FILE'").select("entry_id")).distinct()
+    ids = _property(s, "id").filter(F.lit(c.attachments is not None)).join(said, "entry_id", "left_semi")
+    folder = F.concat_ws("/", F.lit(c.attachments or ""), F.substring("v", 1, 2), F.substring(F.col("v"), F.lit(3), F.length("v")))
+    return _absent(_named(ids, folder), s, c, folders=True).select("entry_id", "arg")
+
+
 @rule("WhitespaceAtStartOfNote", "WARN")
 def _(s, c):
     """A log entry's note begins with a blank line."""
@@ -337,20 +379,21 @@ def _(s, c):
     return s.file_properties.filter(F.upper("name").isin("LAST_REVIEW", "NEXT_REVIEW", "REVIEWS", "EFFORT")).select("file_id", F.col("name").alias("arg"))
 
 
-def _missing(owners: DataFrame, s: Store) -> DataFrame:
-    """Those whose ``v`` (a path, before any ``::``) is no file of the collection."""
-    known = s.files.select(F.col("path").alias("arg")).distinct()
-    return owners.withColumn("arg", F.trim(F.substring_index("v", "::", 1))).filter("arg <> ''").join(known, "arg", "left_anti")
+def _missing(s: Store, c: Config, name: str) -> DataFrame:
+    """Files that a property of files or entries names (before any ``::``) and that aren't there."""
+    path = F.trim(F.substring_index("v", "::", 1))
+    named = _named(_file_property(s, name), path).unionByName(_named(_property(s, name), path))
+    return _absent(named, s, c, folders=False).select("file_id", "entry_id", "arg")
 
 
 @rule("ArchiveMissing", "WARN")
 def _(s, c):
-    return _missing(_file_property(s, "archive").withColumn("entry_id", F.lit(None)).unionByName(_property(s, "archive").withColumn("file_id", F.lit(None))), s)
+    return _missing(s, c, "archive")
 
 
 @rule("AudioMissing", "ERROR")
 def _(s, c):
-    return _missing(_property(s, "audio"), s)
+    return _missing(s, c, "audio")
 
 
 @rule("HashMismatch", "WARN")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,6 +233,20 @@ def _(s, spark, d):
     return stats.histograms(s)
 
 
+@query(
+    "block_histograms",
+    testbed.BLOCKS_SQL + "SELECT 'verb' AS kind, verb AS value, count(*) AS n FROM entries2 WHERE verb IS NOT NULL GROUP BY ALL UNION ALL SELECT 'drawer', drawer_name, count(*) FROM blocks2 WHERE drawer_name IS NOT NULL GROUP BY ALL",
+)
+def _(s, spark, d):
+    """Verbs and drawers, of the store that has some."""
+    return stats.histograms(testbed.with_blocks(spark, d)).filter("kind in ('verb', 'drawer')")
+
+
+@query("file_sizes", "SELECT count(*) AS files, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes, coalesce(sum(strlen(text)), 0)::BIGINT / 1048576.0::DOUBLE AS mb FROM documents", head="")
+def _(s, spark, d):
+    return stats.sizes(spark.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("content")))
+
+
 @query("stats_scalars", "SELECT (SELECT count(*) FROM files) AS files, count(*) AS entries, count(keyword_value) AS items, count(*) FILTER (keyword_type = 'open') AS open, count(keyword_value) - count(*) FILTER (keyword_type = 'open') AS closed FROM entries")
 def _(s, spark, d):
     return stats.scalars(s)
@@ -372,7 +387,7 @@ def _(s, spark, d):
     return s.entries.select("id", fn.entry_hash(F.col("id"), F.col("keyword_value"), F.col("title")).alias("hash"))
 
 
-@query("aligned", "SELECT DISTINCT e.id, '** ' || e.title || repeat(' ', greatest(1, 60 - length(e.title) - 3 - length(t.tag) - 2)) || ':' || t.tag || ':' AS line FROM entries e JOIN entry_tags t ON t.entry_id = e.id WHERE e.depth = 2")
+@query("aligned", "SELECT DISTINCT e.id, '** ' || e.title || repeat(' ', greatest(2, 60 - length(e.title) - 3 - length(t.tag) - 2)) || ':' || t.tag || ':' AS line FROM entries e JOIN entry_tags t ON t.entry_id = e.id WHERE e.depth = 2")
 def _(s, spark, d):
     e = s.entries.filter("depth = 2").join(s.entry_tags, F.col("id") == F.col("entry_id"))
     return e.select("id", fn.align_right(F.concat(F.lit("** "), "title"), F.concat(F.lit(":"), "tag", F.lit(":")), 60).alias("line")).distinct()
@@ -380,7 +395,7 @@ def _(s, spark, d):
 # -- rules, vectors, loading, sinks --------------------------------------------------------------
 
 from .operators import fulltext, lint, similarity, sync, tags as tag_ops, vector_index  # noqa: E402
-from .sinks import graph, site, text  # noqa: E402
+from .sinks import graph, review, site, text  # noqa: E402
 from .sources import outline_text, stored  # noqa: E402
 from .storage import shared_path  # noqa: E402
 from .streaming import clocked  # noqa: E402
@@ -423,6 +438,24 @@ def _(s, spark, d):
     return lint.lint(s, codes=("DanglingIdLink",))
 
 
+@query(
+    "broken_links",
+    """, said AS (SELECT o_orderkey, 'nation_' || o_orderkey % 25 || '/' || o_orderkey % 400 || '.org' AS link FROM orders)
+    SELECT NULL AS file_id, 'o-' || o_orderkey AS entry_id, 'ERROR' AS severity, 'BrokenFileLink' AS code, '../' || link AS arg FROM said WHERE 'customers/' || link NOT IN (SELECT path FROM files)
+    UNION ALL SELECT id, NULL, 'ERROR', 'BrokenFileLink', 'none/' || title FROM files
+    UNION ALL SELECT NULL, 'o-' || o_orderkey, 'ERROR', 'BrokenFileLink', 'gone.txt' FROM orders WHERE o_orderkey % 10 = 3""",
+)
+def _(s, spark, d):
+    """Orders link to files of other folders, some of which exist, to the folder above, and by the property URL; files have a
+    link in their preamble."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat(F.lit("o-"), "o_orderkey").alias("entry_id"))
+    said = F.concat(F.lit("see [[https://x.example]], [[file:../nation_"), F.col("o_orderkey") % 25, F.lit("/"), F.col("o_orderkey") % 400, F.lit(".org::*x][a]] and [[file:./x//../..]]"))
+    body = o.select("entry_id", F.lit(0).alias("position"), F.lit("paragraph").alias("block_type"), said.alias("content"), F.lit(None).cast("string").alias("drawer_name"))
+    urls = o.filter("o_orderkey % 10 = 3").select("entry_id", F.lit("URL").alias("name"), F.lit("[[file:gone.txt]]").alias("value"), F.lit(2).alias("position"))
+    files = s.files.withColumn("preamble", F.concat(F.lit("#+begin_src\n[[file:no/link]]\n#+end_src\n[[file:none/"), "title", F.lit("][x]]")))
+    return lint.lint(replace(s, files=files, entry_body_blocks=body, entry_properties=s.entry_properties.unionByName(urls)), codes=("BrokenFileLink",))
+
+
 _QUERY_VECTOR = [((i * 37) % 11 - 5) / 10 for i in range(64)]
 _DISTANCE = "1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
@@ -482,6 +515,32 @@ def _(s, spark, d):
     return similarity.nearest_group(similarity.similar_pairs(_open_titles(s, spark, d), 0.65, 1000)).withColumn("distance", F.round("distance", 6))
 
 
+_GROUPS = f"""SELECT dense_rank() OVER (ORDER BY least, cluster) AS grp, least, id, distance, path AS file, keyword_value AS keyword, e.title FROM (SELECT *, min(distance) OVER (PARTITION BY cluster) AS least FROM
+    ({SQL['review_clusters'].removeprefix(testbed.SQL).replace('round(distance, 6) AS distance', 'distance', 1)})) JOIN (SELECT DISTINCT id, file_id, keyword_value, title FROM entries) e USING (id) JOIN files f ON f.id = e.file_id"""
+
+
+def _review(s, spark, d):
+    return review.groups(similarity.similar_pairs(_open_titles(s, spark, d), 0.65, 1000), s)
+
+
+@query("review_text", f"SELECT grp::INT AS grp, 'Group ' || grp || ' (distance: ' || round(least, 3) || '):' || chr(10) || string_agg('  ' || file || ':0 ' || keyword || ' ' || title, chr(10) ORDER BY id) AS line FROM ({_GROUPS}) GROUP BY grp, least")
+def _(s, spark, d):
+    return review.text(_review(s, spark, d))
+
+
+@query(
+    "review_json",
+    f"""SELECT grp::INT AS grp, '{{"group":' || grp || ',"min_distance":' || round(least, 6) || ',"entries":[' || string_agg('{{"id":"' || id || '","file":"' || file || '","title":"' || title || '","keyword":"' || keyword || '","distance":' || round(distance, 6) || '}}', ',' ORDER BY id) || ']}}' AS line FROM ({_GROUPS}) GROUP BY grp, least""",
+)
+def _(s, spark, d):
+    return review.json(_review(s, spark, d), 6)
+
+
+@query("review_csv", f"SELECT concat_ws(',', grp, file, id, keyword, title, round(distance, 6)) AS line FROM ({_GROUPS})")
+def _(s, spark, d):
+    return review.csv(_review(s, spark, d), 6)
+
+
 @query("embed_candidates", f"SELECT c.entry_id, c.hash FROM ({_COMBINED}) c JOIN (SELECT DISTINCT id, depth FROM entries) e ON e.id = c.entry_id WHERE e.depth = 3 OR (e.depth = 2 AND right(c.entry_id, 1) IN ('1', '2'))")
 def _(s, spark, d):
     """Nothing of depth 3 was embedded, and some orders have changed since."""
@@ -607,10 +666,14 @@ def _(s, spark, d):
 
 @query(
     "summary_lines",
-    """SELECT e.id, concat_ws(' ', repeat('*', e.depth), e.title, 'KEYWORD=' || e.keyword_value, 'LOG_ENTRIES=' || l.n, 'BODY_LEN=' || b.n, 'TAGS=' || t.x) AS line FROM (SELECT DISTINCT id, depth, title, keyword_value FROM entries) e
+    """SELECT e.id, concat_ws(chr(10), repeat('*', e.depth) || ' ' || e.title, ':PROPERTIES:', p.x, ':FILE: ' || f.path, ':KEYWORD: ' || e.keyword_value, ':PRIORITY: ' || e.priority, ':LOG_ENTRIES: ' || l.n, ':BODY_LEN: ' || b.n, ':TAGS: :' || t.x || ':', z.x, ':END:') AS line
+    FROM (SELECT DISTINCT id, file_id, depth, title, keyword_value, priority FROM entries) e JOIN files f ON f.id = e.file_id
+    LEFT JOIN (SELECT entry_id, string_agg(':' || name || ': ' || value, chr(10) ORDER BY position) AS x FROM entry_properties GROUP BY entry_id) p ON p.entry_id = e.id
     LEFT JOIN (SELECT entry_id, count(*) AS n FROM entry_log_entries GROUP BY entry_id) l ON l.entry_id = e.id
     LEFT JOIN (SELECT entry_id, sum(length(content)) AS n FROM entry_body_blocks GROUP BY entry_id) b ON b.entry_id = e.id
-    LEFT JOIN (SELECT entry_id, string_agg(DISTINCT tag, ':' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id""",
+    LEFT JOIN (SELECT entry_id, string_agg(DISTINCT tag, ':' ORDER BY tag) AS x FROM entry_tags GROUP BY entry_id) t ON t.entry_id = e.id
+    LEFT JOIN (SELECT entry_id, string_agg(x, chr(10) ORDER BY k, day) AS x FROM (SELECT entry_id, day, list_position(['closed', 'scheduled', 'deadline', 'active'], stamp_type) AS k,
+      ':' || upper(stamp_type) || ': ' || CASE WHEN time_kind = 'active' THEN '<' ELSE '[' END || strftime(DATE '1858-11-17' + day::INT, '%Y-%m-%d %a') || CASE WHEN time_kind = 'active' THEN '>' ELSE ']' END AS x FROM entry_stamps) GROUP BY entry_id) z ON z.entry_id = e.id""",
 )
 def _(s, spark, d):
     return text.summary(s)
@@ -666,6 +729,38 @@ def _(s, spark, d):
     return tree.body_space(s)
 
 
+@query(
+    "file_dates",
+    """SELECT 'w-' || o_orderkey AS file_id, CASE WHEN o_orderkey % 5 = 0 THEN 'Order No. ' ELSE 'order ' END || o_orderkey AS title, CASE WHEN o_orderkey % 3 = 0 THEN 's' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'order-no-' ELSE 'order-' END END || o_orderkey AS slug,
+    date_diff('day', DATE '1858-11-17', o_orderdate::DATE)::INT AS stamp, (date_diff('day', DATE '1858-11-17', o_orderdate::DATE) + CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 0 END)::INT AS created, o_orderkey % 7 = 0 AS archive FROM orders""",
+    head="",
+)
+def _(s, spark, d):
+    """Facts of files that have dates in their names, and some of them properties that say otherwise."""
+    o = spark.read.parquet(f"{d}/orders.parquet").withColumn("k", F.col("o_orderkey"))
+    key = F.concat(F.lit("w-"), "k")
+    name = F.concat(F.when(F.col("k") % 7 == 0, "archive/").otherwise("notes/"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("-order "), "k", F.lit(".org"))
+    written = F.concat(F.lit("["), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 9), "yyyy-MM-dd EEE"), F.lit("]"))
+    said = [("TITLE", 5, F.concat(F.lit("Order No. "), "k")), ("Slug", 3, F.concat(F.lit("s"), "k")), ("CREATED", 2, written)]
+    props = F.array_compact(F.array(*[F.when(F.col("k") % n == 0, F.struct(F.lit(p).alias("name"), v.alias("value"), F.lit("file").alias("source"), F.lit(n).alias("position"))) for p, n, v in said]))
+    files = o.select(key.alias("id"), name.alias("path"))
+    return tree.file_facts(replace(s, files=files, file_properties=o.select(key.alias("file_id"), F.explode(props).alias("p")).select("file_id", "p.*")))
+
+
+@query(
+    "body_edges",
+    """SELECT e.id AS entry_id, CASE WHEN k % 2 = 0 THEN repeat(chr(10), (k % 3)::INT) END AS lead, CASE WHEN k % 5 = 0 THEN '' END AS trail, k IS NULL AS empty FROM (SELECT DISTINCT id FROM entries) e LEFT JOIN (SELECT doc_id AS k FROM documents) ON id = 'c-' || k""",
+)
+def _(s, spark, d):
+    """Bodies that begin or end with blank lines, or do not."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("int").alias("k"))
+    block = lambda at, kind, content: F.struct(F.lit(at).alias("position"), F.lit(kind).alias("block_type"), content.alias("content"), F.lit(None).cast("string").alias("drawer_name"))
+    lead = F.when(F.col("k") % 2 == 0, block(0, "whitespace", F.repeat(F.lit("\n"), F.col("k") % 3)))
+    trail = F.when(F.col("k") % 5 == 0, block(2, "whitespace", F.lit("")))
+    blocks = docs.select(F.concat(F.lit("c-"), "k").alias("entry_id"), F.explode(F.array_compact(F.array(lead, block(1, "paragraph", F.lit("x")), trail))).alias("b"))
+    return tree.body_space(replace(s, entry_body_blocks=blocks.select("entry_id", "b.*")))
+
+
 @query("instants", "SELECT entry_id, stamp_type, strftime(TIMESTAMP '1858-11-17' + to_days(day::INT) + to_minutes((day * 7) % 1440), '%Y-%m-%d %H:%M') AS at, day, (day * 7) % 1440 AS minute FROM entry_stamps WHERE stamp_type IN ('scheduled', 'deadline', 'closed')")
 def _(s, spark, d):
     ts = fn.instant(F.col("day"), (F.col("day") * 7) % 1440)
@@ -824,6 +919,43 @@ def _(s, spark, d):
     return site.sitemap(_published(spark, d).withColumn("route", F.concat("id", F.lit("/"))), "https://site.example/")
 
 
+_SITE = site.Site("https://site.example", "Notes & such", "What was said", "A. Author", "a@site.example")
+
+
+def _told(spark, d):
+    """The published posts with a title, a route and a teaser: what is said first, with marks that XML has to escape."""
+    first = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.min_by("text", "turn").alias("said"))
+    p = _published(spark, d).join(first, F.col("id") == F.col("conv_id"))
+    return p.select("id", "date", F.concat(F.lit("Talk <"), "id", F.lit(">")).alias("title"), F.concat(F.lit("/"), "id", F.lit("/")).alias("route"), F.concat(F.lit('"'), F.coalesce("said", F.lit("")), F.lit("' & c")).alias("teaser"))
+
+
+_NEWEST = r""", top AS (SELECT p.id, date, row_number() OVER (ORDER BY date DESC, p.id) AS place, '&quot;' || replace(replace(replace(replace(replace(coalesce(said, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') || '&#39; &amp; c' AS said
+    FROM pub p JOIN (SELECT conv_id, arg_min(text, turn) AS said FROM conversations GROUP BY conv_id) ON conv_id = p.id ORDER BY place LIMIT 10)
+"""
+
+
+@query(
+    "atom_feed",
+    _NEWEST
+    + """SELECT 0 AS place, '<?xml version="1.0" encoding="utf-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Notes &amp; such</title><link href="https://site.example/atom.xml" rel="self" /><link href="https://site.example" /><id>https://site.example/atom.xml</id><author><name>A. Author</name><email>a@site.example</email></author><updated>' || strftime(max(date), '%Y-%m-%dT00:00:00Z') || '</updated>' AS line FROM top
+    UNION ALL SELECT place, '<entry><title>Talk &lt;' || id || '&gt;</title><link href="https://site.example/' || id || '/" /><id>https://site.example/' || id || '/</id><published>' || strftime(date, '%Y-%m-%dT00:00:00Z') || '</published><updated>' || strftime(date, '%Y-%m-%dT00:00:00Z') || '</updated><summary type="html">' || said || '</summary></entry>' FROM top UNION ALL SELECT 11, '</feed>'""",
+    head=_POSTS_SQL.rstrip(),
+)
+def _(s, spark, d):
+    return site.atom(_told(spark, d), _SITE)
+
+
+@query(
+    "rss_feed",
+    _NEWEST
+    + """SELECT 0 AS place, '<?xml version="1.0" encoding="utf-8"?><rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>Notes &amp; such</title><link>https://site.example</link><description>What was said</description><atom:link href="https://site.example/rss.xml" rel="self" type="application/rss+xml" /><lastBuildDate>' || strftime(max(date), '%a, %d %b %Y 00:00:00 UT') || '</lastBuildDate>' AS line FROM top
+    UNION ALL SELECT place, '<item><title>Talk &lt;' || id || '&gt;</title><link>https://site.example/' || id || '/</link><description>' || said || '</description><pubDate>' || strftime(date, '%a, %d %b %Y 00:00:00 UT') || '</pubDate><guid>https://site.example/' || id || '/</guid></item>' FROM top UNION ALL SELECT 11, '</channel></rss>'""",
+    head=_POSTS_SQL.rstrip(),
+)
+def _(s, spark, d):
+    return site.rss(_told(spark, d), _SITE)
+
+
 @query(
     "stream_sessions",
     """WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS new FROM events), y AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x),

@@ -106,33 +106,34 @@ def with_blocks(spark: SparkSession, sf_dir: str) -> Store:
     scored = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     scored = scored.join(s.entries.select("id"), k("c") == F.col("id"), "left_semi")
     text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
-    block = lambda of, at, kind, content: F.struct(of.alias("entry_id"), F.lit(at).alias("position"), F.lit(kind).alias("block_type"), content.alias("content"))
+    block = lambda of, at, kind, content, name=None: F.struct(of.alias("entry_id"), F.lit(at).alias("position"), F.lit(kind).alias("block_type"), content.alias("content"), F.lit(name).cast("string").alias("drawer_name"))
     blocks = [
-        block(k("c"), 1_000_000, "drawer", text("#+begin_src text\n* no heading ", F.col("doc_id"), "\n:PROPERTIES:\n:ID: none\n*************** no task\n#+end_src")),
+        block(k("c"), 1_000_000, "drawer", text("#+begin_src text\n* no heading ", F.col("doc_id"), "\n:PROPERTIES:\n:ID: none\n*************** no task\n#+end_src"), "#+begin_src text"),
         block(k("c"), 1_000_001, "inline_task", k("i")),
         block(k("c"), 1_000_002, "paragraph", text("after the task ", F.col("doc_id"))),
-        block(k("c"), 1_000_003, "drawer", text(":SCORES:\n** quality ", F.col("quality"), "\n:END:")),
+        block(k("c"), 1_000_003, "drawer", text(":SCORES:\n** quality ", F.col("quality"), "\n:END:"), "SCORES"),
         block(k("c"), 1_000_004, "paragraph", F.lit("#+begin_src without an end")),
         block(k("i"), 0, "paragraph", text("within the task ", F.col("doc_id"))),
     ]
     more = scored.select(F.explode(F.array(*blocks)).alias("b")).select("b.*")
     tasks = scored.select(k("i").alias("id"), k("f").alias("file_id"), k("c").alias("parent_id"), F.lit(15).alias("depth"), F.lit(-1).alias("position"), F.lit("open").alias("keyword_type"), F.lit("TODO").alias("keyword_value"), text("Task ", F.col("doc_id")).alias("title"), F.array(k("c"), k("i")).alias("path"))
-    tasks = _shape(tasks.withColumn("headline", F.col("title")), "entries")
+    verb = F.when(F.col("title").endswith("7"), "Call")
+    tasks = _shape(tasks.withColumns({"verb": verb, "headline": F.concat_ws(": ", verb, "title")}), "entries")
     return replace(s, entries=s.entries.unionByName(tasks), entry_body_blocks=s.entry_body_blocks.unionByName(_shape(more, "entry_body_blocks")))
 
 
 #: Of ``with_blocks``, to be put after ``SQL``.
 BLOCKS_SQL = """
 , scored AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE 'c-' || doc_id IN (SELECT 'c-' || c_custkey FROM cust) GROUP BY doc_id),
-entries2 AS (SELECT id, depth, parent_id, keyword_value, priority, title FROM entries
-  UNION ALL SELECT 'i-' || doc_id, 15, 'c-' || doc_id, 'TODO', NULL, 'Task ' || doc_id FROM scored),
-blocks2 AS (SELECT entry_id, position, content FROM entry_body_blocks
-  UNION ALL SELECT 'c-' || doc_id, 1000000, concat_ws(chr(10), '#+begin_src text', '* no heading ' || doc_id, ':PROPERTIES:', ':ID: none', '*************** no task', '#+end_src') FROM scored
-  UNION ALL SELECT 'c-' || doc_id, 1000001, 'i-' || doc_id FROM scored
-  UNION ALL SELECT 'c-' || doc_id, 1000002, 'after the task ' || doc_id FROM scored
-  UNION ALL SELECT 'c-' || doc_id, 1000003, concat_ws(chr(10), ':SCORES:', '** quality ' || quality, ':END:') FROM scored
-  UNION ALL SELECT 'c-' || doc_id, 1000004, '#+begin_src without an end' FROM scored
-  UNION ALL SELECT 'i-' || doc_id, 0, 'within the task ' || doc_id FROM scored)
+entries2 AS (SELECT id, depth, parent_id, keyword_value, priority, title, NULL AS verb FROM entries
+  UNION ALL SELECT 'i-' || doc_id, 15, 'c-' || doc_id, 'TODO', NULL, 'Task ' || doc_id, CASE WHEN doc_id % 10 = 7 THEN 'Call' END FROM scored),
+blocks2 AS (SELECT entry_id, position, content, NULL AS drawer_name FROM entry_body_blocks
+  UNION ALL SELECT 'c-' || doc_id, 1000000, concat_ws(chr(10), '#+begin_src text', '* no heading ' || doc_id, ':PROPERTIES:', ':ID: none', '*************** no task', '#+end_src'), '#+begin_src text' FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000001, 'i-' || doc_id, NULL FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000002, 'after the task ' || doc_id, NULL FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000003, concat_ws(chr(10), ':SCORES:', '** quality ' || quality, ':END:'), 'SCORES' FROM scored
+  UNION ALL SELECT 'c-' || doc_id, 1000004, '#+begin_src without an end', NULL FROM scored
+  UNION ALL SELECT 'i-' || doc_id, 0, 'within the task ' || doc_id, NULL FROM scored)
 """
 
 #: The same tables in DuckDB, as the head of a WITH query.
