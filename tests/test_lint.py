@@ -1,0 +1,195 @@
+"""Every rule has a file that breaks it, and there is one that breaks none; paths are resolved from the file that names them."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from treeline.functions import scalars as fn
+from treeline.model import Config
+from treeline.operators import lint
+from treeline.sources import inventory, outline_text
+
+CONFIG = Config(open_keywords=("TODO", "WAIT", "TASK", "LINK"), attachments="data")
+AT = "[2024-01-02 Tue 10:00]"
+
+
+CLEAN = """:PROPERTIES:
+:ID:       clean
+:CREATED:  [2024-01-01 Mon]
+:END:
+#+filetags: :todo:
+#+title: Clean
+* TODO A task  :x:
+SCHEDULED: <2024-01-02 Tue>
+:PROPERTIES:
+:ID:       c1
+:CREATED:  [2024-01-01 Mon]
+:END:
+- State "TODO"       from "WAIT"       [2024-01-04 Thu 10:00]
+- State "WAIT"       from "TODO"       [2024-01-03 Wed 10:00]
+see [[id:c1][itself]] and [[file:sub/../20240101-clean.org::*A task]]
+"""
+
+#: Code, name of the file, text.
+BROKEN = [
+    ("FileTitleMissing", "1.org", "* x\n"),
+    ("FileIdMissing", "2.org", "* x\n"),
+    ("FileSlugMismatch", "20240101-other.org", "#+title: Name\n"),
+    ("TitleNotLastProperty", "3.org", "#+title: 3\n#+other: y\n"),
+    ("DuplicateFileProperty", "4.org", "#+a: 1\n#+A: 2\n"),
+    ("DuplicateIdentifier", "5.org", "* a\n:PROPERTIES:\n:ID: twice\n:END:\n* b\n:PROPERTIES:\n:ID: twice\n:END:\n"),
+    ("TodoMismatch", "6.org", "#+filetags: :todo:\n* DONE x\n"),
+    ("TagNotAllowed", "7.org", "#+tags_all: a b\n* x  :c:\n"),
+    ("VerbNotAllowed", "8.org", "#+verb_all: Call\n* Read: x\n"),
+    ("BrokenFileLink", "9.org", "* x\nsee [[file:gone.org]]\n"),
+    ("DanglingIdLink", "10.org", "* x\nsee [[id:gone]]\n"),
+    ("TodoMissingCreated", "11.org", "* TODO x\n"),
+    ("TodoMissingId", "12.org", "* TODO x\n"),
+    ("AttachmentsWithoutTag", "13.org", "* x\n:PROPERTIES:\n:Attachments: a.txt\n:END:\n"),
+    ("AttachmentsMissing", "14.org", "* x  :FILE:\n:PROPERTIES:\n:ID: abcdef\n:END:\n"),
+    ("WhitespaceAtStartOfNote", "15.org", f"* x\n- Note taken on {AT} \\\\\n\n  text\n"),
+    ("TaskWithoutTags", "16.org", "* TASK x\n"),
+    ("LinkWithoutUrl", "17.org", "* LINK x\n"),
+    ("LinkTagRedundant", "18.org", "* LINK x  :LINK:\n"),
+    ("CategoryTooLong", "19.org", "* x\n:PROPERTIES:\n:CATEGORY: eleven-long\n:END:\n"),
+    ("TitleDoubleSpace", "20.org", "* a  b\n"),
+    ("DuplicateTag", "21.org", "* x  :a:a:\n"),
+    ("DuplicateProperty", "22.org", "* x\n:PROPERTIES:\n:a: 1\n:A: 2\n:END:\n"),
+    ("MisplacedDrawer", "23.org", "* x\nbody\n:PROPERTIES:\n"),
+    ("MisplacedDrawerEnd", "24.org", "* x\nbody\n:END:\n"),
+    ("MisplacedPlanning", "25.org", "* x\nbody\nSCHEDULED: <2024-01-02 Tue>\n"),
+    ("MisplacedLogEntry", "26.org", f'* x\nbody\n- State "DONE"       from "TODO"       {AT}\n'),
+    ("StateChangeTimeOrder", "27.org", '* DONE x\n- State "DONE"       from "WAIT"       [2024-01-01 Mon 10:00]\n- State "WAIT"       from "TODO"       [2024-01-02 Tue 10:00]\n'),
+    ("StateChangeFirst", "28.org", f'* DONE x\n- State "DONE"       from "WAIT"       {AT}\n'),
+    ("StateChangeIntermediate", "29.org", '* DONE x\n- State "DONE"       from "TODO"       [2024-01-03 Wed 10:00]\n- State "WAIT"       from "TODO"       [2024-01-02 Tue 10:00]\n'),
+    ("StateChangeIdempotent", "30.org", f'* TODO x\n- State "TODO"       from "TODO"       {AT}\n'),
+    ("StateChangeNotAllowed", "31.org", f'* TASK x\n- State "TASK"       from "TODO"       {AT}\n'),
+    ("StateChangeLast", "32.org", f'* TODO x\n- State "DONE"       from "TODO"       {AT}\n'),
+    ("StampOnPlainEntry", "33.org", "* x\nSCHEDULED: <2024-01-02 Tue>\n"),
+    ("ReviewOnPlainEntry", "34.org", "* x\n:PROPERTIES:\n:LAST_REVIEW: [2024-01-02 Tue]\n:END:\n"),
+    ("MultipleBlankLines", "35.org", "* x\na\n\n\n\nb\n"),
+    ("LeadingSpace", "36.org", "* x\n\nbody\n"),
+    ("WhitespaceOnlyBody", "37.org", "* TODO x\n\n* y\n"),
+    ("MultipleLogbooks", "38.org", f"* x\n:LOGBOOK:\nCLOCK: {AT}\n:END:\n:LOGBOOK:\nCLOCK: {AT}\n:END:\n"),
+    ("MixedLogbook", "39.org", f"* x\n:LOGBOOK:\nCLOCK: {AT}\n:END:\n- Note taken on {AT}\n"),
+    ("ZeroLocation", "40.org", "* x\n:PROPERTIES:\n:LOCATION: 0.0,0.0\n:END:\n"),
+    ("DrawerCase", "41.org", "* x\nbody\n:scores:\n1\n:end:\n"),
+    ("FileCreatedMissing", "42.org", "* x\n"),
+    ("CreationTimeMismatch", "20240101-43.org", "#+created: [2024-01-02 Tue]\n#+title: 43\n"),
+    ("ReviewOnFile", "44.org", "#+effort: 1:00\n"),
+    ("ArchiveMissing", "45.org", "#+archive: gone.org::\n"),
+    ("AudioMissing", "46.org", "#+audio: gone.mp3\n"),
+    ("HashMismatch", "47.org", "* x\n:PROPERTIES:\n:HASH_sha512: 0\n:END:\n"),
+    ("InconsistentWhitespace", "48.org", "* a\n\nbody\n* b\nbody\n"),
+    ("InconsistentLogSpace", "49.org", f"* x\n- Note taken on {AT} \\\\\n  a\n\n- Note taken on {AT} \\\\\n  b\nbody\n"),
+    ("EmptyBodySpace", "50.org", f"* x\n- Note taken on {AT} \\\\\n  a\n\nCLOCK: {AT}\n"),
+    ("InconsistentBodySpace", "51.org", "* x\n\nbody\n* y\nbody\n"),
+]
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """file -> messages."""
+    rows = [("20240101-clean.org", CLEAN), *[(name, text) for _, name, text in BROKEN]]
+    s = outline_text.parse(spark.createDataFrame(rows, "path string, content string"), CONFIG).store
+    path = {r.id: r.path for r in s.files.collect()}
+    owner = {r.id: path[r.file_id] for r in s.entries.collect()}
+    out = {}
+    for r in lint.lint(s, CONFIG).collect():
+        out.setdefault(path[r.file_id] if r.file_id else owner[r.entry_id], []).append((r.code, r.arg))
+    return out
+
+
+def test_every_rule_has_a_file_that_breaks_it():
+    assert {code for code, _, _ in BROKEN} == set(lint.RULES)
+
+
+def test_files_break_their_rules(found):
+    silent = [(code, found.get(name)) for code, name, _ in BROKEN if code not in {c for c, _ in found.get(name, [])}]
+    assert silent == []
+
+
+def test_a_clean_file_breaks_none(found):
+    assert found.get("20240101-clean.org") is None
+
+
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a/..", ".."), ("../../a", "../../a"), ("/a/../../b", "/b"), ("file:///a/b/", "file:/a/b"), ("file:/a/../b", "file:/b"),
+        ("s3a://bucket/a/./b", "s3a:/bucket/a/b"), ("", ""), (".", ""), ("/", "/"), (None, None),
+    ],
+)
+def test_normal_paths(spark, given, want):
+    assert spark.createDataFrame([(given,)], "p string").select(inventory.normal(F.col("p"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "link,file,want",
+    [
+        ("b.org", "d/a.org", "d/b.org"), ("../b.org", "d/a.org", "b.org"), ("b.org", "a.org", "b.org"), ("~/b", "d/a.org", "/home/u/b"), ("/x/b", "file:/d/a.org", "file:/x/b"),
+        ("~/b", "file:/d/a.org", "file:/home/u/b"), ("file:/x/b", "d/a.org", "file:/x/b"), ("./e é/b", "file:/d/a.org", "file:/d/e é/b"), (None, "a.org", None),
+    ],
+)
+def test_links_lead_from_their_file(spark, link, file, want):
+    df = spark.createDataFrame([(link, file)], "l string, f string")
+    assert df.select(inventory.resolve(F.col("l"), F.col("f"), "/home/u")).first()[0] == want
+
+
+def test_listing_of_folders(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/x.bin").write_bytes(b"\0")
+    (tmp_path / "y.org").write_text("* y\n")
+    got = {(r.path, r.is_folder) for r in inventory.listing(spark, str(tmp_path)).collect()}
+    root = f"file:{tmp_path}"
+    assert {(f"{root}/a/b/x.bin", False), (f"{root}/y.org", False), (root, True), (f"{root}/a", True), (f"{root}/a/b", True)} <= got
+    assert inventory.known(spark.createDataFrame([], "path string")).count() == 0
+
+
+def test_paths_against_a_listing(spark, tmp_path):
+    (tmp_path / "data/ab/cdef").mkdir(parents=True)
+    (tmp_path / "data/ab/cdef/f.txt").write_text("x")
+    (tmp_path / "home").mkdir()
+    (tmp_path / "home/s.mp3").write_bytes(b"x")
+    text = """[[file:data]] [[file:data/none]]
+#+begin_src
+[[file:not/looked/at]]
+#+end_src
+* x  :FILE:
+:PROPERTIES:
+:ID: abcdef
+:AUDIO: ~/s.mp3
+:URL: [[file:home/none][x]]
+:NOTER_DOCUMENT: none.pdf
+:END:
+see [[file:home/s.mp3::3]] [[file:~/none]]
+* y  :FILE:
+:PROPERTIES:
+:ID: abcdeg
+:NOTER_DOCUMENT: x-devonthink-item://1
+:AUDIO: data
+:END:
+"""
+    (tmp_path / "a.org").write_text(text)
+    (tmp_path / "b.org").write_text("#+ignore_links: t\n* z\n[[file:gone]]\n")
+    s = outline_text.parse(outline_text.read_files(spark, f"{tmp_path}/*.org")).store
+    c = Config(attachments="data", home=str(tmp_path / "home"), paths=inventory.listing(spark, str(tmp_path)))
+    got = {(r.entry_id, r.code, r.arg) for r in lint.lint(s, c, codes=("BrokenFileLink", "AttachmentsMissing", "AudioMissing")).collect()}
+    assert got == {
+        (None, "BrokenFileLink", "data/none"), ("abcdef", "BrokenFileLink", "home/none"), ("abcdef", "BrokenFileLink", "none.pdf"), ("abcdef", "BrokenFileLink", "~/none"),
+        ("abcdeg", "AttachmentsMissing", "data/ab/cdeg"), ("abcdeg", "AudioMissing", "data"),
+    }
+    # nothing is looked for in a folder of attachments that isn't named
+    assert lint.lint(s, Config(paths=c.paths), codes=("AttachmentsMissing",)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "left,want",
+    [("* ab", 4), ("* =ab=", 4), ("* [[https://x.example/long][name]] b", 8), ("* [[a][b]] [[cc][d]]", 13), ("* [[plain]]", 11), ("", 0)],
+)
+def test_width_of_headlines(spark, left, want):
+    """What brackets, targets and marks take isn't seen; of several links that holds for the first."""
+    df = spark.createDataFrame([(left,)], "l string")
+    assert df.select(fn.display_width(F.col("l"))).first()[0] == want
+    line = df.select(fn.align_right(F.col("l"), F.lit(":t:"), 20)).first()[0]
+    assert line == left + " " * max(2, 20 - want - 3) + ":t:"
+    assert df.select(fn.align_right(F.col("l"), F.lit(":t:"), 1)).first()[0] == left + "  :t:"

@@ -301,7 +301,6 @@ def test_blocks_and_inline_tasks(spark, size, monkeypatch):
         ("one", 3, "paragraph", "after it\n*************** no END\n#+begin_quote without an end\n:drawer: not one\n  :OPEN:", None),
         ("task", 0, "paragraph", "in it", None),
         ("two", 0, "paragraph", "é #+begin_src\n**************** sixteen\n*************** END", None),
-        ("two", 1, "whitespace", "", None),
     ]
     assert [tuple(r) for r in p.store.entry_tags.collect()] == [("task", "t")] and p.store.entry_stamps.count() == 1
     if size:

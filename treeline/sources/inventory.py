@@ -42,6 +42,7 @@ def known(paths: DataFrame) -> DataFrame:
 
 def listing(spark: SparkSession, *folders: str) -> DataFrame:
     """``path, is_folder`` of what lies below the folders, at any depth, whatever its extension. Only names are read, no
-    content. A folder without any file below it isn't seen."""
+    content. Files of no octets, and folders without any other file below them, aren't seen (Spark lists neither): where they
+    matter, bring paths as a table."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
     return known(raw.select("path"))
