@@ -61,3 +61,26 @@ def test_nearest_pairs(spark, monkeypatch, kind, threshold, limit, block):
     want = sorted((d[a, b], a, b) for a in range(400) for b in range(a + 1, 400) if a % 7 != b % 7 and d[a, b] < threshold)[:limit]
     assert got == [(a, b) for _, a, b in want]
     assert similarity.similar_pairs(spark.createDataFrame(rows[:1], "id long, grp int, v array<double>"), threshold, limit).count() == 0
+
+
+def test_nearest_pairs_of_many_small_shares(spark, monkeypatch):
+    """Shares, blocks and measured slices of a few rows, with copies; components that are null or not finite."""
+    for name, size in (("SHARE_ROWS", 50), ("CELL_ROWS", 20), ("MEASURED", 7)):
+        monkeypatch.setattr(similarity, name, size)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((240, 6)).astype(np.float32)
+    x[100:140] = x[5]
+    odd = [[None, 1.0] * 3, [float("nan"), 1.0] * 3, [float("inf"), 1.0] * 3]
+    rows = [(f"e{i}", None if i == 9 else i % 3, v.tolist()) for i, v in enumerate(x)] + [(f"x{i}", 8 + i, v) for i, v in enumerate(odd)]
+    for limit in (60, 100_000):
+        got = similarity.similar_pairs(spark.createDataFrame(rows, "id string, grp int, v array<float>"), 0.4, limit)
+        x64, d = x.astype(np.float64), {}
+        norm = np.sqrt((x64 * x64).sum(1))
+        for a in range(240):
+            for b in range(240):
+                if f"e{a}" < f"e{b}" and 9 not in (a, b) and a % 3 != b % 3:
+                    d[f"e{a}", f"e{b}"] = round(1 - float(x64[a] @ x64[b]) / (norm[a] * norm[b]), 9)
+        found = [((r.a, r.b), round(r.distance, 9)) for r in got.collect()]
+        want = sorted((v, *k) for k, v in d.items() if v < 0.4)
+        assert all(d[k] == v for k, v in found) and len({k for k, _ in found}) == len(found)
+        assert [v for _, v in found] == [v for v, _, _ in want[:limit]]
