@@ -34,3 +34,23 @@ def test_search(spark, tmp_path):
         assert found("77") == [("f", 0.4), ("g", 0.4)] and found("\u00dcber") == [("g", 0.4)]
         assert [i for i, _ in found("ORDERED", 2)] == ["f", "a"]
         assert found("the of") == found("") == found("order nothing") == []
+
+
+def test_frequent_words_and_files_of_like_size(spark, tmp_path, monkeypatch):
+    """Words above and below ``FREQUENT``; a stem that all entries have isn't one task's, nor one folder's share of a fixed number."""
+    monkeypatch.setattr(fulltext, "FREQUENT", 5)
+    s = entries(spark, [("x", None, 1, 0, "x")])
+    many = spark.range(4000).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("Orders "), "id", F.when(F.col("id") < 3, " rarely").otherwise("")).alias("title"))
+    e = s.entries.limit(0).drop("id", "title").join(many, F.lit(False), "right").select(s.entries.columns)
+    postings = fulltext.index(type(s)(**{**vars(s), "entries": e}))
+    count = lambda w: {r.entry_id for r in fulltext.search(postings, w).collect()}
+    assert len(count("ordering")) == 4000 and count("rarely order") == {"e0", "e1", "e2"} and count("order 3999") == {"e3999"}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        fulltext.write_index(postings.filter("stem = 'order'"), f"file://{tmp_path}/i")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = [r["count"] for r in spark.read.parquet(f"file://{tmp_path}/i").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 500
