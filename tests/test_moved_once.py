@@ -41,6 +41,9 @@ def test_exchanges(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        assert shuffles(tree.any_property(s, "TITLE")) <= 2
         assert shuffles(tree.breadcrumbs(s)) <= 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.id, r.value) for r in tree.any_property(s, "PRIORITY").collect()) == []
+    assert sorted((r.id, r.value) for r in tree.any_property(s, "TITLE").collect()) == [("a", "A"), ("b", "B"), ("c", "C"), ("c", "D"), ("y", "Y"), ("z", "Z")]
