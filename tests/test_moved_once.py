@@ -3,7 +3,7 @@
 from dataclasses import replace
 
 from tests.test_outline import entries
-from treeline.operators import tree
+from treeline.operators import stats, tree
 from treeline.sinks import text
 
 ROWS = [("a", None, 1, 0, "A"), ("b", "a", 2, 0, "B"), ("c", "b", 3, 0, "C"), ("c", "b", 3, 0, "C"), ("c", "b", 3, 1, "D"), ("z", None, 1, 1, "Z"), ("y", "z", 2, 0, "Y")]
@@ -34,6 +34,7 @@ def test_breadcrumbs_of_some_entries(spark):
     one = spark.createDataFrame([("x", ["p", "x"]), ("x", ["q", "x"]), ("x", ["q", "x"])], "id string, path array<string>")
     e = twice.entries.unionByName(one, allowMissingColumns=True)
     assert [r.breadcrumb for r in tree.breadcrumbs(replace(twice, entries=e)).collect()] == ["T > T"]
+    assert [r.text.strip() for r in stats.combined_text(replace(twice, entries=e)).filter("entry_id = 'x'").collect()] == ["T > T"]
 
 
 def test_exchanges(spark):
@@ -42,8 +43,10 @@ def test_exchanges(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert shuffles(tree.any_property(s, "TITLE")) <= 2
+        assert shuffles(stats.combined_text(s)) <= 3
         assert shuffles(tree.breadcrumbs(s)) <= 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((r.id, r.value) for r in tree.any_property(s, "PRIORITY").collect()) == []
     assert sorted((r.id, r.value) for r in tree.any_property(s, "TITLE").collect()) == [("a", "A"), ("b", "B"), ("c", "C"), ("c", "D"), ("y", "Y"), ("z", "Z")]
+    assert sorted((r.entry_id, r.text) for r in stats.combined_text(s).filter("entry_id in ('c', 'y')").collect()) == [("c", "A > B\nC D"), ("y", "Z\nY")]
