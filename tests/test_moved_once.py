@@ -50,3 +50,14 @@ def test_exchanges(spark):
     assert sorted((r.id, r.value) for r in tree.any_property(s, "PRIORITY").collect()) == []
     assert sorted((r.id, r.value) for r in tree.any_property(s, "TITLE").collect()) == [("a", "A"), ("b", "B"), ("c", "C"), ("c", "D"), ("y", "Y"), ("z", "Z")]
     assert sorted((r.entry_id, r.text) for r in stats.combined_text(s).filter("entry_id in ('c', 'y')").collect()) == [("c", "A > B\nC D"), ("y", "Z\nY")]
+
+
+def test_preorder_moves_entries_once(spark):
+    s = plain(spark)
+    assert shuffles(tree.preorder(s.entries)) == 1
+    want = {("a", 0), ("b", 1), ("c", 2), ("z", 3), ("y", 4)}
+    assert {(r.id, r.preorder) for r in tree.preorder(s.entries).collect()} == want
+    # a step that isn't in the file is passed over, also at the end of a path that lacks the entry itself
+    odd = spark.createDataFrame([("p", ["gone", "p"], 3), ("q", ["p"], 1), ("r", ["gone"], 0), ("t", None, 0), ("v", ["q", "v"], None)], "id string, path array<string>, position int")
+    got = tree.preorder(odd.selectExpr("'f' AS file_id", "*")).collect()
+    assert {(r.id, r.preorder) for r in got} == {("v", 0), ("p", 1), ("q", 2)}
