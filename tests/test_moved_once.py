@@ -61,3 +61,11 @@ def test_preorder_moves_entries_once(spark):
     odd = spark.createDataFrame([("p", ["gone", "p"], 3), ("q", ["p"], 1), ("r", ["gone"], 0), ("t", None, 0), ("v", ["q", "v"], None)], "id string, path array<string>, position int")
     got = tree.preorder(odd.selectExpr("'f' AS file_id", "*")).collect()
     assert {(r.id, r.preorder) for r in got} == {("v", 0), ("p", 1), ("q", 2)}
+
+
+def test_printed_entries_are_moved_once_by_file(spark):
+    s = plain(spark)
+    assert text.entry_rows(s)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(file_id") == 1
+    got = text.entry_rows(s).filter("file_id is not null").orderBy("file_id", "key").collect()
+    heads = [r.text.split("\n")[0] for r in got if not r.text.startswith(("* Z", "** Y"))]
+    assert heads == ["* A", "** B", "*** C", "*** C", "*** D"]
