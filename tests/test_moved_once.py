@@ -69,3 +69,20 @@ def test_printed_entries_are_moved_once_by_file(spark):
     got = text.entry_rows(s).filter("file_id is not null").orderBy("file_id", "key").collect()
     heads = [r.text.split("\n")[0] for r in got if not r.text.startswith(("* Z", "** Y"))]
     assert heads == ["* A", "** B", "*** C", "*** C", "*** D"]
+
+
+def test_nothing_is_told_apart_before_it_is_moved(spark):
+    """An aggregation of ids below an exchange would hold those of a whole split of the input."""
+    from treeline.operators import lint
+    from treeline.sinks import graph
+    from treeline.sources import testbed
+
+    s = testbed.store(spark, "/root/testdata/sf0.001")
+    for df in (graph.relations(s), lint.lint(s, codes=("TodoMissingId",)), lint.lint(s, codes=("DuplicateIdentifier",)), lint.lint(s, codes=("DuplicateTag",))):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        below = [b for a, b in zip(plan, plan[1:]) if "Exchange hashpartitioning" in a]
+        assert below and not [x for x in below if "HashAggregate" in x]
+    orphan = plain(spark, ROWS)
+    lost = spark.createDataFrame([("gone", 0, "id", "a", None), ("b", 0, "id", "A", None), ("b", 1, "id", "a", None)], "entry_id string, position int, link_type string, target string, description string")
+    got = graph.edges(replace(orphan, entry_links=lost))
+    assert sorted((r.source, r.target) for r in got.collect()) == [("a", "b"), ("b", "a"), ("b", "c"), ("z", "y")]
