@@ -86,3 +86,31 @@ def test_nothing_is_told_apart_before_it_is_moved(spark):
     lost = spark.createDataFrame([("gone", 0, "id", "a", None), ("b", 0, "id", "A", None), ("b", 1, "id", "a", None)], "entry_id string, position int, link_type string, target string, description string")
     got = graph.edges(replace(orphan, entry_links=lost))
     assert sorted((r.source, r.target) for r in got.collect()) == [("a", "b"), ("b", "a"), ("b", "c"), ("z", "y")]
+
+
+def test_files_are_parsed_where_their_lines_were_moved(spark):
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+    from treeline.sources import lines, outline_text
+
+    f = spark.createDataFrame([("a", "* A\n:PROPERTIES:\n:ID: a\n:END:\nx\n** B\ny"), ("b", "z\n* C\n")], "path string, content string")
+    pieces = lines.file_pieces(f)
+    x = lines.number(pieces, F.transform("lines", outline_text.note_shape), True)
+    assert shuffles(x.withColumn("k", F.row_number().over(W.partitionBy("path", "owner").orderBy("n")))) == 1
+    only = lines.number(pieces, F.transform("lines", outline_text.note_shape), True, f.select("path").filter("path = 'b'"))
+    assert sorted((r.n, r.line, r.owner, r.offset) for r in only.collect()) == [(0, "z", -1, 0), (1, "* C", 1, 2)]
+    assert dict(x.dtypes) == dict(lines.number(pieces, F.transform("lines", outline_text.note_shape), False).dtypes)
+
+
+def test_logs_are_moved_with_their_notes(spark):
+    s = plain(spark)
+    log = [("l0", "a", 0, "note", "inactive", 51000), ("l1", "a", 1, "note", "inactive", 51001), ("l2", "b", 0, "note", "inactive", 51002)]
+    notes = [("l1", "a", 0, 1, "paragraph", "more"), ("l1", "a", 0, 0, "paragraph", "said\n- State \"X\""), ("l2", "b", 0, 0, "paragraph", None)]
+    log = spark.createDataFrame(log, "id string, entry_id string, position int, log_type string, time_kind string, time_day int")
+    notes = spark.createDataFrame(notes, "log_id string, entry_id string, log_position int, position int, block_type string, content string")
+    empty = s.entry_log_entries.limit(0)
+    s = replace(s, entry_log_entries=empty.unionByName(log, allowMissingColumns=True), entry_log_bodies=notes)
+    got = text.log_texts(s)
+    assert shuffles(got) == 1
+    assert {r.id: r.logs.replace("[1998-0", "").count("\n") for r in got.collect()} == {"a": 4, "b": 1}
+    assert [r.logs.split("\n")[2:] for r in got.filter("id = 'a'").collect()] == [["  said", '  ,- State "X"', "  more"]]
