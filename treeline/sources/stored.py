@@ -22,6 +22,7 @@ from ..model import SCHEMAS, Config, Store
 from ..operators import sync
 from ..storage import materialize
 from . import outline_text
+from .lines import file_pieces
 
 FILES = "path string, mod_time timestamp, hash string, part string"
 LEDGER = "stream string, batch long, processed long, updated long, skipped long, deleted long, conflicts long"
@@ -95,19 +96,24 @@ class FileStore:
         ledger = self.ledger()
         if batch and (seen := ledger.filter((F.col("stream") == batch[0]) & (F.col("batch") == batch[1])).first()):
             return {c: seen[c] for c in COUNTS}
-        newest = files.groupBy("path").agg(F.max_by(F.struct("content", "mod_time", "hash"), F.struct("mod_time", "hash")).alias("f")).select("path", "f.*")
-        newest = materialize(newest, "stored-new")
+        newest = materialize(files.select("path", "content", "mod_time", "hash"), "stored-new")
+        # Texts are moved for this only if a path is given twice.
+        if not newest.groupBy("path").count().filter("count > 1").isEmpty():
+            newest = newest.groupBy("path").agg(F.max_by(F.struct("content", "mod_time", "hash"), F.struct("mod_time", "hash")).alias("f")).select("path", "f.*")
+            newest = materialize(newest, "stored-newest")
         live = self.files()
-        told = sync.classify_files(newest, live).filter("action <> 'delete'")
+        told = sync.classify_files(newest.select("path", "mod_time", "hash"), live).filter("action <> 'delete'")
         if listed is not None:
             gone = live.select("path").join(listed.select("path").union(newest.select("path")).distinct(), "path", "left_anti")
             told = told.unionByName(gone.withColumn("action", F.lit("delete")))
         told = materialize(told, "stored-actions")
         report = sync.report(told).first().asDict()
         part = uuid.uuid4().hex
-        fresh = newest.join(told.filter("action in ('insert', 'update')").select("path"), "path", "left_semi")
+        taken = told.filter("action in ('insert', 'update')").select("path")
+        fresh = newest.join(taken, "path", "left_semi")
         if report["updated"]:
-            self._write(outline_text.parse(fresh, self.config).store, part)
+            pieces = file_pieces(newest)
+            self._write(outline_text.parse_pieces(pieces, fresh.filter("content is not null"), self.config, pieces.filter("piece > 0").isEmpty(), taken).store, part)
         kept = live.join(told.filter("action in ('update', 'delete')").select("path"), "path", "left_anti")
         # A file that was only touched is known by its new time from now on.
         touched = newest.join(told.filter("action = 'skip'"), "path").select("path", F.col("mod_time").alias("seen"))
