@@ -114,3 +114,35 @@ def test_logs_are_moved_with_their_notes(spark):
     assert shuffles(got) == 1
     assert {r.id: r.logs.replace("[1998-0", "").count("\n") for r in got.collect()} == {"a": 4, "b": 1}
     assert [r.logs.split("\n")[2:] for r in got.filter("id = 'a'").collect()] == [["  said", '  ,- State "X"', "  more"]]
+
+
+def test_summaries_move_what_an_entry_has_once(spark):
+    s = plain(spark)
+    tags = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x"), ("gone", "x")], "entry_id string, tag string")
+    props = spark.createDataFrame([("a", "P", "2", 1), ("a", "Q", "1", 0)], "entry_id string, name string, value string, position int")
+    body = spark.createDataFrame([("c", 0, "paragraph", "ab\nc"), ("c", 1, "paragraph", None)], "entry_id string, position int, block_type string, content string")
+    s = replace(s, entry_tags=tags, entry_properties=props, entry_body_blocks=body)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffles(text.summary(s)) <= 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = sorted((r.id, [x for x in r.line.split("\n") if not x.startswith(":FILE:")]) for r in text.summary(s).collect())
+    assert [x for x in got if x[0] == "a"] == [("a", ["* A", ":PROPERTIES:", ":Q: 1", ":P: 2", ":TAGS: :x:y:", ":END:"])]
+    assert [x for x in got if x[0] == "c"] == [("c", ["*** C", ":PROPERTIES:", ":BODY_LEN: 3", ":END:"]), ("c", ["*** D", ":PROPERTIES:", ":BODY_LEN: 3", ":END:"])]
+
+
+def test_documents_take_entries_in_as_json(spark):
+    from treeline.sources import documents
+
+    s = plain(spark)
+    files = spark.createDataFrame([(f, f"{f}.org") for f in sorted({r.file_id for r in s.entries.select("file_id").distinct().collect()} | {"none"})], "id string, path string")
+    s = replace(s, files=s.files.limit(0).unionByName(files, allowMissingColumns=True))
+    got = documents.documents(s)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [b for a, b in zip(plan, plan[1:]) if "Exchange hashpartitioning(_key" in a]
+    assert below and all("StructsToJson" in x and "Aggregate" not in x for x in below)
+    again = documents.from_documents(got)
+    assert again.files.count() == files.count()
+    assert sorted(map(str, again.entries.select("id", "title", "path").collect())) == sorted(map(str, documents.unique_entries(s.entries).select("id", "title", "path").collect()))
