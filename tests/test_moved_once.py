@@ -146,3 +146,26 @@ def test_documents_take_entries_in_as_json(spark):
     again = documents.from_documents(got)
     assert again.files.count() == files.count()
     assert sorted(map(str, again.entries.select("id", "title", "path").collect())) == sorted(map(str, documents.unique_entries(s.entries).select("id", "title", "path").collect()))
+
+
+def test_rules_move_what_an_entry_has_once_and_only_what_they_look_into(spark):
+    from treeline.operators import lint
+
+    s = plain(spark)
+    tags = spark.createDataFrame([("a", "x"), ("a", "x"), ("gone", "LINK"), (None, "y"), (None, "y")], "entry_id string, tag string")
+    props = spark.createDataFrame([("a", "Created", "1", 0), ("b", "p", "1", 0), ("b", "P", "1", 1)], "entry_id string, name string, value string, position int")
+    stamps = spark.createDataFrame([("c", "scheduled", 1), ("c", "closed", 1), ("z", "active", 1)], "entry_id string, stamp_type string, day int")
+    kinds = spark.createDataFrame([("a", "k", True), ("z", "k", True), ("c", "k", False)], "entry_id string, category string, is_explicit boolean")
+    stamps = s.entry_stamps.limit(0).unionByName(stamps, allowMissingColumns=True)
+    s = replace(s, entry_tags=tags, entry_properties=props, entry_stamps=stamps, entry_categories=kinds)
+    codes = ("DuplicateIdentifier", "TodoMissingCreated", "TodoMissingId", "DuplicateTag", "DuplicateProperty", "StampOnPlainEntry", "ReviewOnPlainEntry", "TaskWithoutTags")
+    got = lint.lint(s, codes=codes)
+    assert shuffles(got) == 1
+    assert sorted((r.code, r.entry_id or "", r.arg) for r in got.filter("entry_id <> 'c' or entry_id is null").collect()) == [
+        ("DuplicateProperty", "b", "p"), ("DuplicateTag", "", "y"), ("DuplicateTag", "a", "x"), ("TodoMissingCreated", "z", None), ("TodoMissingId", "a", None), ("TodoMissingId", "z", None),
+    ]
+    assert sorted((r.code, r.arg) for r in got.filter("entry_id = 'c'").collect()) == [("DuplicateIdentifier", "3")] + 3 * [("StampOnPlainEntry", None)]
+    # no links, hashes, lists of tags or verbs, notes or bodies that begin or end with white space: nothing is moved to look for them
+    for code in ("HashMismatch", "TagNotAllowed", "VerbNotAllowed", "BrokenFileLink", "ArchiveMissing", "AudioMissing", "InconsistentBodySpace", "InconsistentWhitespace"):
+        none = lint.lint(s, codes=(code,))
+        assert (code, shuffles(none)) == (code, 0) and none.count() == 0
