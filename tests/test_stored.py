@@ -96,3 +96,19 @@ def test_nothing(spark, tmp_path):
     assert fs.version() == 0 and fs.store().entries.count() == 0
     assert fs.update(spark.createDataFrame([], "path string, content string, mod_time timestamp, hash string"))["processed"] == 0
     assert fs.store().files.count() == 0 and fs.ledger().count() == 1
+
+
+def test_headlines_keep_spaces_at_their_end(spark, tmp_path):
+    """A headline is the rest of its line; title, and what else is cut out of it, has no spaces at its end."""
+    from tests.conftest import duck_rows, rows
+    from treeline import queries as outline
+
+    got = outline_text.parse(spark.createDataFrame([("a", "* A b  \n* TODO \n* C {x}  \n* D  :t: \n*  E")], "path string, content string")).store.entries
+    assert [(r.headline, r.title, r.locator) for r in got.orderBy("byte_offset").collect()] == [("A b  ", "A b", None), ("", "", None), ("C {x}  ", "C", "x"), ("D", "D", None), ("E", "E", None)]
+    texts = ["", None, "\n", "ends in a space \nx", "e :", "e\t ", " e", "e" * 40, "\n\nx"]
+    docs = spark.createDataFrame([(15 * i + k, t, "en", "s", 1) for i, t in enumerate(texts) for k in (0, 1, 2, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/written")
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "documents.parquet")
+    for t in ("customer", "nation", "region", "orders", "lineitem", "events", "embeddings"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    assert rows(outline.QUERIES["store_updates"](spark, str(tmp_path))) == duck_rows(outline.SQL["store_updates"], str(tmp_path))
