@@ -169,3 +169,37 @@ def test_rules_move_what_an_entry_has_once_and_only_what_they_look_into(spark):
     for code in ("HashMismatch", "TagNotAllowed", "VerbNotAllowed", "BrokenFileLink", "ArchiveMissing", "AudioMissing", "InconsistentBodySpace", "InconsistentWhitespace"):
         none = lint.lint(s, codes=(code,))
         assert (code, shuffles(none)) == (code, 0) and none.count() == 0
+
+
+def below_exchanges(df, key):
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [b for a, b in zip(plan, plan[1:]) if f"Exchange hashpartitioning({key}" in a]
+
+
+def test_headings_are_not_moved_by_id_to_be_printed(spark):
+    from treeline.sources import testbed
+
+    s = plain(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        below = below_exchanges(text.entry_rows(s), "id#")
+        assert below and not [x for x in below if "title" in x or "path" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the window over a customer's orders moves their columns, not what is made of them
+    below = below_exchanges(testbed.store(spark, "/root/testdata/sf0.001").entries, "o_custkey#")
+    assert below and not [x for x in below if "concat_ws" in x]
+
+
+def test_what_hangs_on_shared_ids_is_written_with_each(spark):
+    """Rows of an id in two files, at two depths and as an inline task; paths that don't end in the entry."""
+    s = plain(spark)
+    rows = [("f", "a", 1, 0, "A", ["a"]), ("f", "a", 1, 1, "A2", ["a"]), ("g", "a", 2, 0, "A3", ["gone", "a"]), ("g", "b", 1, 0, "B", ["b"]), ("f", "b", 15, 0, "B2", None)]
+    e = spark.createDataFrame(rows, "file_id string, id string, depth int, position int, title string, path array<string>")
+    tags = spark.createDataFrame([("a", "x"), ("b", "y"), ("gone", "z")], "entry_id string, tag string")
+    task = spark.createDataFrame([("a", 0, "inline_task", "b"), ("a", 1, "paragraph", "below")], "entry_id string, position int, block_type string, content string")
+    s = replace(s, entries=s.entries.limit(0).unionByName(e, allowMissingColumns=True), entry_tags=tags, entry_body_blocks=s.entry_body_blocks.limit(0).unionByName(task, allowMissingColumns=True))
+    got = [(r.file_id, " ".join(r.text.split("\n")[0].split())) for r in text.entry_rows(s).orderBy("file_id", "key").collect()]
+    stars = "*" * 15
+    assert got == [("f", "* A :x:"), ("f", "* A2 :x:"), ("f", f"{stars} B2 :y:"), ("f", "below"), ("f", "below"), ("g", "** A3 :x:"), ("g", "below"), ("g", "* B :y:")]
