@@ -203,3 +203,25 @@ def test_what_hangs_on_shared_ids_is_written_with_each(spark):
     got = [(r.file_id, " ".join(r.text.split("\n")[0].split())) for r in text.entry_rows(s).orderBy("file_id", "key").collect()]
     stars = "*" * 15
     assert got == [("f", "* A :x:"), ("f", "* A2 :x:"), ("f", f"{stars} B2 :y:"), ("f", "below"), ("f", "below"), ("g", "** A3 :x:"), ("g", "below"), ("g", "* B :y:")]
+
+
+def test_files_go_as_their_text_and_bodies_stay_by_entry(spark):
+    from pyspark.sql import functions as F
+    from treeline.sources import lines, outline_text
+
+    f = spark.createDataFrame([("a", "é\n* A\n:PROPERTIES:\n:ID: a\n:END:\nx\n\n*************** T\ny\n*************** END\nz\n"), ("b", ""), ("c", "\n\n* C\n<2024-01-02 Tue> ")], "path string, content string")
+    x = lines.number(lines.file_pieces(f), F.transform("lines", outline_text.note_shape), True)
+    below = below_exchanges(x, "path#")
+    assert below and all("array_join(lines" in b and "offset" not in b for b in below)
+    assert [(r.n, r.offset) for r in x.filter("path = 'a'").orderBy("n").collect()][:4] == [(0, 0), (1, 3), (2, 7), (3, 20)]
+    assert [(r.path, r.n, r.line, r.offset) for r in x.filter("path <> 'a'").orderBy("path", "n").collect()] == [("b", 0, "", 0), ("c", 0, "", 0), ("c", 1, "", 1), ("c", 2, "* C", 2), ("c", 3, "<2024-01-02 Tue> ", 6)]
+    got = outline_text.parse(f).store
+    assert sorted((r.title, r.byte_offset) for r in got.entries.collect()) == [("A", 3), ("C", 2), ("T", 36)]
+    body = got.entry_body_blocks.groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct("position", "block_type", "content"))).alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(below_exchanges(body, "id#")) == 1 and len(below_exchanges(body, "entry_id#")) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [[tuple(b)[1:] for b in r.b] for r in body.filter("entry_id = 'a'").collect()] == [[("paragraph", "x"), ("whitespace", ""), ("inline_task", got.entries.filter("title = 'T'").first().id), ("paragraph", "z")]]
