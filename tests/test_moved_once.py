@@ -225,3 +225,18 @@ def test_files_go_as_their_text_and_bodies_stay_by_entry(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert [[tuple(b)[1:] for b in r.b] for r in body.filter("entry_id = 'a'").collect()] == [[("paragraph", "x"), ("whitespace", ""), ("inline_task", got.entries.filter("title = 'T'").first().id), ("paragraph", "z")]]
+
+
+def test_parts_of_entries_are_moved_as_rows(spark):
+    """No lists of a part or two are made below the exchange, and no value goes twice."""
+    from treeline.operators import similarity
+
+    s = plain(spark)
+    tags = spark.createDataFrame([("c", "y"), ("c", "x"), ("c", "x")], "entry_id string, tag string")
+    kinds = spark.createDataFrame([("c", "k2", True), ("c", "k1", True)], "entry_id string, category string, is_explicit boolean")
+    s = replace(s, entry_tags=tags, entry_categories=kinds)
+    plan = stats.context_parts(s)._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(plan) if "Exchange hashpartitioning(entry_id" in x)
+    assert not [x for x in plan[at:] if "collect_list" in x] and not [x for x in plan[at:] if "tag#" in x and "AS s#" in x and "null AS s#" not in x]
+    got = {(r.entry_id, r.chunk) for r in similarity.entry_chunks(s).filter("entry_id in ('c', 'y')").collect()}
+    assert got == {("c", "Path: A > B\nTitle: C D\nTags: x, x, y\nCategories: k1, k2"), ("y", "Path: Z\nTitle: Y")}
